@@ -1,0 +1 @@
+"""The rate operators over a file stream (see ``streaming.rates``)."""
