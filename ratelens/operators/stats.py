@@ -60,29 +60,61 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     return basic.join(qw, keys).select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _pair_r(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One-row frame with Pearson r of each pair (column ``_k`` for the k-th pair).
+
+    Two passes: column means and null counts (one aggregate, k numbers to the driver),
+    then sums of products of centred values (one aggregate of plain sums). With nulls,
+    each pair uses its pairwise-complete rows. Constant columns give null. The wide
+    expressions are handed to Spark as SQL text in one call (no per-expression round trips)."""
+    cols = sorted({c for p in pairs for c in p})
+    first = df.selectExpr(*[f"avg(CAST({_q(c)} AS DOUBLE)) AS m_{i}" for i, c in enumerate(cols)],
+                          *[f"count_if({_q(c)} IS NULL) AS z_{i}" for i, c in enumerate(cols)]).first()
+    means = {c: (first[f"m_{i}"] or 0.0) for i, c in enumerate(cols)}
+    complete = all(first[f"z_{i}"] == 0 for i in range(len(cols)))
+    xc = {c: f"(CAST({_q(c)} AS DOUBLE) - CAST({means[c]!r} AS DOUBLE))" for c in cols}
+    aggs, exprs = [], []
+    if complete:
+        idx = {c: i for i, c in enumerate(cols)}
+        aggs.append("count(1) AS n")
+        for i, c in enumerate(cols):
+            aggs += [f"sum({xc[c]}) AS s_{i}", f"sum({xc[c]} * {xc[c]}) AS q_{i}"]
+        for k, (a, b) in enumerate(pairs):
+            aggs.append(f"sum({xc[a]} * {xc[b]}) AS p_{k}")
+            ia, ib = idx[a], idx[b]
+            cov = f"(p_{k} - s_{ia} * s_{ib} / n)"
+            den = f"((q_{ia} - s_{ia} * s_{ia} / n) * (q_{ib} - s_{ib} * s_{ib} / n))"
+            exprs.append((k, cov, den))
+    else:
+        for k, (a, b) in enumerate(pairs):
+            both = f"({_q(a)} IS NOT NULL AND {_q(b)} IS NOT NULL)"
+            xa, xb = f"(CASE WHEN {both} THEN {xc[a]} END)", f"(CASE WHEN {both} THEN {xc[b]} END)"
+            aggs += [f"count_if({both}) AS n_{k}", f"sum({xa}) AS sa_{k}", f"sum({xb}) AS sb_{k}",
+                     f"sum({xa} * {xb}) AS p_{k}", f"sum({xa} * {xa}) AS qa_{k}", f"sum({xb} * {xb}) AS qb_{k}"]
+            cov = f"(p_{k} - sa_{k} * sb_{k} / n_{k})"
+            den = f"((qa_{k} - sa_{k} * sa_{k} / n_{k}) * (qb_{k} - sb_{k} * sb_{k} / n_{k}))"
+            exprs.append((k, cov, den))
+    row = df.selectExpr(*aggs)
+    return row.selectExpr(*[f"round(CASE WHEN {den} > 0 THEN {cov} / sqrt({den}) END, {DIGITS}) AS _{k}"
+                            for k, cov, den in exprs])
+
+
 def corr_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r for every ordered pair (c1, c2), null where a column is constant.
-
-    One aggregate of stable co-moments (``covar_samp`` / ``stddev_samp``), computed for
-    each unordered pair once; ``F.corr`` is avoided because it raises on zero variance
-    under ANSI mode."""
-    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
-    aggs = []
-    for i, j in pairs:
-        a, b = F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        a2, b2 = F.when(both, a), F.when(both, b)
-        r = F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
-        aggs.append(F.round(F.when(F.stddev_samp(a2) * F.stddev_samp(b2) > 0, r), DIGITS).alias(f"_{i}_{j}"))
-    row = df.agg(*aggs)
+    Each unordered pair is computed once (see ``_pair_r``); ``F.corr`` is avoided
+    because it raises on zero variance under ANSI mode."""
+    pairs_idx = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    row = _pair_r(df, [(columns[i], columns[j]) for i, j in pairs_idx])
     structs = []
-    for i, j in pairs:
-        structs.append(F.struct(F.lit(columns[i]).alias("c1"), F.lit(columns[j]).alias("c2"),
-                                F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{i}_{j}").alias("r")))
+    for k, (i, j) in enumerate(pairs_idx):
+        structs.append(f"named_struct('c1', '{columns[i]}', 'c2', '{columns[j]}', 'i', {i}, 'j', {j}, 'r', _{k})")
         if i != j:
-            structs.append(F.struct(F.lit(columns[j]).alias("c1"), F.lit(columns[i]).alias("c2"),
-                                    F.lit(j).alias("i"), F.lit(i).alias("j"), F.col(f"_{i}_{j}").alias("r")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+            structs.append(f"named_struct('c1', '{columns[j]}', 'c2', '{columns[i]}', 'i', {j}, 'j', {i}, 'r', _{k})")
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def corr_lower(corr: DataFrame) -> DataFrame:
@@ -107,18 +139,10 @@ def outcome_corr(df: DataFrame, y: str, columns: Sequence[str], k: int = 15) ->
 
 
 def corr_with(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
-    """(variable, r, abs_r) of each column with ``y`` in one aggregate."""
-    aggs = []
-    for i, c in enumerate(columns):
-        a, b = F.col(c).cast("double"), F.col(y).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        a2, b2 = F.when(both, a), F.when(both, b)
-        den = F.stddev_samp(a2) * F.stddev_samp(b2)
-        aggs.append(F.round(F.when(den > 0, F.try_divide(F.covar_samp(a2, b2), den)), DIGITS).alias(f"_{i}"))
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("r")) for i, c in enumerate(columns)]
-    return (row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-            .withColumn("abs_r", F.abs("r")))
+    """(variable, r, abs_r) of each column with ``y``."""
+    row = _pair_r(df, [(c, y) for c in columns])
+    structs = [f"named_struct('variable', '{c}', 'r', _{k}, 'abs_r', abs(_{k}))" for k, c in enumerate(columns)]
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
