@@ -116,5 +116,7 @@ def box_sql(columns, by=()) -> str:
              f"FROM long JOIN qs USING ({keys}) GROUP BY {keys}, q1, median, q3")
 
 
-NUMS = list(R.numerics)
+from ratelens.roles import FACT_EDA_NUMERICS  # noqa: E402
+
+NUMS = list(FACT_EDA_NUMERICS)
 CATS = list(R.categoricals)

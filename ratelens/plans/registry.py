@@ -439,7 +439,7 @@ register("category_detail", q(
     "round(count_if(outcome = 'Yes') * 100.0 / count(*), 6) AS yes_pct, count_if(outcome = 'No')::BIGINT AS no_count, "
     "count_if(outcome = 'Yes')::BIGINT AS yes_count FROM fact GROUP BY role"))(
     lambda s, d: A.category_detail(_f(s, d), R, "role"))
-_SUMMARY_NUMS = [c for c in O.NUMS]
+_SUMMARY_NUMS = list(R.numerics)
 register("final_summary", q(
     f", t AS (SELECT count(*) AS n, sum(y) AS p, avg(y::DOUBLE) AS m FROM fact), "
     f"c AS ({O.corr_with_sql('y', _SUMMARY_NUMS)}) "
@@ -453,3 +453,124 @@ register("final_summary", q(
     "UNION ALL SELECT 'overtime_rate', round(avg(y::DOUBLE), 6), overtime FROM fact GROUP BY overtime "
     "UNION ALL (SELECT 'top_correlate', abs(r), variable FROM c ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 5)"))(
     lambda s, d: A.final_summary(_f(s, d), R))
+
+# ---------------------------------------------------------------- model data operators
+from ratelens.operators import explain, features, training  # noqa: E402
+from ratelens.sources.tables import materialize  # noqa: E402
+
+register("label_encode", q(
+    ", " + ", ".join(f"e_{c} AS (SELECT {c}, (dense_rank() OVER (ORDER BY {c}) - 1)::INT AS {c}_code "
+                     f"FROM (SELECT DISTINCT {c} FROM fact))" for c in O.CATS)
+    + " SELECT row_id, " + ", ".join(f"{c}_code" for c in O.CATS) + " FROM fact "
+    + " ".join(f"JOIN e_{c} USING ({c})" for c in O.CATS)))(
+    lambda s, d: features.label_encode(_f(s, d).select("row_id", *O.CATS), O.CATS)
+    .select("row_id", *[f"{c}_code" for c in O.CATS]))
+
+register("target_encode", q(
+    ", g AS (SELECT avg(y::DOUBLE) AS gm FROM fact), " + ", ".join(
+        f"t_{c} AS (SELECT {c}, (count(y) * avg(y::DOUBLE) + 1.0 * gm) / (count(y) + 1.0) AS {c}_te "
+        f"FROM fact, g GROUP BY {c}, gm)" for c in O.CATS)
+    + " SELECT row_id, " + ", ".join(f"round({c}_te, 6) AS {c}_te" for c in O.CATS) + " FROM fact "
+    + " ".join(f"LEFT JOIN t_{c} USING ({c})" for c in O.CATS)))(
+    lambda s, d: features.fit_target_encoding(_f(s, d), O.CATS, "y", 1.0, 1)
+    .transform(_f(s, d).select("row_id", *O.CATS))
+    .select("row_id", *[F.round(f"{c}_te", 6).alias(f"{c}_te") for c in O.CATS]))
+
+register("class_weight", q(
+    "SELECT count_if(y = 0)::BIGINT AS n_neg, count_if(y = 1)::BIGINT AS n_pos, "
+    "round(count_if(y = 0)::DOUBLE / count_if(y = 1), 6) AS weight FROM fact"))(
+    lambda s, d: features.class_weight(_f(s, d), "y"))
+
+
+def model_data(spark, sf):
+    """fact + split (60/20/20) + fold (7), written once per application."""
+    fct = _f(spark, sf)
+    sp = ranks.stratified_split(fct.select("row_id", "y"), "row_id", "y", seed=SEED).select("row_id", "split")
+    fo = ranks.stratified_folds(fct.select("row_id", "y"), "row_id", "y", training.N_FOLDS, SEED) \
+        .select("row_id", "fold")
+    return materialize(spark, fct.join(sp, "row_id").join(fo, "row_id"), "model_data", sf)
+
+
+_MODELS: dict = {}
+
+
+def trained(spark, sf, encoding: str = "label") -> training.TrainedModel:
+    key = (spark.sparkContext.applicationId, sf, encoding)
+    if key not in _MODELS:
+        _MODELS[key] = training.train(model_data(spark, sf), R, encoding=encoding)
+    return _MODELS[key]
+
+
+def _train_summary(s, d):
+    tm = trained(s, d)
+    data = model_data(s, d)
+    scored = tm.score(data, keep=["y", "split"])
+    c = ev.with_metrics(ev.threshold_counts(scored, [tm.threshold], "y", "score", by=["split"]))
+    return c.select("split", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("rows"),
+                    "threshold", "precision", "recall", "f1")
+
+
+register("train_gbt")(_train_summary)
+
+
+def _score_batch(s, d):
+    tm = trained(s, d)
+    form = facets.fill_defaults(_f(s, d).select(*FORM_FIELDS), R)
+    scored = tm.score(form, keep=["row_id", *R.categoricals, *R.numerics])
+    return scored.select("row_id", "score", "prediction", risk_tier("score").alias("tier"),
+                         F.concat_ws("; ", risk_factors(R)).alias("factors"))
+
+
+register("score_batch")(_score_batch)
+register("feature_importance")(lambda s, d: explain.feature_importance(trained(s, d), top_n=15))
+register("cv_scores")(lambda s, d: training.fold_f1(
+    model_data(s, d).where(F.col("split") == "train"), R, {**training.DEFAULT_PARAMS, "n_estimators": 20}))
+
+
+def _search_log(s, d):
+    # registered example of reduced size (2 trials, 20 trees each); the library default is 80 trials
+    log, _ = training.search(model_data(s, d).where(F.col("split") == "train"), R, n_trials=2,
+                             space_overrides={"n_estimators": 20, "max_depth": 4})
+    return ranks.running_max(log, "score", "trial", name="best_so_far")
+
+
+register("search_log")(_search_log)
+
+
+def _attribution(s, d):
+    tm = trained(s, d)
+    data = model_data(s, d)
+    rows = explain.sample_rows(data.where(F.col("split") == "eval"), "row_id", 100, SEED)
+    bg = explain.sample_rows(data.where(F.col("split") == "train"), "row_id", 50, SEED + 1)
+    return explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", n_perm=8, seed=SEED))
+
+
+register("attribution")(_attribution)
+
+
+def _model_report(s, d):
+    tm = trained(s, d)
+    data = model_data(s, d)
+    ev_scored = tm.score(data.where(F.col("split") == "eval"), keep=["y"])
+    curves = ev.curve_summary(ev_scored)
+    gap = ev.f1_gap(tm.score(data, keep=["y", "split"]), "split", tm.threshold)
+    c, g = curves.first(), gap.first()
+    v = ev.verdicts(c.roc_auc, c.avg_precision, g.f1_gap)
+    rows = [("roc_auc", c.roc_auc, v.get("roc")), ("avg_precision", c.avg_precision, v.get("pr")),
+            ("base_rate", c.base_rate, None), ("threshold", tm.threshold, None),
+            ("f1_train", g.f1_train, None), ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))]
+    return s.createDataFrame(rows, "metric string, value double, verdict string")
+
+
+register("model_report")(_model_report)
+
+
+def _format_kpis(s, d):
+    k = A.kpis(facets.faceted_filter(_f(s, d), FACETS_ISIN, FACETS_RANGES), R)
+    from ratelens.functions.scalar import count_text, money_text, pct_text
+    return k.select(count_text("total").alias("total"), pct_text("rate_pct").alias("rate"),
+                    F.format_string("%.1f", "avg_job_sat").alias("avg_job_sat"),
+                    money_text("avg_income").alias("avg_income"), F.format_string("%.1f", "avg_tenure").alias("avg_tenure"))
+
+
+register("format_kpis")(_format_kpis)

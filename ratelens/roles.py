@@ -68,7 +68,9 @@ HR_ROLES = Roles(
 # Binding of the same roles on the fact view (see sources.tables.fact_frame).
 FACT_CATEGORICALS = ("dept", "role", "gender", "marital", "education_field", "travel", "overtime")
 FACT_NUMERICS = ("age", "income", "level", "experience", "tenure", "role_years", "job_sat", "env_sat",
-                 "rel_sat", "balance", "rate1", "constant_col")
+                 "rel_sat", "balance", "rate1")
+# numeric columns profiled in the exploratory analyses: the model features plus the constant column
+FACT_EDA_NUMERICS = FACT_NUMERICS + ("constant_col",)
 
 FACT_ROLES = Roles(
     outcome="outcome", label="y", positive="Yes", negative="No", row_id="row_id",

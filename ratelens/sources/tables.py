@@ -105,6 +105,23 @@ def fact(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> D
     return spark.read.parquet(path)
 
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` once per application under the shared checkpoint folder and read it
+    back: later jobs start from files (lineage cut, survives executor loss)."""
+    app = spark.sparkContext.applicationId
+    k = (app, f"{name}:{key}")
+    path = _TABLES.get(k)
+    if path is None:
+        tag = hashlib.md5(k[1].encode()).hexdigest()[:12]
+        path = os.path.join(checkpoint_dir(spark), "ratelens-tables", f"{app}-{name}-{tag}")
+        df.write.mode("overwrite").parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)
+
+
 def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored table ``(row_id, y, score)`` with the fixture's deterministic score."""
     return fact(spark, sf_dir).select("row_id", "y", "score")
