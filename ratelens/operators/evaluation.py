@@ -57,7 +57,8 @@ def curve_summary(scored: DataFrame, y: str = "y", score: str = "score") -> Data
     tp_prev = F.col("cum_pos") - F.col("pos")
     # neg * (tp + tp_prev) is an integer: the sum is exact whatever the order
     trap = (F.col("neg") * (F.col("cum_pos") + tp_prev)).cast("double")
-    ap_term = F.col("pos") / F.col("P") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    ap_term = F.try_divide(F.try_divide(F.col("pos"), F.col("P")) * F.col("cum_pos"),
+                           F.col("cum_pos") + F.col("cum_neg"))
     agg = c.agg(F.sum(trap).alias("_trap"), F.sum(ap_term).alias("_ap"), F.max("P").alias("P"), F.max("N").alias("N"))
     return agg.select(
         F.round(F.try_divide(F.col("_trap"), 2.0 * F.col("P") * F.col("N")), DIGITS).alias("roc_auc"),
