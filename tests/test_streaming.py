@@ -1,0 +1,22 @@
+import os
+import tempfile
+
+from ratelens.sources.files import write_csv
+from ratelens.sources.tables import fact
+from ratelens.streaming.rates import run_once, stream_rates
+
+from conftest import SF_SMALL
+
+
+def test_stream_matches_batch(spark):
+    f = fact(spark, SF_SMALL).select("dept", "outcome")
+    d = tempfile.mkdtemp(prefix="ratelens-stream-")
+    write_csv(f, os.path.join(d, "in"))
+    s = stream_rates(spark, os.path.join(d, "in"), f.schema, ["dept"], "outcome")
+    run_once(s, "t", "rl_stream_rates")
+    got = {r.dept: (r.total, r.positives) for r in spark.table("rl_stream_rates").collect()}
+    exp = {r.dept: (r.n, r.p) for r in f.groupBy("dept").agg(
+        __import__("pyspark.sql.functions", fromlist=["count"]).count("*").alias("n"),
+        __import__("pyspark.sql.functions", fromlist=["sum"]).sum(
+            (f.outcome == "Yes").cast("int")).alias("p")).collect()}
+    assert got == exp
