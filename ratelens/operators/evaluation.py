@@ -71,17 +71,19 @@ def threshold_counts(scored: DataFrame, grid: Sequence[float], y: str = "y", sco
     """tp, fp, tn, fn at every grid threshold (prediction = score >= threshold).
 
     The grid is a fixed, short list, so all counts are conditional counts of ONE
-    aggregate (partial per task, merged once); the single row is then exploded."""
-    s, yy = F.col(score), F.col(y)
+    aggregate (partial per task, merged once); the row is then unrolled with ``inline``.
+    The expressions go to Spark as SQL text in one call."""
+    sc, yy = f"`{score}`", f"`{y}`"
     aggs = []
     for i, t in enumerate(grid):
-        pred = s >= F.lit(t)
-        aggs += [F.count_if(pred & (yy == 1)).alias(f"tp{i}"), F.count_if(pred & (yy == 0)).alias(f"fp{i}"),
-                 F.count_if(~pred & (yy == 0)).alias(f"tn{i}"), F.count_if(~pred & (yy == 1)).alias(f"fn{i}")]
-    row = scored.where(s.isNotNull()).groupBy(*by).agg(*aggs)
-    structs = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
-                        F.col(f"tn{i}").alias("tn"), F.col(f"fn{i}").alias("fn")) for i, t in enumerate(grid)]
-    return row.select(*by, F.explode(F.array(*structs)).alias("s")).select(*by, "s.*")
+        t = repr(float(t))
+        aggs += [f"count_if({sc} >= {t} AND {yy} = 1) AS tp{i}", f"count_if({sc} >= {t} AND {yy} = 0) AS fp{i}",
+                 f"count_if({sc} < {t} AND {yy} = 0) AS tn{i}", f"count_if({sc} < {t} AND {yy} = 1) AS fn{i}"]
+    row = scored.where(F.col(score).isNotNull()).groupBy(*by).agg(*[F.expr(a) for a in aggs]) if by else \
+        scored.where(F.col(score).isNotNull()).selectExpr(*aggs)
+    structs = ", ".join(f"named_struct('threshold', CAST({float(t)!r} AS DOUBLE), 'tp', tp{i}, 'fp', fp{i}, "
+                        f"'tn', tn{i}, 'fn', fn{i})" for i, t in enumerate(grid))
+    return row.selectExpr(*[f"`{b}`" for b in by], f"inline(array({structs}))")
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:

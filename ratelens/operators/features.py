@@ -47,7 +47,7 @@ class TargetEncoding:
 
 
 def fit_target_encoding(df: DataFrame, columns: Sequence[str], y: str, smoothing: float = 1.0,
-                        min_samples_leaf: int = 1) -> TargetEncoding:
+                        min_samples_leaf: int = 1, materialize: bool = True) -> TargetEncoding:
     """M2 fit: ``(n * mean + s * global) / (n + s)`` per category, kept when n >= min_leaf.
     All columns are counted in one aggregate over the unpivoted (variable, category) pairs."""
     g = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
@@ -59,6 +59,11 @@ def fit_target_encoding(df: DataFrame, columns: Sequence[str], y: str, smoothing
     enc = ((F.col("count") * F.col("mean") + F.lit(smoothing) * F.lit(g)) / (F.col("count") + F.lit(smoothing)))
     table = stats.where(F.col("count") >= min_samples_leaf).select("variable", "category", "count",
                                                                   enc.alias("encoding"))
+    if materialize:
+        # the fitted state is written once (shared checkpoint folder) and read by every lookup
+        from ratelens.sources.tables import materialize as write_once
+        import uuid
+        table = write_once(df.sparkSession, table, "target_encoding", uuid.uuid4().hex)
     return TargetEncoding(table, g, tuple(columns))
 
 
