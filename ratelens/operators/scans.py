@@ -98,30 +98,41 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``).
 
-    Returns ``(by..., p, value)``. No group's values are gathered in one place: the
-    values at the two ranks around ``(n-1)p`` are found from running counts over
-    distinct values, and only those rows are kept.
+    Returns ``(by..., pi, p, value)``. No group's values are gathered in one place:
+    distinct values get counts, range buckets get totals and running offsets (a few
+    rows per group), the offsets tell which buckets hold the ranks around ``(n-1)p``,
+    and only the rows of those buckets are ranked with a window.
     """
     d, keys = _keys(df, by)
     distinct = d.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("cnt"))
     bucketed = range_buckets(distinct, x, keys, buckets, extra=[F.sum("cnt").alias("_n")])
-    cum = cumulative(bucketed, [x], ["cnt"], keys, bucketed=bucketed)
     targets = F.array(*[
         F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"),
                  ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
         for i, p in enumerate(probs)])
-    # a distinct value v covers ranks [cum_cnt - cnt, cum_cnt); keep it for each target
-    # whose lower or upper rank lands there (at most two values per target)
-    hits = (cum.withColumn("_targets", targets)
-               .select(*keys, F.col(x).cast("double").alias("_v"),
-                       F.explode(F.filter("_targets", lambda t:
-                           ((F.floor(t["h"]) >= F.col("cum_cnt") - F.col("cnt")) & (F.floor(t["h"]) < F.col("cum_cnt")))
-                           | ((F.ceil(t["h"]) >= F.col("cum_cnt") - F.col("cnt")) & (F.ceil(t["h"]) < F.col("cum_cnt")))
-                       )).alias("_t")))
-    h = F.col("_t.h")
-    res = (hits.select(*keys, F.col("_t.pi").alias("pi"), F.col("_t.p").alias("p"), h.alias("h"), "_v")
-               .groupBy(*keys, "pi", "p", "h")
-               .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+
+    def covers(lo, hi):
+        # does [lo, hi) contain floor(h) or ceil(h) of target t
+        return lambda t: (((F.floor(t["h"]) >= lo) & (F.floor(t["h"]) < hi))
+                          | ((F.ceil(t["h"]) >= lo) & (F.ceil(t["h"]) < hi)))
+
+    totals = bucketed.groupBy(*keys, "_bucket", "_n").agg(F.sum("cnt").alias("_t"))
+    wb = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bucket", "_n", "_t", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_o"))
+    needed = (offsets.withColumn("_targets", targets)
+              .where(F.exists("_targets", covers(F.col("_o"), F.col("_o") + F.col("_t"))))
+              .select(*keys, "_bucket", "_o"))
+    # a few buckets per group: joined by measured size (AQE broadcasts it)
+    sub = bucketed.join(needed, [*keys, "_bucket"])
+    wr = W.partitionBy(*keys, "_bucket").orderBy(x).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = sub.select(*keys, x, "cnt", "_n", (F.col("_o") + F.sum("cnt").over(wr)).alias("cum_cnt"))
+    hits = (ranked.withColumn("_targets", targets)
+            .select(*keys, F.col(x).cast("double").alias("_v"),
+                    F.explode(F.filter("_targets", covers(F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt"))))
+                    .alias("_t")))
+    res = (hits.select(*keys, F.col("_t.pi").alias("pi"), F.col("_t.p").alias("p"), F.col("_t.h").alias("h"), "_v")
+           .groupBy(*keys, "pi", "p", "h")
+           .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     frac = F.col("h") - F.floor(F.col("h"))
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
     out_keys = [c for c in keys if c != _G]
