@@ -55,12 +55,20 @@ def cut_equal(df: DataFrame, x: str, k: int = 5, y: str = "y", edges_from: DataF
 
 def quantile_edges(df: DataFrame, x: str, k: int) -> list[float]:
     """B3 edges: exact quantiles at 0, 1/k, ..., 1; equal edges are merged."""
-    q = exact_quantiles(df, x, [i / k for i in range(k + 1)]).orderBy("pi").collect()
-    edges: list[float] = []
+    return quantile_edges_many(df, [x], k)[x]
+
+
+def quantile_edges_many(df: DataFrame, columns, k: int) -> dict[str, list[float]]:
+    """B3 edges of several columns from one job ((k+1) numbers per column to the driver)."""
+    from ratelens.operators.stats import long_values
+    q = exact_quantiles(long_values(df, columns), "value", [i / k for i in range(k + 1)], ["variable"]) \
+        .orderBy("variable", "pi").collect()
+    out: dict[str, list[float]] = {c: [] for c in columns}
     for r in q:
+        edges = out[r.variable]
         if not edges or r.value > edges[-1]:
             edges.append(float(r.value))
-    return edges
+    return out
 
 
 def quantile_label_expr(x, edges: Sequence[float], prefix: str = "Q"):

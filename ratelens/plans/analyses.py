@@ -93,8 +93,9 @@ def early_career(df: DataFrame, r: Roles) -> DataFrame:
 
 def age_income_quartiles(df: DataFrame, r: Roles) -> DataFrame:
     """Q9: mean outcome for age quartile x income quartile (labels Q1..Qm)."""
-    a_expr, _ = binning.quantile_label_expr(r.age, binning.quantile_edges(df, r.age, 4))
-    i_expr, i_labels = binning.quantile_label_expr(r.income, binning.quantile_edges(df, r.income, 4))
+    edges = binning.quantile_edges_many(df, [r.age, r.income], 4)
+    a_expr, _ = binning.quantile_label_expr(r.age, edges[r.age])
+    i_expr, i_labels = binning.quantile_label_expr(r.income, edges[r.income])
     q = df.select(a_expr.alias("age_quartile"), i_expr.alias("income_quartile"), r.label)
     return rates.pivot_mean(q, "age_quartile", "income_quartile", r.label, i_labels)
 
