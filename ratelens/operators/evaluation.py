@@ -66,21 +66,46 @@ def curve_summary(scored: DataFrame, y: str = "y", score: str = "score") -> Data
         F.round(F.try_divide(F.col("P").cast("double"), F.col("P") + F.col("N")), DIGITS).alias("base_rate"))
 
 
+def _grid_bucket(score: str, grid: Sequence[float]) -> str:
+    """SQL: number of grid thresholds <= score (0 .. len(grid)); grid ascending."""
+    parts = " ".join(f"WHEN `{score}` >= CAST({float(t)!r} AS DOUBLE) THEN {i + 1}"
+                     for i, t in reversed(list(enumerate(grid))))
+    return f"CASE {parts} ELSE 0 END"
+
+
 def threshold_counts(scored: DataFrame, grid: Sequence[float], y: str = "y", score: str = "score",
                      by: Sequence[str] = ()) -> DataFrame:
     """tp, fp, tn, fn at every grid threshold (prediction = score >= threshold).
 
-    The grid is a fixed, short list, so all counts are conditional counts of ONE
-    aggregate (partial per task, merged once); the row is then unrolled with ``inline``.
-    The expressions go to Spark as SQL text in one call."""
+    Without ``by``: each score goes to its grid bucket (one CASE), one aggregate gives
+    at most len(grid)+1 rows, and suffix sums over those rows give every threshold.
+    With ``by`` (a few thresholds per group, e.g. F1 per split): conditional counts in
+    one grouped aggregate."""
+    s = scored.where(F.col(score).isNotNull())
+    if not by:
+        spark = scored.sparkSession
+        counts = s.groupBy(F.expr(_grid_bucket(score, grid)).alias("_b")).agg(
+            F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
+        frame = spark.createDataFrame([(i, float(grid[i - 1]) if i else None) for i in range(len(grid) + 1)],
+                                      "_b int, threshold double")
+        dense = F.broadcast(frame).join(counts, "_b", "left").fillna(0, ["_pos", "_neg"])
+        # windows over the dense grid frame: len(grid)+1 rows, bounded by the grid
+        suffix = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, W.currentRow)
+        whole = W.partitionBy()
+        out = dense.select("_b", "threshold", F.sum("_pos").over(suffix).alias("tp"),
+                           F.sum("_neg").over(suffix).alias("fp"),
+                           F.sum("_pos").over(whole).alias("_P"), F.sum("_neg").over(whole).alias("_N"))
+        return out.where(F.col("_b") > 0).select(
+            "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+            (F.col("_N") - F.col("fp")).cast("bigint").alias("tn"),
+            (F.col("_P") - F.col("tp")).cast("bigint").alias("fn"))
     sc, yy = f"`{score}`", f"`{y}`"
     aggs = []
     for i, t in enumerate(grid):
         t = repr(float(t))
         aggs += [f"count_if({sc} >= {t} AND {yy} = 1) AS tp{i}", f"count_if({sc} >= {t} AND {yy} = 0) AS fp{i}",
                  f"count_if({sc} < {t} AND {yy} = 0) AS tn{i}", f"count_if({sc} < {t} AND {yy} = 1) AS fn{i}"]
-    row = scored.where(F.col(score).isNotNull()).groupBy(*by).agg(*[F.expr(a) for a in aggs]) if by else \
-        scored.where(F.col(score).isNotNull()).selectExpr(*aggs)
+    row = s.groupBy(*by).agg(*[F.expr(a) for a in aggs])
     structs = ", ".join(f"named_struct('threshold', CAST({float(t)!r} AS DOUBLE), 'tp', tp{i}, 'fp', fp{i}, "
                         f"'tn', tn{i}, 'fn', fn{i})" for i, t in enumerate(grid))
     return row.selectExpr(*[f"`{b}`" for b in by], f"inline(array({structs}))")
