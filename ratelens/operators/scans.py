@@ -35,11 +35,24 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     (an approximate sketch may not, and the offsets would then not match the rows)."""
     d, keys = _keys(df, by)
     v = F.col(order_col).cast("double")
-    stats = d.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), *extra)
-    lo, hi = F.col("_lo"), F.col("_hi")
+    aggs = [F.min(v).alias("_lo"), F.max(v).alias("_hi"), *extra]
+    if by:
+        # one row per group, joined back by the group keys (AQE broadcasts it by measured size)
+        stats = d.groupBy(*keys).agg(*aggs)
+        d = d.join(stats, keys)
+        lo, hi = F.col("_lo"), F.col("_hi")
+        drop = ["_lo", "_hi"]
+    else:
+        # a single group: its few statistics are a driver-side lookup (no join on a constant)
+        agg = d.agg(*aggs)
+        types = {f.name: f.dataType for f in agg.schema.fields}
+        row = agg.first().asDict()
+        lo, hi = F.lit(row.pop("_lo")).cast("double"), F.lit(row.pop("_hi")).cast("double")
+        d = d.withColumns({k: F.lit(val).cast(types[k]) for k, val in row.items()})
+        drop = []
     raw = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets)))
     bucket = F.when(hi > lo, F.least(raw, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    return d.join(stats, keys).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    return d.withColumn("_bucket", bucket).drop(*drop)
 
 
 def hash_buckets(df: DataFrame, hash_col: str, digits: int = 4) -> DataFrame:
