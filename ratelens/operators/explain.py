@@ -79,3 +79,37 @@ def mean_abs_attribution(phi: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, row_id: str, k: int = 100, seed: int = 42) -> DataFrame:
     """The attribution sample: k rows in seeded-hash order."""
     return seeded_sample(df, row_id, k, seed)
+
+
+def permutation_importance(tm: TrainedModel, rows: DataFrame, row_id: str, y: str, seed: int = 42) -> DataFrame:
+    """M9 (model-agnostic): mean increase of log-loss when one feature's values are
+    replaced by another row's values, per feature: ``(feature, importance)``.
+
+    The donor of a row is the row half-way round the seeded-hash order (a derangement),
+    found by an equi-join on exact global positions (two-level scan, no global window).
+    Every (row, feature) hybrid is scored in one ``transform``."""
+    from ratelens.operators.scans import cumulative, hash_buckets
+    fm = _feature_model(tm)
+    gbt = tm.model.stages[-1]
+    d = len(tm.features)
+    x = fm.transform(rows).select(F.col(row_id).alias("_rid"), F.col(y).alias("_y"),
+                                  vector_to_array(FEATURES).alias("_x"), seeded_hash(row_id, seed).alias("_h"),
+                                  F.lit(1).alias("_one"))
+    pos = cumulative(x, ["_h"], ["_one"], bucketed=hash_buckets(x, "_h")).withColumnRenamed("cum__one", "_pos")
+    total = rows.count()
+    donors = pos.select(F.col("_pos").alias("_dpos"), F.col("_x").alias("_dx"))
+    pairs = pos.withColumn("_dpos", F.pmod(F.col("_pos") - 1 + F.lit(total // 2), F.lit(total)) + 1) \
+        .join(donors, "_dpos")
+    hyb = pairs.select("_rid", "_y", "_x", "_dx", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("_j"))
+    hyb = hyb.withColumn(FEATURES, array_to_vector(F.expr(
+        f"transform(sequence(0, {d - 1}), k -> IF(k = _j, _dx[k], _x[k]))")))
+    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))
+    scored = gbt.transform(hyb.select("_rid", "_j", "_y", FEATURES)).select("_rid", "_j", loss.alias("_loss"))
+    # the row's own loss (j = -1) sits in the same d+1-row partition of that row
+    base = F.max(F.when(F.col("_j") == -1, F.col("_loss"))).over(W.partitionBy("_rid"))
+    delta = scored.select("_j", (F.col("_loss") - base).alias("_d")).where(F.col("_j") >= 0)
+    names = F.array(*[F.lit(f) for f in tm.features])
+    return (delta.groupBy("_j").agg(F.round(F.avg("_d"), DIGITS).alias("importance"))
+            .select(names[F.col("_j")].alias("feature"), "importance")
+            .orderBy(F.desc("importance"), "feature"))

@@ -220,3 +220,39 @@ def search(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, folds: int =
     spark = data.sparkSession
     log = spark.createDataFrame(rows, "trial int, params string, mean_f1 double, std_f1 double, score double")
     return log, best
+
+
+def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_name: str = "eval",
+                 train_name: str = "train", sample: int = 100, seed: int = SEED) -> dict[str, DataFrame]:
+    """Every evaluation table of a trained model, by name. The scored table is
+    written once (shared checkpoint folder) and all tables derive from it."""
+    from ratelens.operators import explain
+    from ratelens.operators.ranks import seeded_sample
+    from ratelens.sources.tables import materialize
+    import uuid
+    spark = data.sparkSession
+    scored = materialize(spark, tm.score(data, keep=["row_id", tm.roles.label, split]), "scored", uuid.uuid4().hex)
+    ev_rows = scored.where(F.col(split) == eval_name)
+    curves = ev.curve_summary(ev_rows, tm.roles.label)
+    gap = ev.f1_gap(scored, split, tm.threshold, train_name, eval_name, tm.roles.label)
+    c, g = curves.first(), gap.first()
+    v = ev.verdicts(c.roc_auc, c.avg_precision, g.f1_gap)
+    summary = spark.createDataFrame(
+        [("roc_auc", c.roc_auc, v.get("roc")), ("avg_precision", c.avg_precision, v.get("pr")),
+         ("base_rate", c.base_rate, None), ("threshold", tm.threshold, None), ("f1_train", g.f1_train, None),
+         ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))],
+        "metric string, value double, verdict string")
+    info = spark.createDataFrame([(k, json.dumps(val)) for k, val in
+                                  {"encoding": tm.encoding, "params": tm.params, "threshold": tm.threshold,
+                                   "features": tm.features}.items()], "key string, value string")
+    rows = seeded_sample(data.where(F.col(split) == eval_name), "row_id", sample, seed)
+    bg = seeded_sample(data.where(F.col(split) == train_name), "row_id", max(1, sample // 2), seed + 1)
+    return {
+        "info": info, "summary": summary,
+        "importance": explain.feature_importance(tm),
+        "attribution": explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed)),
+        "roc": ev.roc_points(ev_rows, tm.roles.label), "pr": ev.pr_points(ev_rows, tm.roles.label),
+        "sweep": ev.threshold_sweep(ev_rows, y=tm.roles.label),
+        "confusion": ev.confusion(ev_rows, tm.threshold, tm.roles.label),
+        "class_report": ev.class_report(ev_rows, tm.threshold, tm.roles.label),
+    }

@@ -549,19 +549,11 @@ register("attribution")(_attribution)
 
 
 def _model_report(s, d):
-    tm = trained(s, d)
-    data = model_data(s, d)
-    ev_scored = tm.score(data.where(F.col("split") == "eval"), keep=["y"])
-    curves = ev.curve_summary(ev_scored)
-    gap = ev.f1_gap(tm.score(data, keep=["y", "split"]), "split", tm.threshold)
-    c, g = curves.first(), gap.first()
-    v = ev.verdicts(c.roc_auc, c.avg_precision, g.f1_gap)
-    rows = [("roc_auc", c.roc_auc, v.get("roc")), ("avg_precision", c.avg_precision, v.get("pr")),
-            ("base_rate", c.base_rate, None), ("threshold", tm.threshold, None),
-            ("f1_train", g.f1_train, None), ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))]
-    return s.createDataFrame(rows, "metric string, value double, verdict string")
+    return training.model_report(trained(s, d), model_data(s, d))["summary"]
 
 
+register("permutation_importance")(lambda s, d: explain.permutation_importance(
+    trained(s, d), model_data(s, d).where(F.col("split") == "eval"), "row_id", "y", SEED))
 register("model_report")(_model_report)
 
 

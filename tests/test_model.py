@@ -75,3 +75,15 @@ def test_fold_f1_and_search_log(spark):
     rows = log.collect()
     assert len(rows) == 1 and rows[0].score == pytest.approx(rows[0].mean_f1 - 0.1 * rows[0].std_f1)
     assert (best is None) == (rows[0].score <= 0)
+
+
+def test_permutation_importance_and_report(spark, model):
+    tm, data = model
+    imp = explain.permutation_importance(tm, data.where("split = 'eval'"), "row_id", "y").collect()
+    assert len(imp) == len(tm.features) and all(r.importance is not None for r in imp)
+    rep = training.model_report(tm, data, sample=5)
+    assert set(rep) >= {"summary", "importance", "attribution", "roc", "pr", "sweep", "confusion", "class_report"}
+    summary = {r.metric: r.value for r in rep["summary"].collect()}
+    assert 0.0 <= summary["roc_auc"] <= 1.0 and rep["sweep"].count() == 18
+    conf = sum(r["count"] for r in rep["confusion"].collect())
+    assert conf == data.where("split = 'eval'").count()
