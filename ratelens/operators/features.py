@@ -50,20 +50,23 @@ def fit_target_encoding(df: DataFrame, columns: Sequence[str], y: str, smoothing
                         min_samples_leaf: int = 1, materialize: bool = True) -> TargetEncoding:
     """M2 fit: ``(n * mean + s * global) / (n + s)`` per category, kept when n >= min_leaf.
     All columns are counted in one aggregate over the unpivoted (variable, category) pairs."""
-    g = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
-    g = 0.0 if g is None else float(g)
-    long = df.select(F.col(y).cast("double").alias("_y"),
+    # one aggregate: every (variable, category), plus a pseudo-variable holding all rows,
+    # whose single category gives the global mean
+    all_rows = "__all__"
+    long = df.select(F.col(y).cast("double").alias("_y"), F.lit("*").alias(all_rows),
                      *[F.col(c).cast("string").alias(c) for c in columns]) \
-        .unpivot(["_y"], list(columns), "variable", "category").where(F.col("category").isNotNull())
+        .unpivot(["_y"], [all_rows, *columns], "variable", "category").where(F.col("category").isNotNull())
     stats = long.groupBy("variable", "category").agg(F.count("_y").alias("count"), F.avg("_y").alias("mean"))
-    enc = ((F.col("count") * F.col("mean") + F.lit(smoothing) * F.lit(g)) / (F.col("count") + F.lit(smoothing)))
-    table = stats.where(F.col("count") >= min_samples_leaf).select("variable", "category", "count",
-                                                                  enc.alias("encoding"))
     if materialize:
         # the fitted state is written once (shared checkpoint folder) and read by every lookup
         from ratelens.sources.tables import materialize as write_once
         import uuid
-        table = write_once(df.sparkSession, table, "target_encoding", uuid.uuid4().hex)
+        stats = write_once(df.sparkSession, stats, "target_encoding", uuid.uuid4().hex)
+    g_row = stats.where(F.col("variable") == all_rows).select("mean").first()
+    g = 0.0 if g_row is None or g_row[0] is None else float(g_row[0])
+    enc = ((F.col("count") * F.col("mean") + F.lit(smoothing) * F.lit(g)) / (F.col("count") + F.lit(smoothing)))
+    table = stats.where((F.col("variable") != all_rows) & (F.col("count") >= min_samples_leaf)) \
+        .select("variable", "category", "count", enc.alias("encoding"))
     return TargetEncoding(table, g, tuple(columns))
 
 

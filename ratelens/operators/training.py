@@ -65,7 +65,7 @@ def gbt(params: dict, roles: Roles, validation: bool = True, seed: int = SEED) -
               subsamplingRate=float(params["subsample"]),
               featureSubsetStrategy=str(float(params["colsample_bytree"])),
               minInstancesPerNode=int(params["min_child_weight"]), minInfoGain=float(params["gamma"]),
-              weightCol=WEIGHT, seed=seed)
+              weightCol=WEIGHT, seed=seed, cacheNodeIds=True)
     if validation:
         kw["validationIndicatorCol"] = VALIDATION
     return GBTClassifier(**kw)
@@ -223,9 +223,10 @@ def search(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, folds: int =
 
 
 def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_name: str = "eval",
-                 train_name: str = "train", sample: int = 100, seed: int = SEED) -> dict[str, DataFrame]:
-    """Every evaluation table of a trained model, by name. The scored table is
-    written once (shared checkpoint folder) and all tables derive from it."""
+                 train_name: str = "train", sample: int = 100, seed: int = SEED,
+                 parts: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Every evaluation table of a trained model, by name (or only ``parts``). The
+    scored table is written once (shared checkpoint folder) and all tables derive from it."""
     from ratelens.operators import explain
     from ratelens.operators.ranks import seeded_sample
     from ratelens.sources.tables import materialize
@@ -247,12 +248,13 @@ def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_n
                                    "features": tm.features}.items()], "key string, value string")
     rows = seeded_sample(data.where(F.col(split) == eval_name), "row_id", sample, seed)
     bg = seeded_sample(data.where(F.col(split) == train_name), "row_id", max(1, sample // 2), seed + 1)
-    return {
-        "info": info, "summary": summary,
-        "importance": explain.feature_importance(tm),
-        "attribution": explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed)),
-        "roc": ev.roc_points(ev_rows, tm.roles.label), "pr": ev.pr_points(ev_rows, tm.roles.label),
-        "sweep": ev.threshold_sweep(ev_rows, y=tm.roles.label),
-        "confusion": ev.confusion(ev_rows, tm.threshold, tm.roles.label),
-        "class_report": ev.class_report(ev_rows, tm.threshold, tm.roles.label),
+    builders = {
+        "info": lambda: info, "summary": lambda: summary,
+        "importance": lambda: explain.feature_importance(tm),
+        "attribution": lambda: explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed)),
+        "roc": lambda: ev.roc_points(ev_rows, tm.roles.label), "pr": lambda: ev.pr_points(ev_rows, tm.roles.label),
+        "sweep": lambda: ev.threshold_sweep(ev_rows, y=tm.roles.label),
+        "confusion": lambda: ev.confusion(ev_rows, tm.threshold, tm.roles.label),
+        "class_report": lambda: ev.class_report(ev_rows, tm.threshold, tm.roles.label),
     }
+    return {k: b() for k, b in builders.items() if parts is None or k in parts}

@@ -549,7 +549,7 @@ register("attribution")(_attribution)
 
 
 def _model_report(s, d):
-    return training.model_report(trained(s, d), model_data(s, d))["summary"]
+    return training.model_report(trained(s, d), model_data(s, d), parts=("summary",))["summary"]
 
 
 register("permutation_importance")(lambda s, d: explain.permutation_importance(
