@@ -24,6 +24,11 @@ def get_spark(master: str | None = None, app: str = "ratelens",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RATELENS_DRIVER_MEMORY", "16g"))
+        # a long-running driver keeps only recent job / stage / query records in memory
+        .config("spark.sql.ui.retainedExecutions", "50")
+        .config("spark.ui.retainedJobs", "200")
+        .config("spark.ui.retainedStages", "200")
+        .config("spark.ui.retainedTasks", "5000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,7 @@ def fact_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def fact(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> DataFrame:
@@ -96,12 +98,16 @@ def fact(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> D
         return fact_frame(spark, sf_dir)
     app = spark.sparkContext.applicationId
     key = (app, os.path.abspath(sf_dir))
-    path = _WRITTEN.get(key)
-    if path is None:
-        tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
-        path = os.path.join(checkpoint_dir(spark), "ratelens-fact", f"{app}-{tag}")
-        fact_frame(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
+            path = os.path.join(checkpoint_dir(spark), "ratelens-fact", f"{app}-{tag}")
+            try:
+                fact_frame(spark, sf_dir).write.mode("overwrite").parquet(path)
+            except Exception:  # noqa: BLE001 - shared folder not writable: run on the lazy view
+                return fact_frame(spark, sf_dir)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
@@ -113,12 +119,13 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> Data
     back: later jobs start from files (lineage cut, survives executor loss)."""
     app = spark.sparkContext.applicationId
     k = (app, f"{name}:{key}")
-    path = _TABLES.get(k)
-    if path is None:
-        tag = hashlib.md5(k[1].encode()).hexdigest()[:12]
-        path = os.path.join(checkpoint_dir(spark), "ratelens-tables", f"{app}-{name}-{tag}")
-        df.write.mode("overwrite").parquet(path)
-        _TABLES[k] = path
+    with _LOCK:
+        path = _TABLES.get(k)
+        if path is None:
+            tag = hashlib.md5(k[1].encode()).hexdigest()[:12]
+            path = os.path.join(checkpoint_dir(spark), "ratelens-tables", f"{app}-{name}-{tag}")
+            df.write.mode("overwrite").parquet(path)
+            _TABLES[k] = path
     return spark.read.parquet(path)
 
 
