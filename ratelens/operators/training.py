@@ -148,10 +148,17 @@ def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: s
     positives weighted by ``scale_pos_weight`` x n_neg/n_pos; then choose the F1-best
     grid threshold on the test split (E2)."""
     params = dict(DEFAULT_PARAMS if params is None else params)
+    train_rows = data.where(F.col(split) == train_name)
     fit_rows = data.where(F.col(split).isin(train_name, val_name))
-    w = auto_weight(data.where(F.col(split) == train_name), roles) * float(params.get("scale_pos_weight", 1.0))
-    fit_rows = with_weights(fit_rows, roles, w).withColumn(VALIDATION, F.col(split) == val_name)
-    model = pipeline(roles, params, encoding).fit(fit_rows)
+    w = auto_weight(train_rows, roles) * float(params.get("scale_pos_weight", 1.0))
+    # encoders and assembler are fitted on the train split only (no validation labels leak
+    # into a target encoding); the trees then see train rows, with test rows as validation
+    stages = pipeline(roles, params, encoding).getStages()
+    features_model = Pipeline(stages=stages[:-1]).fit(train_rows)
+    fit_rows = with_weights(features_model.transform(fit_rows), roles, w) \
+        .withColumn(VALIDATION, F.col(split) == val_name)
+    trees = stages[-1].fit(fit_rows)
+    model = PipelineModel(stages=[*features_model.stages, trees])
     tm = TrainedModel(model, roles, encoding, params, 0.5, feature_names(roles, encoding), w)
     scored = tm.score(data.where(F.col(split) == val_name), keep=[roles.label])
     best = ev.best_threshold(scored, y=roles.label).first()

