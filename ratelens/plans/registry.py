@@ -565,4 +565,8 @@ def _format_kpis(s, d):
                     money_text("avg_income").alias("avg_income"), F.format_string("%.1f", "avg_tenure").alias("avg_tenure"))
 
 
-register("format_kpis")(_format_kpis)
+register("format_kpis", q(
+    f", k AS (SELECT count(*) AS total, round(avg(y::DOUBLE) * 100, 6) AS rate_pct, round(avg(job_sat), 6) AS js, "
+    f"round(avg(income), 6) AS inc, round(avg(tenure), 6) AS ten FROM fact WHERE {FACETS_SQL}) "
+    "SELECT format('{:,}', total) AS total, printf('%.1f%%', rate_pct) AS rate, printf('%.1f', js) AS avg_job_sat, "
+    "'$' || format('{:,.0f}', inc) AS avg_income, printf('%.1f', ten) AS avg_tenure FROM k"))(_format_kpis)
