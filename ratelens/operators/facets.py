@@ -51,7 +51,7 @@ def facet_domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(facet, value) distinct non-null values of many columns in one pass."""
     cols = [F.col(c).cast("string").alias(c) for c in columns]
     long = df.select(*cols).unpivot([], list(columns), "facet", "value")
-    return long.where(F.col("value").isNotNull()).distinct()
+    return long.where(F.col("value").isNotNull()).distinct().orderBy("facet", "value")
 
 
 def facet_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -66,8 +66,10 @@ def mean_by(df: DataFrame, key: str, x: str, name: str | None = None) -> DataFra
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """A4: counts per non-null value."""
-    return _not_null(df, [col]).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    """A4: counts per non-null value, most frequent first (the sort runs on the
+    aggregated rows, one per value)."""
+    return (_not_null(df, [col]).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), F.asc(col)))
 
 
 def category_share(df: DataFrame, col: str) -> DataFrame:
@@ -113,7 +115,8 @@ def all_variables(df: DataFrame, columns: Sequence[str], outcome: str, positive:
     return (long.groupBy("variable", "category")
             .agg(F.round(F.coalesce(pos * 100.0 / F.count(F.col(outcome)), F.lit(0.0)), RATE_DIGITS)
                  .alias("rate_pct"), F.count(F.lit(1)).alias("count"))
-            .where(F.col("count") >= min_count))
+            .where(F.col("count") >= min_count)
+            .orderBy(F.desc_nulls_last("rate_pct"), "variable", "category"))
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
