@@ -26,33 +26,52 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
-                  buckets: int = DEFAULT_BUCKETS, extra: Sequence[Column] = ()) -> DataFrame:
-    """Adds ``_bucket``: one of ``buckets`` equal-width ranges of ``order_col`` between the
-    group's exact min and max (one small row per group, joined back). ``extra`` group
-    aggregates are computed in the same pass and joined back too.
-
-    Edges come from exact min / max, so a recomputed plan assigns the same buckets
-    (an approximate sketch may not, and the offsets would then not match the rows)."""
+                  buckets: int = DEFAULT_BUCKETS, extra: Sequence[Column] = (),
+                  accuracy: int = 1000) -> DataFrame:
+    """Adds ``_bucket``: one of ``buckets`` value ranges of ``order_col`` per group, cut at
+    approximate quantiles, so a long tail or a few outliers cannot crowd most values into
+    one bucket (one task). ``extra`` group aggregates come from the same pass.
+
+    The edges are fixed once per call -- driver literals for a single group, a written
+    table (shared checkpoint folder) for many groups -- so a recomputed plan (e.g. after
+    an executor loss) assigns exactly the same buckets; exactness of the results never
+    depends on the edges, only the balance of the work does."""
     d, keys = _keys(df, by)
     v = F.col(order_col).cast("double")
-    aggs = [F.min(v).alias("_lo"), F.max(v).alias("_hi"), *extra]
+    steps = []
+    b = 1
+    while b < buckets:
+        b *= 2
+    buckets = b                       # a power of two: the search below takes log2 steps
+    step = buckets // 2
+    while step >= 1:
+        steps.append(step)
+        step //= 2
+    probs = [i / buckets for i in range(1, buckets)]
+    aggs = [F.percentile_approx(v, probs, accuracy).alias("_edges"), *extra]
     if by:
+        from ratelens.sources.tables import materialize
+        import uuid
+        edges_df = materialize(d.sparkSession, d.groupBy(*keys).agg(*aggs), "bucket_edges", uuid.uuid4().hex)
         # one row per group, joined back by the group keys (AQE broadcasts it by measured size)
-        stats = d.groupBy(*keys).agg(*aggs)
-        d = d.join(stats, keys)
-        lo, hi = F.col("_lo"), F.col("_hi")
-        drop = ["_lo", "_hi"]
+        d = d.join(edges_df, keys)
+        drop = ["_edges"]
     else:
-        # a single group: its few statistics are a driver-side lookup (no join on a constant)
+        # a single group: its edges and statistics are a driver-side lookup (no join on a constant)
         agg = d.agg(*aggs)
         types = {f.name: f.dataType for f in agg.schema.fields}
         row = agg.first().asDict()
-        lo, hi = F.lit(row.pop("_lo")).cast("double"), F.lit(row.pop("_hi")).cast("double")
+        cuts = [float(e) for e in (row.pop("_edges") or [])] or [float("inf")] * (buckets - 1)
         d = d.withColumns({k: F.lit(val).cast(types[k]) for k, val in row.items()})
-        drop = []
-    raw = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets)))
-    bucket = F.when(hi > lo, F.least(raw, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    return d.withColumn("_bucket", bucket).drop(*drop)
+        d = d.withColumn("_edges", F.array(*[F.lit(e) for e in cuts]))
+        drop = ["_edges"]
+    # bucket = number of edges < value, by an unrolled binary search over the sorted
+    # edges (log2(buckets) element_at + compare steps, all code-generated)
+    d = d.withColumn("_bucket", F.lit(0))
+    for st in steps:
+        d = d.withColumn("_bucket", F.col("_bucket") + F.when(
+            F.element_at(F.col("_edges"), F.col("_bucket") + st) < v, F.lit(st)).otherwise(F.lit(0)))
+    return d.drop(*drop)
 
 
 def hash_buckets(df: DataFrame, hash_col: str, digits: int = 4) -> DataFrame:

@@ -244,3 +244,24 @@ def test_histogram_dense(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (10.0,)], "x double")
     h = stats.histogram(df, "x", 5).orderBy("bin").collect()
     assert [r["count"] for r in h] == [2, 0, 0, 0, 1]
+
+
+def test_hot_group_and_long_tail_stay_exact_and_balanced(spark):
+    """One group holds most rows and the values have far outliers: results stay exact
+    and the range buckets still spread the values (no bucket holds most of them)."""
+    import numpy as np
+    from ratelens.operators.scans import range_buckets
+    rnd = np.random.RandomState(7)
+    vals = np.concatenate([rnd.randint(0, 5000, 3000), [1e9, 2e9, 5e12]])
+    rows = [("hot" if i % 10 else "cold", float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    q = {(r.g, r.p): r.value for r in exact_quantiles(df, "x", [0.1, 0.5, 0.99], by=["g"]).collect()}
+    for (g, p), v in q.items():
+        xs = [x for gg, x in rows if gg == g]
+        assert v == pytest.approx(float(np.percentile(xs, p * 100)))
+    b = range_buckets(df.select("x").distinct(), "x", buckets=64).groupBy("_bucket").count().collect()
+    n = sum(r["count"] for r in b)
+    assert max(r["count"] for r in b) < 0.1 * n
+    pct = ranks.rank_pct(df.withColumn("id", F.monotonically_increasing_id()), "x").toPandas()
+    exp = pct["x"].rank(pct=True)
+    assert np.allclose(pct["rank_pct"].values, exp.values)
