@@ -15,7 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = None   # derived from the session's shuffle parallelism (see bucket_count)
+MIN_BUCKETS, MAX_BUCKETS = 64, 8192
+MAX_LOOKUP_GROUPS = 1000
+
+
+def bucket_count(spark) -> int:
+    """Range buckets per group: about 4 per shuffle partition the session is configured
+    for (so the bucket windows can occupy the whole cluster), a power of two in
+    [64, 8192]."""
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except Exception:  # noqa: BLE001
+        parts = 200
+    b = MIN_BUCKETS
+    while b < 4 * parts and b < MAX_BUCKETS:
+        b *= 2
+    return b
 _G = "_rl_group"
 
 
@@ -26,7 +42,7 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
-                  buckets: int = DEFAULT_BUCKETS, extra: Sequence[Column] = (),
+                  buckets: int | None = DEFAULT_BUCKETS, extra: Sequence[Column] = (),
                   accuracy: int = 1000) -> DataFrame:
     """Adds ``_bucket``: one of ``buckets`` value ranges of ``order_col`` per group, cut at
     approximate quantiles, so a long tail or a few outliers cannot crowd most values into
@@ -38,6 +54,7 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     depends on the edges, only the balance of the work does."""
     d, keys = _keys(df, by)
     v = F.col(order_col).cast("double")
+    buckets = buckets or bucket_count(df.sparkSession)
     steps = []
     b = 1
     while b < buckets:
@@ -50,10 +67,16 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     probs = [i / buckets for i in range(1, buckets)]
     aggs = [F.percentile_approx(v, probs, accuracy).alias("_edges"), *extra]
     if by:
-        from ratelens.sources.tables import materialize
-        import uuid
-        edges_df = materialize(d.sparkSession, d.groupBy(*keys).agg(*aggs), "bucket_edges", uuid.uuid4().hex)
-        # one row per group, joined back by the group keys (AQE broadcasts it by measured size)
+        per_group = d.groupBy(*keys).agg(*aggs)
+        few = per_group.limit(MAX_LOOKUP_GROUPS + 1).collect()
+        if len(few) <= MAX_LOOKUP_GROUPS:
+            # few groups: their edges are a proven-small lookup, broadcast from the driver
+            edges_df = F.broadcast(d.sparkSession.createDataFrame(few, per_group.schema))
+        else:
+            from ratelens.sources.tables import materialize
+            import uuid
+            edges_df = materialize(d.sparkSession, per_group, "bucket_edges", uuid.uuid4().hex)
+        # one row per group, joined back by the group keys
         d = d.join(edges_df, keys)
         drop = ["_edges"]
     else:
@@ -82,7 +105,7 @@ def hash_buckets(df: DataFrame, hash_col: str, digits: int = 4) -> DataFrame:
 
 def cumulative(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Sequence[str] = (),
                descending: bool = False, bucketed: DataFrame | None = None,
-               buckets: int = DEFAULT_BUCKETS, inclusive: bool = True, how: str = "sum") -> DataFrame:
+               buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = True, how: str = "sum") -> DataFrame:
     """Running sums ``cum_<c>`` of ``sums`` over rows ordered by ``order`` within ``by``.
 
     Ties in ``order`` are broken by the row order of the remaining ``order`` columns;
@@ -116,7 +139,7 @@ def cumulative(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Seq
 
 
 def value_counts_cum(df: DataFrame, x: str, by: Sequence[str] = (), weights: dict[str, Column] | None = None,
-                     descending: bool = False, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     descending: bool = False, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Distinct values of ``x`` per group with ``cnt`` (and weighted sums), plus running
     totals ``cum_cnt`` ... in value order. Nulls in ``x`` are dropped."""
     aggs = [F.count(F.lit(1)).alias("cnt")]
@@ -127,7 +150,7 @@ def value_counts_cum(df: DataFrame, x: str, by: Sequence[str] = (), weights: dic
 
 
 def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``).
 
     Returns ``(by..., pi, p, value)``. No group's values are gathered in one place:
