@@ -97,9 +97,14 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     return d.drop(*drop)
 
 
-def hash_buckets(df: DataFrame, hash_col: str, digits: int = 4) -> DataFrame:
+def hash_buckets(df: DataFrame, hash_col: str, digits: int | None = None) -> DataFrame:
     """Adds ``_bucket`` from the leading hex digits of a uniform hash (16**digits buckets,
-    order-preserving with respect to the hash string)."""
+    order-preserving with respect to the hash string). By default the digit count gives at
+    least as many buckets as ``bucket_count`` (2 digits locally, up to 4 on a cluster)."""
+    if digits is None:
+        target, digits = bucket_count(df.sparkSession), 2
+        while 16 ** digits < target:
+            digits += 1
     return df.withColumn("_bucket", F.conv(F.substring(F.col(hash_col), 1, digits), 16, 10).cast("int"))
 
 
