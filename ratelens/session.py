@@ -39,8 +39,9 @@ def get_spark(master: str | None = None, app: str = "ratelens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    Read from ``spark.checkpoint.dir`` (what the cluster names); only when it is
-    unset, as in tests, a fresh local folder is made and set.
+    Read from ``spark.checkpoint.dir`` (what the cluster names). Only a local session, as in
+    tests, may leave it unset and gets a fresh folder; a cluster's executors share no local
+    folder, so there it must be set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="ratelens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
