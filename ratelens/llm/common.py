@@ -52,18 +52,17 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(node, root)`` for each node of an edge;
     ``root`` is the smallest node of the component. Self-loops and repeats are allowed; no edges, no rows.
 
-    Each round every node points at the neighbour (or itself) of least seeded hash, and edges are rewritten
-    to the pointed-at nodes. The random order shrinks paths and stars alike, so the rounds are about the logarithm
-    of the diameter. A hub's edges meet in a partial aggregate and in joins that AQE can split."""
+    Each round every node points at the neighbour (or itself) of least hash, and edges are rewritten to the
+    pointed-at nodes. The random order shrinks paths and stars alike, so the rounds are about the logarithm of the
+    diameter. A hub's edges meet in a partial aggregate and in joins that AQE can split."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
                    "edges")
     parents = []
     while True:
-        seed = len(parents)
         live = both.where("a <> b")
         if live.isEmpty():
             break
-        order = F.xxhash64(F.lit(seed), "b")
+        order = F.xxhash64("b")
         to = live.union(live.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min_by("b", order).alias("to"))
         to = written(to, "parents")
         parents.append(to)

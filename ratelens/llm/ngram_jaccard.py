@@ -8,9 +8,12 @@ and enumerates the subsets that leave out the k cells in which similar parts of
 features in some subset are then equal, and its hash is the signature. A subset without features gives
 the part's k+1 smallest features instead, of which similar parts share one.
 
-Sets meet on signatures in a star (each with one pivot of the bucket), never in all pairs of a bucket. Buckets that still
-hold several components are signed again by larger, more selective parts, get more pivots, and the pairs then left
-between different components are verified one by one, so no link between components is lost.
+Before, sets that hardly share features with any other are left out: those of whose sample (features in a fixed part of the
+hash space, all features of small sets) less than a quarter occurs in another set. Sets meet on signatures in a star (each
+with one pivot of the bucket), never in all pairs of a bucket. Of buckets that still hold several components, those of a
+few sets have their other pairs verified. In crowded ones (a passage that many documents share) sets meet again on
+their rarest features: similar sets share one of the n - ceil(t n) + 1 rarest of either, and enough features from the first shared one on. These
+get more pivots, and the pairs then left between components are verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,18 +24,20 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm import text
 from ratelens.llm.common import components, drop_written, small, written
 
-#: Of the first and the refining family: mean features of a part at a band's lower end, spare cells of a subset,
-#: and bits by which the number of parts grows from band to band.
-FAMILIES = ((3, 0, 2), (6, 2, 1))
-#: Sets in a bucket whose pairs are verified without refining it (each set meets at most so many others there).
+#: Mean features of a part at a band's lower end; bands and numbers of parts grow by 4.
+MEAN = 3
+#: Least features of a set's sample (of all features by chance). Two sets of Jaccard 0.8 share four fifths of
+#: either at least; that they share under a quarter of a sample has a chance under 1e-8.
+SAMPLE = 24
+#: Sets in a bucket whose pairs are verified at once (each set meets at most so many others there).
 FEW = 32
-#: Pivots tried for each refined bucket before the remaining pairs are verified.
+#: Pivots tried for each crowded bucket before the remaining pairs are verified.
 PIVOT_ROUNDS = 2
 
 
@@ -43,10 +48,9 @@ def local_classes(a: int, t: float) -> list[int]:
     return sorted({worst(ceil(t * a - 1e-9)), worst(a)})
 
 
-def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float, family: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of the sets ``s`` (sorted within ``row``, ``size`` features each): signature and row."""
-    mean, spare, step = FAMILIES[family]
-    low = [0] + [mean << step * (i + 1) for i in range(40 // step)]
+    low = [0] + [MEAN << 2 * (i + 1) for i in range(20)]
     band = np.searchsorted(low, size, "right") - 1
     upper = np.searchsorted(low, np.floor(size / t + 1e-9), "right") - 1
     out_sig, out_row = [], []
@@ -56,7 +60,7 @@ def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float, famil
         u, r = s[keep], row[keep]
         if not len(u):
             continue
-        bits = step * int(b)
+        bits = 2 * int(b)
         part = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
         # features are sorted within a row and parts are leading bits: parts are runs
         new = np.ones(len(u), bool)
@@ -64,8 +68,8 @@ def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float, famil
         first = np.flatnonzero(new)
         local = np.diff(np.append(first, len(u)))
         group = np.cumsum(new) - 1
-        name = text.mix(part[first].astype(np.uint64), int(b) + 64 * family)
-        value = text.mix(u, 5 + family)
+        name = text.mix(part[first].astype(np.uint64), int(b))
+        value = text.mix(u, 5)
         by_class: dict[int, list[int]] = {}
         for a in np.unique(local):
             for k in local_classes(int(a), t):
@@ -75,7 +79,7 @@ def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float, famil
             index = np.cumsum(chosen) - 1
             mask = chosen[group]
             g = index[group[mask]]
-            n2 = 1 if k == 0 else k + 1 + spare
+            n2 = k + 1
             cell = g * n2 + (text.mix(u[mask], 77 + k) % np.uint64(n2)).astype(np.int64)
             total = np.zeros(chosen.sum() * n2, np.uint64)
             np.add.at(total, cell, value[mask])
@@ -109,24 +113,36 @@ def _prints(s: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-def _classes(k: int):
+def _level(size: np.ndarray) -> np.ndarray:
+    """Sets of ``size`` features sample a 2^-level part of the hash space: SAMPLE to twice as many features, or all."""
+    return np.maximum(np.floor(np.log2(np.maximum(size, 1) / SAMPLE)), 0).astype(np.uint64)
+
+
+def _sample(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and whether it is in the set's own sample, of the features that the set shows to the samples of sets of at
+    most 1/t times fewer or more features."""
+    x = text.mix(s, 9)
+    shown = _level(np.floor(size * t))[row]
+    keep = (x >> (np.uint64(63) - shown)) <= 1
+    x, row = x[keep], row[keep]
+    return x, row, (x >> (np.uint64(63) - _level(size)[row])) <= 1
+
+
+def _lists(value: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(value))
+
+
+def _classes(k: int, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, s, row, size in text.text_sets(batch.column(1), k):
                 v, w = _prints(s, row, size)
+                x, r, own = _sample(s, row, size, t)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w)],
-                    ["id", "n", "v", "w"])
-    return run
-
-
-def _signed(k: int, t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, s, row, size in text.text_sets(batch.column(0), k):
-                v, _ = _prints(s, row, size)
-                sig, r = signatures(s, row, size, t, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(v[r])], ["sig", "v"])
+                    [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w),
+                     _lists(x[own].view(np.int64), r[own], j - i), _lists(x[~own].view(np.int64), r[~own], j - i)],
+                    ["id", "n", "v", "w", "own", "more"])
     return run
 
 
@@ -135,29 +151,21 @@ def _sets(k: int):
         for batch in batches:
             for i, j, s, row, size in text.text_sets(batch.column(1), k):
                 v, w = _prints(s, row, size)
-                at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(s.view(np.int64)))],
-                    ["rep", "n", "v", "w", "s"])
+                     _lists(s.view(np.int64), row, j - i)], ["rep", "n", "v", "w", "s"])
     return run
 
 
-def _signed_again(t: float):
-    """Signatures of the refining family, each once for the set's size class and once for the next: sizes that allow
-    a link lie in one class or two adjoining ones."""
+def _signed(t: float):
+    """Signatures of sets ``(rep, n, s)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            size = np.diff(lists.offsets.to_numpy())
-            for i, j in text.chunks(lists.offsets.to_numpy().astype(np.int64) * 8):
-                part = lists.slice(i, j - i)
-                s = part.flatten().to_numpy().view(np.uint64)
-                row = np.repeat(np.arange(j - i), size[i:j])
-                sig, r = signatures(s, row, size[i:j], t, 1)
-                step = np.floor(np.log(size[i:j] + 1e-9) / np.log(1 / t + 1e-9)).astype(np.uint64)[r]
-                sig = np.concatenate([text.mix(sig + text.mix(step, 21)), text.mix(sig + text.mix(step + np.uint64(1), 21))])
-                r = np.concatenate([r, r])
+            at = batch.column(2).offsets.to_numpy().astype(np.int64)
+            for i, j in text.chunks(at * 8):
+                s = batch.column(2).slice(i, j - i).flatten().to_numpy().view(np.uint64)
+                size = np.diff(at[i:j + 1])
+                sig, r = signatures(s, np.repeat(np.arange(j - i), size), size, t)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sig.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(r))], ["sig", "rep"])
     return run
@@ -186,33 +194,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and has a null component. Equal texts are one set before any join. Texts are read whole (a task holds one
     text of over 1 MB at a time); other columns are ignored. No rows, no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_classes(words), "id long, n long, v long, w long"), "classes")
-    # buckets: signatures of at least two different sets
-    signed = docs.where("id is not null").select("text").mapInArrow(_signed(words, threshold), "sig long, v long")
-    shared = written(signed.groupBy("sig").agg(F.min("v").alias("pivot"), F.max("v").alias("top"))
-                           .where("pivot <> top").select("sig", "pivot"), "shared")
-    member = written(signed.join(small(shared, 16), "sig").select("sig", "v", "pivot").distinct(), "member")
-    # one text for each set that is in a bucket
-    wanted = written(rows.where("id is not null and n > 0").join(member.select("v").distinct(), "v")
-                         .groupBy("v", "w").agg(F.min("id").alias("id"))
+    rows = written(docs.mapInArrow(_classes(words, threshold),
+                                   "id long, n long, v long, w long, own array<long>, more array<long>"), "classes")
+    full = rows.where("id is not null and n > 0")
+    # one id for each set that may have a link
+    wanted = written(full.join(_sampled(full, threshold), "v", "left_semi").groupBy("v", "w").agg(F.min("id").alias("id"))
                          .groupBy("id").agg(F.collect_set(F.struct("v", "w")).alias("is")), "wanted")
     texts = docs.join(small(wanted.select("id"), 8), "id", "left_semi").select("id", "text")
     sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, s array<long>")
     sets = written(sets.join(small(wanted, 64).withColumnRenamed("id", "rep"), "rep")
-                       .where("array_contains(is, struct(v, w))").drop("is").dropDuplicates(["rep", "v", "w"]), "sets")
-    named = sets.select("rep", "v")
-    star = (member.select("v", "pivot").where("v <> pivot").distinct()
-                  .join(named.select("v", F.col("rep").alias("a")), "v")
-                  .join(named.select(F.col("v").alias("pivot"), F.col("rep").alias("b")), "pivot"))
-    links = written(_verified(star.select("a", "b").distinct(), sets, threshold), "links")
+                       .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "s")
+                       .dropDuplicates(["rep", "v", "w"]), "sets")
+    # buckets: signatures of at least two different sets
+    signed = sets.select("rep", "n", "s").mapInArrow(_signed(threshold), "sig long, rep long")
+    shared = written(signed.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"))
+                           .where("pivot <> top").select("sig", "pivot"), "shared")
+    member = written(signed.join(small(shared, 16), "sig").select("sig", "rep", "pivot").distinct(), "member")
+    star = member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = written(_verified(star, sets, threshold), "links")
     ties = written(_ties(rows), "ties")
     root = components(links.union(ties))
     # buckets that still hold several components: of a few sets, their other pairs; of many, the refined buckets
-    left = written(_open(member.join(named, "v").select("sig", "rep").distinct(), root, 3), "left")
+    left = written(_open(member.select("sig", "rep"), root, 3), "left")
     many = left.where(f"members > {FEW}").select("rep").distinct()
-    again = (sets.join(small(written(many, "many"), 8), "rep", "left_semi").select("rep", "n", "s")
-                 .mapInArrow(_signed_again(threshold), "sig long, rep long").distinct())
-    again = written(again, "again")
+    again = written(_rare(sets.join(small(written(many, "many"), 8), "rep", "left_semi"), threshold), "again")
     pairs = _cross(left.where(f"members <= {FEW}"), sets, threshold)
     for turn in range(PIVOT_ROUNDS):
         hot = _open(again, root, 2)
@@ -233,6 +238,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _named(rows, root)
 
 
+def _sampled(full: DataFrame, t: float) -> DataFrame:
+    """``(v)`` of the sets of whose own sample other sets show a share of t - 0.55 at least."""
+    shown = full.select("v", F.explode(F.concat("own", "more")).alias("x"))
+    common = written(shown.groupBy("x").agg(F.min("v").alias("p"), F.max("v").alias("q")).where("p <> q").select("x"),
+                     "common")
+    hit = (full.select("v", F.size("own").alias("k"), F.explode("own").alias("x"))
+               .join(small(common, 8), "x", "left_semi").distinct())
+    return written(hit.groupBy("v", "k").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= (t - 0.55) * F.col("k")).select("v").distinct(),
+                   "sampled")
+
+
+def _rare(sets: DataFrame, t: float) -> DataFrame:
+    """Buckets ``(sig, rep)`` of the features that similar sets must share one of: each set's rarest, as many as it can
+    differ in and one more."""
+    f = sets.select("rep", "v", "n", F.explode("s").alias("sig"))
+    f = f.join(f.groupBy("sig").agg(F.count(F.lit(1)).alias("held")), "sig")
+    order = Window.partitionBy("rep", "v").orderBy("held", "sig")
+    most = F.col("n") - F.expr(f"({round(t * 1000)} * n + 999) div 1000") + 1
+    return (f.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) & (F.col("held") > 1))
+             .select("sig", "rep", "n", "place"))
+
+
 def _ties(rows: DataFrame) -> DataFrame:
     """Edges between the sets of rows that repeat an id with different texts."""
     full = rows.where("id is not null and n > 0")
@@ -243,22 +270,25 @@ def _ties(rows: DataFrame) -> DataFrame:
 
 
 def _cross(buckets: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Pairs ``(a, b)`` of members of different components in a bucket ``(sig, rep, root)`` whose sizes allow a link."""
+    """Pairs ``(a, b)`` of members of different components in a bucket ``(sig, rep, root)`` whose sizes, and places of the
+    shared feature if there are any, allow a link: the overlap is at most what follows the first shared feature."""
     per_mille = round(t * 1000)
-    sized = buckets.join(sets.groupBy("rep").agg(F.min("n").alias("n"), F.max("n").alias("m")), "rep")
-    x = sized.select("sig", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("m").alias("ma"),
-                     F.col("n").alias("na"))
-    y = sized.select("sig", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"),
-                     F.col("n").alias("nb"))
-    return (x.join(y, "sig").where("a < b and ra <> rb")
-             .where(f"1000 * ma >= {per_mille} * nb and 1000 * mb >= {per_mille} * na").select("a", "b").distinct())
+    allowed = f"least(xn, yn) * 1000 >= {per_mille} * greatest(xn, yn)"
+    if "place" in buckets.columns:
+        sized = buckets
+        allowed += (f" and (1 + least(xn - xplace, yn - yplace)) * {1000 + per_mille} >= {per_mille} * (xn + yn)")
+    else:
+        sized = buckets.join(sets.select("rep", "n"), "rep").withColumn("place", F.lit(1))
+    x, y = (sized.select("sig", *[F.col(c).alias(side + c) for c in ("rep", "root", "n", "place")]) for side in "xy")
+    return (x.join(y, "sig").where("xrep < yrep and xroot <> yroot").where(allowed)
+             .select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct())
 
 
 def _open(buckets: DataFrame, root: DataFrame, least: int) -> DataFrame:
-    """``(sig, rep, root, members)`` of the buckets ``(sig, rep)`` of at least ``least`` members in more than one
-    component."""
-    at = buckets.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "sig", "rep", F.coalesce("root", "rep").alias("root"))
+    """The rows of the buckets ``(sig, rep, ...)`` of at least ``least`` members in more than one component, with
+    ``root`` and ``members``."""
+    at = buckets.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
+        "root", F.coalesce("root", "rep"))
     several = at.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"),
                                     F.count(F.lit(1)).alias("members"))
     return at.join(several.where(f"p <> q and members >= {least}").select("sig", "members"), "sig")

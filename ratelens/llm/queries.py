@@ -5,17 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratelens.llm import ngram_jaccard
-from ratelens.llm.common import read_table
+from ratelens.llm import line_dedup, mixing, ngram_jaccard, quality, token_output, toxicity
+from ratelens.llm.common import read_table, scratch
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out_dir = scratch(spark, "tokens")
+    token_output.write_tokens(read_table(spark, sf_dir, "documents"), out_dir,
+                              public_tokenizers.path("word_bpe_49k.json"), by_word=True)
+    return token_output.read_tokens(spark, out_dir)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
+    "op4_token_output": op4_token_output,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op5_mix_sources": mixing.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+}

@@ -119,3 +119,14 @@ def text_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, int, np.ndarr
             keep[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
             s, r = s[keep], r[keep]
         yield i, j, s, r, np.bincount(r, minlength=j - i)
+
+
+def beginnings(data: np.ndarray, first: np.ndarray, end: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size: hashes of the words' first bytes, and which words are longer than that."""
+    up, _ = _power_tables(1)
+    total = np.zeros(len(first), np.uint64)
+    for x in range(max(sizes)):
+        there = first + x < end
+        total[there] += _TABLE[data[first[there] + x]] * up[x]
+        if x + 1 in sizes:
+            yield mix(total + np.uint64(x + 1), 31), end - first > x + 1
