@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import line_dedup, mixing, ngram_jaccard, quality, token_output, toxicity
+from ratelens.llm import embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, token_output, toxicity
 from ratelens.llm.common import read_table, scratch
 
 
@@ -35,6 +35,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
@@ -51,6 +55,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_output": op4_token_output,
     "op5_mix_sources": op5_mix_sources,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }

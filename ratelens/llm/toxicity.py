@@ -67,7 +67,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(features: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, column) of the hashes that are features: one column for each held, one for each held often."""
+    """Distinct (row, column), by row, of the hashes that are features: one column for each held, one for each held often."""
     n = len(features)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,7 +75,9 @@ def _held(features: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndar
     hit = features[x] == h
     both, count = np.unique(row[hit] * n + x[hit], return_counts=True)
     more = both[count >= OFTEN]
-    return np.concatenate([both // n, more // n]), np.concatenate([both % n, n + more % n])
+    row, col = np.concatenate([both // n, more // n]), np.concatenate([both % n, n + more % n])
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order]
 
 
 def fit_nnpu(row: np.ndarray, col: np.ndarray, positive: np.ndarray, features: int, prior: float, seed: int,
