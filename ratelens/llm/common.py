@@ -15,7 +15,12 @@ from ratelens.session import checkpoint_dir
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows of whole texts in an Arrow batch (Spark's own number suits short rows).
+BATCH_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 

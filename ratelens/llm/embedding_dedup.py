@@ -1,11 +1,11 @@
 """Operator 6: near-duplicate vectors by spherical-cap filters.
 
-Filter directions are the words of a random product code: the vector is cut in blocks, each block has its own random unit
-vectors, and a direction joins one of each. A vector passes the filters whose direction it exceeds the cap's height
-with; list decoding finds them block by block, dropping prefixes that can't reach the height any more. Vectors meet
-in the filters they share and are compared there in double precision. The number of vectors sets the height, so that a filter
-holds about as many vectors at every scale, and the code size, so that a pair at the threshold shares EXPECTED
-filters on average (chance of none: about e^-EXPECTED). Filters that hold more than BLOCK vectors are dealt out as pairs of blocks.
+Filter directions are the words of random product codes: a randomly rotated vector is cut in blocks, each block has its own
+random unit vectors, and a direction joins one of each. A vector passes the filters whose direction it exceeds the cap's
+height with; list decoding finds them block by block, dropping beginnings that can't reach the height any more.
+Vectors meet in the filters they share and are compared there in double precision. The number of vectors sets the height, so
+that a filter holds about as many at every scale; codes are added until random pairs at the threshold share a
+filter as often as RECALL. Filters that hold more than BLOCK vectors are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,45 +21,46 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import components, small, written
 
-EXPECTED = 9.0
-#: Vectors that a filter holds on average, and at most in one block.
-HELD, BLOCK = 64, 1024
+RECALL = 0.998
+#: Filters of one code that a vector passes, and vectors in a filter, on average; vectors in one block at most.
+PASSED, HELD, BLOCK = 6, 64, 1024
+#: Random pairs that measure the recall, and the most codes.
+TRIALS, MOST_CODES = 4000, 64
+_CODE_BITS = 50
+
+
+def cap_height(dim: int, share: float) -> float:
+    """Height that a random unit vector's first component exceeds with probability ``share``."""
+    if dim < 2:
+        return 0.0
+    if dim == 2:
+        return math.cos(math.pi * share)
+    x = np.linspace(0, 1, 200_001)
+    tail = np.cumsum(((1 - x * x) ** ((dim - 3) / 2))[::-1])[::-1]
+    return float(x[np.searchsorted(-tail, -2 * share * tail[0])])
 
 
 @dataclass(frozen=True)
 class Code:
+    rotation: np.ndarray
     blocks: tuple[np.ndarray, ...]  # for each block of dimensions: its unit vectors in rows
     height: float
 
     @staticmethod
-    def of(dim: int, vectors: int, threshold: float, seed: int = 5) -> Code:
+    def of(dim: int, share: float, seed: int) -> Code:
         rng = np.random.default_rng([seed, dim])
-        # a random direction's inner product with a unit vector, and with a second one at the threshold, by trial
-        trials = 200_000
-        x = rng.standard_normal((trials, 2))
-        rest = rng.chisquare(max(dim - 2, 1), trials) if dim > 2 else np.zeros(trials)
-        x /= np.sqrt((x * x).sum(1) + rest)[:, None]
-        first, second = x[:, 0], threshold * x[:, 0] + math.sqrt(max(0.0, 1 - threshold ** 2)) * x[:, 1]
-        share = min(0.2, max(HELD / max(vectors, 1), 200 / trials))
-        height = float(np.quantile(first, 1 - share))
-        both = max(((first >= height) & (second >= height)).mean(), 1 / trials)
-        tail = share / max(HELD / max(vectors, 1), 1e-12)
-        if tail > 1.0 and share < 0.2:  # beyond what trials show: the Gaussian tail's height and its loss of shared filters
-            z = math.sqrt(dim) * height
-            higher = math.sqrt(z * z + 2 * math.log(tail))
-            height, both = higher / math.sqrt(dim), both / tail ** (2 / (1 + threshold))
-        words = EXPECTED / both
-        count = 1 if dim < 8 or words < 64 else 2 if words < 1 << 17 else 3 if words < 1 << 26 else 4
-        each = max(2, math.ceil(words ** (1 / count)))
+        words = max(2.0, PASSED / share)
+        count = 1 if dim < 8 else 2 if words < 1 << 20 else 3 if words < 1 << 29 else 4
         cuts = np.linspace(0, dim, count + 1).astype(int)
         parts = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            c = rng.standard_normal((each, b - a))
+            c = rng.standard_normal((max(2, math.ceil(words ** (1 / count))), b - a))
             parts.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(count))
-        return Code(tuple(parts), height)
+        return Code(np.linalg.qr(rng.standard_normal((dim, dim)))[0], tuple(parts), cap_height(dim, share))
 
     def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and number of every filter that unit vectors ``v`` pass, by row and number."""
+        v = v @ self.rotation
         at = np.cumsum([0] + [c.shape[1] for c in self.blocks])
         products = [v[:, a:b] @ c.T for c, a, b in zip(self.blocks, at[:-1], at[1:])]
         best = [p.max(1) for p in products]
@@ -72,6 +73,38 @@ class Code:
         return row, word
 
 
+@dataclass(frozen=True)
+class Filters:
+    codes: tuple[Code, ...]
+    recall: float
+
+    @staticmethod
+    def of(dim: int, vectors: int, threshold: float) -> Filters:
+        """Codes for ``vectors`` unit vectors, as many as random pairs at the threshold need."""
+        share = min(0.2, HELD / max(vectors, 1))
+        rng = np.random.default_rng([3, dim])
+        v, z = rng.standard_normal((2, TRIALS, dim))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        z -= (z * v).sum(1, keepdims=True) * v
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+        w = threshold * v + math.sqrt(max(0.0, 1 - threshold ** 2)) * z
+        codes, found = [], np.zeros(TRIALS, bool)
+        while found.mean() < RECALL and len(codes) < MOST_CODES:
+            codes.append(Code.of(dim, share, len(codes)))
+            for i in range(0, TRIALS, 200):
+                row, word = codes[-1].decode(np.concatenate([v[i:i + 200], w[i:i + 200]]))
+                first = row < 200
+                shared = np.intersect1d(row[first] << _CODE_BITS | word[first], row[~first] - 200 << _CODE_BITS | word[~first])
+                found[i + np.unique(shared >> _CODE_BITS)] = True
+        return Filters(tuple(codes), float(found.mean()))
+
+    def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = [(row, word | k << _CODE_BITS) for k, c in enumerate(self.codes) for row, word in [c.decode(v)]]
+        row, number = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        order = np.argsort(row, kind="stable")
+        return row[order], number[order]
+
+
 def unit(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -80,7 +113,7 @@ def unit(column: pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _passed(code: Code):
+def _passed(code: Filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
@@ -91,7 +124,7 @@ def _passed(code: Code):
     return run
 
 
-def _compared(code: Code, threshold: float):
+def _compared(code: Filters, threshold: float):
     """Links in a filter's block or pair of blocks, each given by the first filter that both vectors pass."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -119,7 +152,7 @@ def cosine_links(vectors: DataFrame, threshold: float) -> DataFrame:
     found = None
     for dim in sorted(r["dim"] for r in vectors.select("dim").distinct().collect()):  # lengths, few in any table of embeddings
         same = vectors.where(F.col("dim") == dim).select("rep", "v")
-        code = Code.of(dim, same.count(), threshold)
+        code = Filters.of(dim, same.count(), threshold)
         passed = written(same.mapInArrow(_passed(code), "filter long, rep long, v " + dict(same.dtypes)["v"]), "passed")
         crowded = passed.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
         crowded = written(crowded.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")

@@ -151,9 +151,11 @@ def _sets(k: int):
         for batch in batches:
             for i, j, s, row, size in text.text_sets(batch.column(1), k):
                 v, w = _prints(s, row, size)
+                head = s < np.uint64(1 << 62)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w),
-                     _lists(s.view(np.int64), row, j - i)], ["rep", "n", "v", "w", "s"])
+                     _lists(s[head].view(np.int64), row[head], j - i), _lists(s.view(np.int64), row, j - i)],
+                    ["rep", "n", "v", "w", "head", "s"])
     return run
 
 
@@ -172,16 +174,22 @@ def _signed(t: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Of ``pairs(a, b)`` of set representatives, those whose sets have Jaccard >= t (exactly, in integers)."""
+    """Of ``pairs(a, b)`` of set representatives, those whose sets have Jaccard >= t (exactly, in integers). Sizes and the
+    features in a quarter of the hash space, where the sets may not differ by more than in all, go first."""
     per_mille = round(t * 1000)
-    sizes = sets.select("rep", "n").distinct()
-    fit = (pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-                .where(f"1000 * least(na, nb) >= {per_mille} * greatest(na, nb)").select("a", "b").distinct())
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = fit.join(left, "a").join(right, "b").select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
-    return both.where(f"1000 * x >= {per_mille} * (na + nb - x)").select("a", "b").distinct()
+
+    def sided(column: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(sets.select(F.col("rep").alias(x), F.col("v").alias("v" + x), F.col("n").alias("n" + x),
+                                 F.col(column).alias("s" + x)) for x in "ab")
+
+    left, right = sided("head")
+    fit = (pairs.join(left, "a").join(right, "b").where(f"1000 * least(na, nb) >= {per_mille} * greatest(na, nb)")
+                .where(f"{1000 + per_mille} * (size(sa) + size(sb) - 2 * size(array_intersect(sa, sb)))"
+                       f" <= {1000 - per_mille} * (na + nb)").select("a", "b", "va", "vb"))
+    left, right = sided("s")
+    both = fit.join(left.drop("na"), ["a", "va"]).join(right.drop("nb"), ["b", "vb"])
+    return both.where(f"{1000 + per_mille} * size(array_intersect(sa, sb)) >= {per_mille} * (size(sa) + size(sb))").select(
+        "a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -194,22 +202,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and has a null component. Equal texts are one set before any join. Texts are read whole (a task holds one
     text of over 1 MB at a time); other columns are ignored. No rows, no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_classes(words, threshold),
-                                   "id long, n long, v long, w long, own array<long>, more array<long>"), "classes")
+    samples = written(docs.mapInArrow(_classes(words, threshold),
+                                      "id long, n long, v long, w long, own array<long>, more array<long>"), "samples")
+    rows = written(samples.select("id", "n", "v", "w"), "classes")
+    chosen = _sampled(samples.where("id is not null and n > 0"), threshold)
+    drop_written(samples)
     full = rows.where("id is not null and n > 0")
     # one id for each set that may have a link
-    wanted = written(full.join(_sampled(full, threshold), "v", "left_semi").groupBy("v", "w").agg(F.min("id").alias("id"))
+    wanted = written(full.join(chosen, "v", "left_semi").groupBy("v", "w").agg(F.min("id").alias("id"))
                          .groupBy("id").agg(F.collect_set(F.struct("v", "w")).alias("is")), "wanted")
     texts = docs.join(small(wanted.select("id"), 8), "id", "left_semi").select("id", "text")
-    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, s array<long>")
+    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, head array<long>, s array<long>")
     sets = written(sets.join(small(wanted, 64).withColumnRenamed("id", "rep"), "rep")
-                       .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "s")
+                       .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "head", "s")
                        .dropDuplicates(["rep", "v", "w"]), "sets")
     # buckets: signatures of at least two different sets
     signed = sets.select("rep", "n", "s").mapInArrow(_signed(threshold), "sig long, rep long")
     shared = written(signed.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"))
                            .where("pivot <> top").select("sig", "pivot"), "shared")
     member = written(signed.join(small(shared, 16), "sig").select("sig", "rep", "pivot").distinct(), "member")
+    drop_written(wanted, shared)
     star = member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(_verified(star, sets, threshold), "links")
     ties = written(_ties(rows), "ties")

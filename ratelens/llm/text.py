@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once: bounds a task's memory (about 50 bytes of arrays a byte of text).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20_240_501)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
