@@ -15,8 +15,11 @@ CHUNK = 1 << 19
 _rng = np.random.default_rng(20_240_501)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]
+#: Bytes between words: white space alone, or with ASCII punctuation.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+LOOSE = _SPACE.copy()
+LOOSE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _R = int(_rng.integers(1 << 40, 1 << 62)) * 4 + 3
 _R_INV = pow(_R, -1, 1 << 64)
 _STEP = _rng.integers(1 << 40, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,7 +40,7 @@ def _geometric(r: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
         n = max(n, CHUNK + 1)
@@ -63,7 +66,7 @@ def chunks(at: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(data: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray, ...]:
+def words(data: np.ndarray, at: np.ndarray, i: int, j: int, space: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
     """Of rows i..j: the hash, row (from 0), first byte and end byte (in ``data``) of every word, in order."""
     base = int(at[i])
     b = data[base:int(at[j])]
@@ -71,7 +74,7 @@ def words(data: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray,
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     edge = (at[i:j + 1] - base).astype(np.int64)
-    solid = ~_SPACE[b]
+    solid = ~space[b]
     before, after = np.empty_like(solid), np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     after[-1], after[:-1] = False, solid[1:]
@@ -80,7 +83,7 @@ def words(data: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray,
     after[inner - 1] = False
     first = np.flatnonzero(solid & ~before)
     end = np.flatnonzero(solid & ~after) + 1
-    up, down = _power_tables(len(b) + 1)
+    up, down = power_tables(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_TABLE[b] * up[:len(b)], out=total[1:])
     h = mix((total[end] - total[first]) * down[first], 1)
@@ -123,7 +126,7 @@ def text_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, int, np.ndarr
 
 def beginnings(data: np.ndarray, first: np.ndarray, end: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: hashes of the words' first bytes, and which words are longer than that."""
-    up, _ = _power_tables(1)
+    up, _ = power_tables(1)
     total = np.zeros(len(first), np.uint64)
     for x in range(max(sizes)):
         there = first + x < end
