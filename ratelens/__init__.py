@@ -6,7 +6,6 @@ sources    driver tables, the ``fact`` view, CSV scan/sink, model bundles
 functions  column expressions (rounding, formats, bins, tiers, rule lists)
 operators  DataFrame -> DataFrame operators (rates, stats, scans, features, models, evaluation)
 plans      the composed analyses and the registry used by ``__spark_entry__``
-streaming  the same rate operators over a file stream
 """
 
 from ratelens.roles import Roles, FACT_ROLES, HR_ROLES

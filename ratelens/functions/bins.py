@@ -59,22 +59,14 @@ def equal_width_edges(lo: float, hi: float, k: int) -> list[float]:
     return [float(v) for v in edges]
 
 
-def _round_frac(x: float, precision: int) -> float:
-    if not math.isfinite(x) or x == 0:
-        return x
-    frac, whole = math.modf(x)
-    digits = (-int(math.floor(math.log10(abs(frac)))) - 1 + precision) if whole == 0 else precision
-    return float(np.around(x, digits))
-
-
 def interval_breaks(edges: Sequence[float], precision: int = 0) -> list[float]:
-    """Displayed interval breaks: edges rounded (half-even) to the smallest precision,
-    starting at ``precision``, that keeps them distinct."""
-    for p in range(precision, 20):
-        levels = [_round_frac(e, p) for e in edges]
-        if len(set(levels)) == len(edges):
-            return levels
-    return [_round_frac(e, precision) for e in edges]
+    """Displayed interval breaks: the edges rounded half-even to the fewest decimals, ``precision`` or more,
+    that keep distinct edges distinct."""
+    for digits in range(precision, 18):
+        shown = [float(round(e, digits)) for e in edges]
+        if len(set(shown)) == len(set(edges)):
+            return shown
+    return [float(e) for e in edges]
 
 
 def money_label(left: float | None, right: float | None) -> str:

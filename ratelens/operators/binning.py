@@ -44,8 +44,11 @@ def interval_frame(df: DataFrame, edges: Sequence[float], precision: int = 0) ->
 def cut_equal(df: DataFrame, x: str, k: int = 5, y: str = "y", edges_from: DataFrame | None = None,
               precision: int = 0) -> DataFrame:
     """B2+B4: rates by k equal-width right-closed bins, labelled ``$aK-bK``. Edges come
-    from ``edges_from`` (e.g. the unfiltered table) or from ``df`` itself."""
+    from ``edges_from`` (e.g. the unfiltered table) or from ``df`` itself; no values, no bins."""
     edges = equal_width(edges_from if edges_from is not None else df, x, k)
+    if not edges:
+        return df.sparkSession.createDataFrame([], "bin int, left double, right double, label string, total bigint, "
+                                                   "positives bigint, rate double")
     frame = interval_frame(df, edges, precision)
     bin_ids = [str(i) for i in range(len(edges) - 1)]
     rates = cut_fixed(df, x, edges, bin_ids, y, label_col="_bin")

@@ -16,8 +16,6 @@ from pyspark.sql import Window as W
 from ratelens.functions.scalar import safe_ratio
 from ratelens.operators.scans import cumulative, range_buckets
 
-DIGITS = 6
-
 # fixed values: threshold grids (hundredths) of the sweep and of the F1 search
 SWEEP_GRID = [(10 + 5 * i) / 100 for i in range(18)]      # 0.10 .. 0.95 step 0.05
 F1_GRID = [(10 + 2 * i) / 100 for i in range(40)]         # 0.10 .. 0.88 step 0.02
@@ -35,19 +33,23 @@ def score_counts(scored: DataFrame, y: str = "y", score: str = "score") -> DataF
 
 
 def roc_points(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """E5 points: one per distinct score (threshold), fpr and tpr at ``score >= threshold``."""
+    """E5 points: the start (0, 0) with a null threshold, then one per distinct score (threshold), fpr
+    and tpr at ``score >= threshold``. No rows: the start alone."""
     c = score_counts(scored, y, score)
-    return c.select(F.col(score).alias("threshold"),
-                    F.round(safe_ratio("cum_neg", "N"), DIGITS).alias("fpr"),
-                    F.round(safe_ratio("cum_pos", "P"), DIGITS).alias("tpr"))
+    start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return start.unionByName(c.select(F.col(score).alias("threshold"),
+                    safe_ratio("cum_neg", "N").alias("fpr"),
+                    safe_ratio("cum_pos", "P").alias("tpr")))
 
 
 def pr_points(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """E6 points: precision and recall at each distinct score threshold."""
+    """E6 points: precision and recall at each distinct score threshold, and the end (recall 0, precision 1)
+    with a null threshold."""
     c = score_counts(scored, y, score)
-    return c.select(F.col(score).alias("threshold"),
-                    F.round(safe_ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg")), DIGITS).alias("precision"),
-                    F.round(safe_ratio("cum_pos", "P"), DIGITS).alias("recall"))
+    end = scored.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
+    return end.unionByName(c.select(F.col(score).alias("threshold"),
+                    safe_ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
+                    safe_ratio("cum_pos", "P").alias("recall")))
 
 
 def curve_summary(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -55,15 +57,15 @@ def curve_summary(scored: DataFrame, y: str = "y", score: str = "score") -> Data
     average precision ``sum((R_n - R_n-1) P_n)`` and the base rate."""
     c = score_counts(scored, y, score)
     tp_prev = F.col("cum_pos") - F.col("pos")
-    # neg * (tp + tp_prev) is an integer: the sum is exact whatever the order
-    trap = (F.col("neg") * (F.col("cum_pos") + tp_prev)).cast("double")
+    # a sum of integers, as decimals beyond 64 bits: exact whatever the order
+    trap = F.col("neg").cast("decimal(19,0)") * (F.col("cum_pos") + tp_prev).cast("decimal(19,0)")
     ap_term = F.try_divide(F.try_divide(F.col("pos"), F.col("P")) * F.col("cum_pos"),
                            F.col("cum_pos") + F.col("cum_neg"))
     agg = c.agg(F.sum(trap).alias("_trap"), F.sum(ap_term).alias("_ap"), F.max("P").alias("P"), F.max("N").alias("N"))
     return agg.select(
-        F.round(F.try_divide(F.col("_trap"), 2.0 * F.col("P") * F.col("N")), DIGITS).alias("roc_auc"),
-        F.round(F.try_divide(F.col("_ap"), F.lit(1.0)), DIGITS).alias("avg_precision"),
-        F.round(F.try_divide(F.col("P").cast("double"), F.col("P") + F.col("N")), DIGITS).alias("base_rate"))
+        F.try_divide(F.col("_trap").cast("double"), 2.0 * F.col("P") * F.col("N")).alias("roc_auc"),
+        F.try_divide(F.col("_ap"), F.lit(1.0)).alias("avg_precision"),
+        F.try_divide(F.col("P").cast("double"), F.col("P") + F.col("N")).alias("base_rate"))
 
 
 def _grid_bucket(score: str, grid: Sequence[float]) -> str:
@@ -117,8 +119,8 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     precision = safe_ratio(tp, tp + fp)
     recall = safe_ratio(tp, tp + fn)
     f1 = safe_ratio(2 * precision * recall, precision + recall)
-    return counts.select("*", F.round(precision, DIGITS).alias("precision"), F.round(recall, DIGITS).alias("recall"),
-                         F.round(f1, DIGITS).alias("f1"), F.round(safe_ratio(tn, tn + fp), DIGITS).alias("specificity"))
+    return counts.select("*", precision.alias("precision"), recall.alias("recall"),
+                         f1.alias("f1"), safe_ratio(tn, tn + fp).alias("specificity"))
 
 
 def threshold_sweep(scored: DataFrame, grid: Sequence[float] = SWEEP_GRID, y: str = "y",
@@ -158,8 +160,8 @@ def class_report(scored: DataFrame, threshold: float = 0.5, y: str = "y", score:
     acc = safe_ratio(tp + tn, n)
 
     def row(label, p, r, f, sup):
-        return F.struct(F.lit(label).alias("label"), F.round(p, DIGITS).alias("precision"),
-                        F.round(r, DIGITS).alias("recall"), F.round(f, DIGITS).alias("f1"),
+        return F.struct(F.lit(label).alias("label"), p.alias("precision"),
+                        r.alias("recall"), f.alias("f1"),
                         sup.cast("bigint").alias("support"))
     w = lambda a, b: safe_ratio(a * s0 + b * s1, n)
     return c.select(F.explode(F.array(
@@ -170,12 +172,6 @@ def class_report(scored: DataFrame, threshold: float = 0.5, y: str = "y", score:
     )).alias("s")).select("s.*")
 
 
-def f1_by_split(scored: DataFrame, split: str, threshold: float, y: str = "y", score: str = "score") -> DataFrame:
-    """F1 at a threshold for every split value (one aggregate)."""
-    c = with_metrics(threshold_counts(scored, [threshold], y, score, by=[split]))
-    return c.select(split, "f1")
-
-
 def f1_gap(scored: DataFrame, split: str, threshold: float = 0.5, first: str = "train", second: str = "eval",
            y: str = "y", score: str = "score") -> DataFrame:
     """F1 on two splits and their difference."""
@@ -183,7 +179,7 @@ def f1_gap(scored: DataFrame, split: str, threshold: float = 0.5, first: str = "
                                       by=[split]))
     f_a = F.max(F.when(F.col(split) == first, F.col("f1")))
     f_b = F.max(F.when(F.col(split) == second, F.col("f1")))
-    return c.agg(f_a.alias(f"f1_{first}"), f_b.alias(f"f1_{second}"), F.round(f_a - f_b, DIGITS).alias("f1_gap"))
+    return c.agg(f_a.alias(f"f1_{first}"), f_b.alias(f"f1_{second}"), (f_a - f_b).alias("f1_gap"))
 
 
 def verdicts(roc_auc: float | None, avg_precision: float | None, gap: float | None) -> dict[str, str]:

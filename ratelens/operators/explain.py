@@ -10,9 +10,7 @@ from pyspark.sql import Window as W
 
 from ratelens.operators.ranks import seeded_hash, seeded_sample
 from ratelens.operators.training import FEATURES, TrainedModel
-
-DIGITS = 6
-
+from ratelens.sources.tables import temporary
 
 def feature_importance(tm: TrainedModel, top_n: int | None = None) -> DataFrame:
     """M9: (feature, importance) of the fitted trees, sorted, normalised to sum 1."""
@@ -72,7 +70,7 @@ def shapley(tm: TrainedModel, rows: DataFrame, background: DataFrame, row_id: st
 
 def mean_abs_attribution(phi: DataFrame) -> DataFrame:
     """M10 summary: mean |phi| per feature, sorted."""
-    return (phi.groupBy("feature").agg(F.round(F.avg(F.abs("phi")), DIGITS).alias("mean_abs_phi"))
+    return (phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
             .orderBy(F.desc("mean_abs_phi"), "feature"))
 
 
@@ -100,16 +98,16 @@ def permutation_importance(tm: TrainedModel, rows: DataFrame, row_id: str, y: st
     donors = pos.select(F.col("_pos").alias("_dpos"), F.col("_x").alias("_dx"))
     pairs = pos.withColumn("_dpos", F.pmod(F.col("_pos") - 1 + F.lit(total // 2), F.lit(total)) + 1) \
         .join(donors, "_dpos")
-    hyb = pairs.select("_rid", "_y", "_x", "_dx", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("_j"))
+    hyb = pairs.select("_y", "_x", "_dx", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("_j"))
     hyb = hyb.withColumn(FEATURES, array_to_vector(F.expr(
         f"transform(sequence(0, {d - 1}), k -> IF(k = _j, _dx[k], _x[k]))")))
     p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))
-    scored = gbt.transform(hyb.select("_rid", "_j", "_y", FEATURES)).select("_rid", "_j", loss.alias("_loss"))
-    # the row's own loss (j = -1) sits in the same d+1-row partition of that row
-    base = F.max(F.when(F.col("_j") == -1, F.col("_loss"))).over(W.partitionBy("_rid"))
-    delta = scored.select("_j", (F.col("_loss") - base).alias("_d")).where(F.col("_j") >= 0)
+    scored = gbt.transform(hyb.select("_j", "_y", FEATURES)).select("_j", loss.alias("_loss"))
+    # the mean increase is the difference of the mean losses; j = -1 is the rows' own
+    means = temporary(scored.groupBy("_j").agg(F.avg("_loss").alias("_mean")), "permutation_losses")
+    own = means.where("_j = -1").select(F.col("_mean").alias("_own"))
     names = F.array(*[F.lit(f) for f in tm.features])
-    return (delta.groupBy("_j").agg(F.round(F.avg("_d"), DIGITS).alias("importance"))
-            .select(names[F.col("_j")].alias("feature"), "importance")
+    return (means.where("_j >= 0").join(F.broadcast(own))
+            .select(names[F.col("_j")].alias("feature"), (F.col("_mean") - F.col("_own")).alias("importance"))
             .orderBy(F.desc("importance"), "feature"))

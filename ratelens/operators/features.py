@@ -9,9 +9,6 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIGITS = 6
-
-
 def label_indexer(columns: Sequence[str], suffix: str = "_code") -> StringIndexer:
     """M1: alphabetical codes 0..k-1 per column; a value unseen at fit time gets its own
     extra code k (``handleInvalid="keep"``) rather than colliding with code 0."""
@@ -20,11 +17,16 @@ def label_indexer(columns: Sequence[str], suffix: str = "_code") -> StringIndexe
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None,
-                 suffix: str = "_code") -> DataFrame:
-    """M1: fit on ``fit_on`` (default: ``df``), add integer code columns."""
+                 suffix: str = "_code", unseen: str = "own") -> DataFrame:
+    """M1: fit on ``fit_on`` (default: ``df``), add integer code columns. Values unseen at fit time, and nulls, get
+    a code of their own (``unseen="own"``) or code 0 (``unseen="zero"``)."""
     model = label_indexer(columns, suffix).fit(fit_on if fit_on is not None else df)
     out = model.transform(df)
-    return out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}").cast("int") for c in columns})
+    codes = {}
+    for c, labels in zip(columns, model.labelsArray):
+        code = F.col(f"{c}{suffix}").cast("int")
+        codes[f"{c}{suffix}"] = F.when(code >= len(labels), 0).otherwise(code) if unseen == "zero" else code
+    return out.withColumns(codes)
 
 
 @dataclass
@@ -59,9 +61,8 @@ def fit_target_encoding(df: DataFrame, columns: Sequence[str], y: str, smoothing
     stats = long.groupBy("variable", "category").agg(F.count("_y").alias("count"), F.avg("_y").alias("mean"))
     if materialize:
         # the fitted state is written once (shared checkpoint folder) and read by every lookup
-        from ratelens.sources.tables import materialize as write_once
-        import uuid
-        stats = write_once(df.sparkSession, stats, "target_encoding", uuid.uuid4().hex)
+        from ratelens.sources.tables import temporary
+        stats = temporary(stats, "target_encoding")
     g_row = stats.where(F.col("variable") == all_rows).select("mean").first()
     g = 0.0 if g_row is None or g_row[0] is None else float(g_row[0])
     enc = ((F.col("count") * F.col("mean") + F.lit(smoothing) * F.lit(g)) / (F.col("count") + F.lit(smoothing)))
@@ -75,7 +76,7 @@ def class_weight(df: DataFrame, y: str = "y") -> DataFrame:
     n_pos = F.count_if(F.col(y) == 1)
     n_neg = F.count_if(F.col(y) == 0)
     return df.agg(n_neg.alias("n_neg"), n_pos.alias("n_pos"),
-                  F.round(F.try_divide(n_neg.cast("double"), n_pos), DIGITS).alias("weight"))
+                  F.try_divide(n_neg.cast("double"), n_pos).alias("weight"))
 
 
 def weight_column(y: str, positive_weight: float) -> Column:

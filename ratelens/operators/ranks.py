@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.operators.scans import cumulative, hash_buckets, range_buckets
+from ratelens.operators.scans import cumulative, hash_buckets, join_keys, range_buckets
 
 DIGITS = 6
 
@@ -34,7 +34,9 @@ def rank_pct(df: DataFrame, x: str, by: Sequence[str] = (), name: str = "rank_pc
     """Pandas ``rank(pct=True)``: average rank of ties divided by the count of
     non-null values, in (0, 1]. Computed on distinct values, then joined back."""
     ranks = value_ranks(df, x, by).select(*by, x, (F.col("avg_rank") / F.col("n")).alias(name))
-    return df.join(ranks, [*by, x], "left")
+    # a null value has no rank; null group keys match each other. One common value is one row of ``ranks``:
+    # AQE splits its partition of ``df``
+    return join_keys(df, ranks, [*by, x], "left")
 
 
 def running_max(df: DataFrame, value: str, order: str, by: Sequence[str] = (), hashed_order: bool = False,
@@ -57,30 +59,34 @@ def class_ranks(df: DataFrame, row_id: str, y: str, seed: int = 42) -> DataFrame
     h = df.withColumn("_h", seeded_hash(row_id, seed)).withColumn("_one", F.lit(1))
     sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("class_n"))
     cum = cumulative(h, ["_h"], ["_one"], [y], bucketed=hash_buckets(h, "_h"))
-    # one row per class: joined by measured size (AQE broadcasts it)
-    return (cum.join(sizes, y).withColumnRenamed("cum__one", "class_rank").drop("_h", "_one"))
+    return join_keys(cum, sizes, [y]).withColumnRenamed("cum__one", "class_rank").drop("_h", "_one")
 
 
-def stratified_split(df: DataFrame, row_id: str, y: str, fractions: Sequence[float] = (0.6, 0.2, 0.2),
-                     names: Sequence[str] = ("train", "test", "eval"), seed: int = 42) -> DataFrame:
-    """M3: split label per row; in each class the first 60 % of the seeded order is
-    ``train``, the next 20 % ``test``, the rest ``eval`` (exact per class, repeatable).
-    Fractions are taken in hundredths so both engines compare integers."""
-    ranked = class_ranks(df, row_id, y, seed)
+def split_label(fractions: Sequence[float] = (0.6, 0.2, 0.2),
+                names: Sequence[str] = ("train", "test", "eval")) -> Column:
+    """Split of a row from its ``class_rank`` and ``class_n``. Fractions are taken in hundredths
+    so both engines compare integers."""
     pos = (F.col("class_rank") - 1) * 100
-    bounds, acc = [], 0
-    for f in fractions[:-1]:
+    expr, acc = None, 0
+    for f, name in zip(fractions[:-1], names):
         acc += int(round(f * 100))
-        bounds.append(acc)
-    expr = None
-    for b, name in zip(bounds, names):
-        cond = pos < F.col("class_n") * b
+        cond = pos < F.col("class_n") * acc
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    expr = expr.otherwise(names[-1])
-    return ranked.withColumn("split", expr)
+    return expr.otherwise(names[-1])
+
+
+def fold_label(k: int = 7) -> Column:
+    """Fold of a row: (class rank - 1) mod k."""
+    return ((F.col("class_rank") - 1) % k).cast("int")
+
+
+def stratified_split(df: DataFrame, row_id: str, y: str, fractions: Sequence[float] = (0.6, 0.2, 0.2),
+                     names: Sequence[str] = ("train", "test", "eval"), seed: int = 42) -> DataFrame:
+    """M3: ``df`` with ``split``; in each class (rows without a label are one) the first 60 % of the
+    seeded order is ``train``, the next 20 % ``test``, the rest ``eval`` (exact per class, repeatable)."""
+    return class_ranks(df, row_id, y, seed).withColumn("split", split_label(fractions, names))
 
 
 def stratified_folds(df: DataFrame, row_id: str, y: str, k: int = 7, seed: int = 42) -> DataFrame:
-    """M4: fold = (class rank - 1) mod k in seeded order: class shares equal within 1."""
-    ranked = class_ranks(df, row_id, y, seed)
-    return ranked.withColumn("fold", ((F.col("class_rank") - 1) % k).cast("int"))
+    """M4: ``df`` with ``fold`` = (class rank - 1) mod k in seeded order: class shares equal within 1."""
+    return class_ranks(df, row_id, y, seed).withColumn("fold", fold_label(k))

@@ -11,9 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-RATE_DIGITS = 6
 
 
 def _not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,14 +21,13 @@ def _not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if cond is None else df.where(cond)
 
 
-def rate_aggs(y: str = "y", with_sum: bool = True, names: Sequence[str] = ("total", "positives", "rate"),
-              digits: int = RATE_DIGITS) -> list[Column]:
+def rate_aggs(y: str = "y", with_sum: bool = True, names: Sequence[str] = ("total", "positives", "rate")) -> list[Column]:
     """count / sum / mean of a 0-1 outcome; the mean is null for an empty group."""
     total, positives, rate = names
     aggs = [F.count(F.col(y)).alias(total)]
     if with_sum:
         aggs.append(F.coalesce(F.sum(F.col(y)), F.lit(0)).cast("bigint").alias(positives))
-    aggs.append(F.round(F.avg(F.col(y).cast("double")), digits).alias(rate))
+    aggs.append(F.avg(F.col(y).cast("double")).alias(rate))
     return aggs
 
 
@@ -62,7 +58,7 @@ def dense_rates(df: DataFrame, label_col: str, labels: Sequence[str], y: str = "
 
 def mean_by(df: DataFrame, key: str, x: str, name: str | None = None) -> DataFrame:
     """A3: mean of ``x`` by ``key``."""
-    return _not_null(df, [key]).groupBy(key).agg(F.round(F.avg(x), RATE_DIGITS).alias(name or f"mean_{x}"))
+    return _not_null(df, [key]).groupBy(key).agg(F.avg(x).alias(name or f"mean_{x}"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -73,11 +69,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def category_share(df: DataFrame, col: str) -> DataFrame:
-    """A5: count and % share per category. The share window runs over the aggregated
-    frame (one row per category), not over the input rows."""
+    """A5: count and % share per category; the total is one number, counted first."""
     counts = value_counts(df, col)
-    return counts.select(col, "count", F.round(F.col("count") * 100.0 / F.sum("count").over(W.partitionBy()),
-                                             RATE_DIGITS).alias("share_pct"))
+    total = _not_null(df, [col]).count()
+    return counts.select(col, "count", (F.col("count") * 100.0 / F.lit(total)).alias("share_pct"))
 
 
 def crosstab_counts(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
@@ -90,16 +85,15 @@ def crosstab_pct(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFr
     """Row-normalised % per value of ``b``; a value never seen in a row gives 0.0."""
     n = F.count(F.lit(1))
     return (_not_null(df, [a, b]).groupBy(a)
-            .agg(*[F.round(F.count_if(F.col(b) == F.lit(v)) * 100.0 / n, RATE_DIGITS).alias(str(v))
-                   for v in values]))
+            .agg(*[(F.count_if(F.col(b) == F.lit(v)) * 100.0 / n).alias(str(v)) for v in values]))
 
 
 def pivot_mean(df: DataFrame, index: str, columns: str, values: str, column_values: Sequence) -> DataFrame:
     """A10: mean of ``values`` for each (index, column value); absent cells are null.
     Written as conditional aggregation over an explicit value list (one pass, no extra job)."""
     return (_not_null(df, [index, columns]).groupBy(index)
-            .agg(*[F.round(F.avg(F.when(F.col(columns) == F.lit(v), F.col(values).cast("double"))),
-                           RATE_DIGITS).alias(str(v)) for v in column_values]))
+            .agg(*[F.avg(F.when(F.col(columns) == F.lit(v), F.col(values).cast("double"))).alias(str(v))
+                   for v in column_values]))
 
 
 def unpivot_categories(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -113,7 +107,7 @@ def all_variables(df: DataFrame, columns: Sequence[str], outcome: str, positive:
     long = unpivot_categories(df.select(outcome, *columns), columns, [outcome]).where(F.col("category").isNotNull())
     pos = F.count_if(F.col(outcome) == F.lit(positive))
     return (long.groupBy("variable", "category")
-            .agg(F.round(F.coalesce(pos * 100.0 / F.count(F.col(outcome)), F.lit(0.0)), RATE_DIGITS)
+            .agg(F.coalesce(pos * 100.0 / F.count(F.col(outcome)), F.lit(0.0))
                  .alias("rate_pct"), F.count(F.lit(1)).alias("count"))
             .where(F.col("count") >= min_count)
             .orderBy(F.desc_nulls_last("rate_pct"), "variable", "category"))
@@ -134,5 +128,5 @@ def kpis(df: DataFrame, y: str, means: dict[str, str]) -> DataFrame:
     """Size, positives, rate % and means in one pass; empty input gives nulls."""
     return df.agg(F.count(F.lit(1)).alias("total"),
                   F.sum(F.col(y)).cast("bigint").alias("positives"),
-                  F.round(F.avg(F.col(y).cast("double")) * 100, RATE_DIGITS).alias("rate_pct"),
-                  *[F.round(F.avg(c), RATE_DIGITS).alias(name) for name, c in means.items()])
+                  (F.avg(F.col(y).cast("double")) * 100).alias("rate_pct"),
+                  *[F.avg(c).alias(name) for name, c in means.items()])

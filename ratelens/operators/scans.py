@@ -16,23 +16,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 DEFAULT_BUCKETS = None   # derived from the session's shuffle parallelism (see bucket_count)
-MIN_BUCKETS, MAX_BUCKETS = 64, 8192
-MAX_LOOKUP_GROUPS = 1000
+MIN_BUCKETS = 64
+_G = "_rl_group"
 
 
 def bucket_count(spark) -> int:
     """Range buckets per group: about 4 per shuffle partition the session is configured
-    for (so the bucket windows can occupy the whole cluster), a power of two in
-    [64, 8192]."""
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        parts = 200
+    for (so the bucket windows can occupy the whole cluster), a power of two from 64 on."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     b = MIN_BUCKETS
-    while b < 4 * parts and b < MAX_BUCKETS:
+    while b < 4 * parts:
         b *= 2
     return b
-_G = "_rl_group"
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on ``keys``, null keys matching null keys; the keys come from ``left``."""
+    r = right.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_rk_{i}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -42,59 +48,37 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
-                  buckets: int | None = DEFAULT_BUCKETS, extra: Sequence[Column] = (),
-                  accuracy: int = 1000) -> DataFrame:
+                  buckets: int | None = DEFAULT_BUCKETS, extra: Sequence[Column] = ()) -> DataFrame:
     """Adds ``_bucket``: one of ``buckets`` value ranges of ``order_col`` per group, cut at
     approximate quantiles, so a long tail or a few outliers cannot crowd most values into
     one bucket (one task). ``extra`` group aggregates come from the same pass.
 
-    The edges are fixed once per call -- driver literals for a single group, a written
-    table (shared checkpoint folder) for many groups -- so a recomputed plan (e.g. after
-    an executor loss) assigns exactly the same buckets; exactness of the results never
-    depends on the edges, only the balance of the work does."""
+    The sketch is ten times finer than the cuts asked of it. The edges are fixed once per
+    call in a written table (shared checkpoint folder, one row a group, whatever their
+    number), so a recomputed plan (e.g. after an executor loss) assigns exactly the same
+    buckets; exactness of the results never depends on the edges, only the balance of the
+    work does."""
+    from ratelens.sources.tables import temporary
+
     d, keys = _keys(df, by)
     v = F.col(order_col).cast("double")
-    buckets = buckets or bucket_count(df.sparkSession)
-    steps = []
-    b = 1
-    while b < buckets:
-        b *= 2
-    buckets = b                       # a power of two: the search below takes log2 steps
-    step = buckets // 2
-    while step >= 1:
-        steps.append(step)
-        step //= 2
+    wanted, buckets = buckets or bucket_count(df.sparkSession), 1
+    while buckets < wanted:
+        buckets *= 2                  # a power of two: the search below takes log2 steps
     probs = [i / buckets for i in range(1, buckets)]
-    aggs = [F.percentile_approx(v, probs, accuracy).alias("_edges"), *extra]
-    if by:
-        per_group = d.groupBy(*keys).agg(*aggs)
-        few = per_group.limit(MAX_LOOKUP_GROUPS + 1).collect()
-        if len(few) <= MAX_LOOKUP_GROUPS:
-            # few groups: their edges are a proven-small lookup, broadcast from the driver
-            edges_df = F.broadcast(d.sparkSession.createDataFrame(few, per_group.schema))
-        else:
-            from ratelens.sources.tables import materialize
-            import uuid
-            edges_df = materialize(d.sparkSession, per_group, "bucket_edges", uuid.uuid4().hex)
-        # one row per group, joined back by the group keys
-        d = d.join(edges_df, keys)
-        drop = ["_edges"]
-    else:
-        # a single group: its edges and statistics are a driver-side lookup (no join on a constant)
-        agg = d.agg(*aggs)
-        types = {f.name: f.dataType for f in agg.schema.fields}
-        row = agg.first().asDict()
-        cuts = [float(e) for e in (row.pop("_edges") or [])] or [float("inf")] * (buckets - 1)
-        d = d.withColumns({k: F.lit(val).cast(types[k]) for k, val in row.items()})
-        d = d.withColumn("_edges", F.array(*[F.lit(e) for e in cuts]))
-        drop = ["_edges"]
+    edges = d.groupBy(*keys).agg(F.percentile_approx(v, probs, 10 * buckets).alias("_edges"), *extra)
+    edges = temporary(edges, "bucket_edges")
+    # without groups the table has one row by definition; otherwise Spark decides from its size
+    d = join_keys(d, edges if by else F.broadcast(edges), keys)
     # bucket = number of edges < value, by an unrolled binary search over the sorted
     # edges (log2(buckets) element_at + compare steps, all code-generated)
     d = d.withColumn("_bucket", F.lit(0))
-    for st in steps:
+    step = buckets // 2
+    while step >= 1:
         d = d.withColumn("_bucket", F.col("_bucket") + F.when(
-            F.element_at(F.col("_edges"), F.col("_bucket") + st) < v, F.lit(st)).otherwise(F.lit(0)))
-    return d.drop(*drop)
+            F.element_at(F.col("_edges"), F.col("_bucket") + step) < v, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return d.drop("_edges")
 
 
 def hash_buckets(df: DataFrame, hash_col: str, digits: int | None = None) -> DataFrame:
@@ -137,7 +121,7 @@ def cumulative(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Seq
     inner = d.select("*", *[F.coalesce(agg(c).over(wr), zero).alias(f"_i_{c}") for c in sums])
     combine = (lambda a, b: a + b) if how == "sum" else (lambda a, b: F.greatest(a, b))
     # the small offsets table (one row per group and bucket) is joined to the rows
-    out = inner.join(offsets, [*keys, "_bucket"]).select(
+    out = join_keys(inner, offsets, [*keys, "_bucket"]).select(
         *keep,
         *[combine(F.col(f"_i_{c}"), F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
     return out
@@ -182,8 +166,8 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
     needed = (offsets.withColumn("_targets", targets)
               .where(F.exists("_targets", covers(F.col("_o"), F.col("_o") + F.col("_t"))))
               .select(*keys, "_bucket", "_o"))
-    # a few buckets per group: joined by measured size (AQE broadcasts it)
-    sub = bucketed.join(needed, [*keys, "_bucket"])
+    # a few buckets per group
+    sub = join_keys(bucketed, needed, [*keys, "_bucket"])
     wr = W.partitionBy(*keys, "_bucket").orderBy(x).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = sub.select(*keys, x, "cnt", "_n", (F.col("_o") + F.sum("cnt").over(wr)).alias("cum_cnt"))
     hits = (ranked.withColumn("_targets", targets)

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ratelens.operators.scans import exact_quantiles
-
-DIGITS = 6
+from ratelens.operators.scans import exact_quantiles, join_keys
+from ratelens.sources.tables import temporary
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -24,10 +23,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., variable, value double) with nulls dropped."""
     cols = [F.col(c).cast("double").alias(c) for c in columns]
@@ -48,16 +43,18 @@ def profile(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per column
     (and per ``by`` group), in long form. Quantiles are exact (scans.exact_quantiles)."""
-    long = long_values(df, columns, by)
     keys = [*by, "variable"]
-    basic = long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.round(F.avg("value"), DIGITS).alias("mean"),
-        F.round(F.stddev_samp("value"), DIGITS).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys)
-    qw = q.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("pi") == i, F.col("value"))), DIGITS).alias(n)
+    # the basics in one wide aggregate, one struct a column; only quantiles need the long form
+    values = [F.col(c).cast("double") for c in columns]
+    wide = df.groupBy(*by).agg(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"),
+                 F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+        for c, v in zip(columns, values)]).alias("_s"))
+    basic = wide.select(*by, F.inline("_s")).where(F.col("count") > 0)
+    q = exact_quantiles(long_values(df, columns, by), "value", [0.25, 0.5, 0.75], keys)
+    qw = q.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("value"))).alias(n)
                                 for i, n in enumerate(("q25", "q50", "q75"))])
-    return basic.join(qw, keys).select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return join_keys(basic, qw, keys).select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def _q(c: str) -> str:
@@ -99,14 +96,16 @@ def _pair_r(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
             den = f"((qa_{k} - sa_{k} * sa_{k} / n_{k}) * (qb_{k} - sb_{k} * sb_{k} / n_{k}))"
             exprs.append((k, cov, den))
     row = df.selectExpr(*aggs)
-    return row.selectExpr(*[f"round(CASE WHEN {den} > 0 THEN {cov} / sqrt({den}) END, {DIGITS}) AS _{k}"
+    return row.selectExpr(*[f"CASE WHEN {den} > 0 THEN {cov} / sqrt({den}) END AS _{k}"
                             for k, cov, den in exprs])
 
 
-def corr_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r for every ordered pair (c1, c2), null where a column is constant.
+def corr_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson r for every ordered pair (c1, c2) of the given (P2: by default all numeric)
+    columns, null where a column is constant.
     Each unordered pair is computed once (see ``_pair_r``); ``F.corr`` is avoided
     because it raises on zero variance under ANSI mode."""
+    columns = list(columns if columns is not None else numeric_columns(df))
     pairs_idx = list(itertools.combinations_with_replacement(range(len(columns)), 2))
     row = _pair_r(df, [(columns[i], columns[j]) for i, j in pairs_idx])
     structs = []
@@ -149,7 +148,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     """Exact linear-interpolated quantiles: (by..., variable, p, value)."""
     long = long_values(df, columns, by)
     q = exact_quantiles(long, "value", probs, [*by, "variable"])
-    return q.select(*by, "variable", "p", F.round("value", DIGITS).alias("value"))
+    return q.select(*by, "variable", "p", F.col("value").alias("value"))
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
@@ -168,8 +167,8 @@ def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     width = (hi - lo)
     return (F.broadcast(frame).join(counts, "bin", "left")
             .select("bin",
-                    F.round(F.lit(lo) + F.col("bin") * F.lit(width) / F.lit(float(bins)), DIGITS).alias("left"),
-                    F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width) / F.lit(float(bins)), DIGITS).alias("right"),
+                    (F.lit(lo) + F.col("bin") * F.lit(width) / F.lit(float(bins))).alias("left"),
+                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width) / F.lit(float(bins))).alias("right"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
@@ -184,14 +183,15 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), whi
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
     v = F.col("value")
-    # one row per (group, column) is joined to the values: AQE broadcasts it by measured size
-    stats = (long.join(qw, keys)
+    # one row per (group, column), written first so that its size is known: the values aren't shuffled by column
+    stats = (join_keys(long, temporary(qw, "fences"), keys)
              .groupBy(*keys, "q1", "median", "q3")
              .agg(F.min(F.when(v >= lo_f, v)).alias("whisker_lo"), F.max(F.when(v <= hi_f, v)).alias("whisker_hi"),
                   F.count_if((v < lo_f) | (v > hi_f)).alias("outliers"), F.count(v).alias("count")))
-    return stats.select(*keys, *[F.round(c, DIGITS).alias(c) for c in ("q1", "median", "q3")],
-                        F.round(F.col("q3") - F.col("q1"), DIGITS).alias("iqr"),
-                        "whisker_lo", "whisker_hi", "outliers", "count")
+    # no observed point between fence and box: the whisker ends at the quartile
+    return stats.select(*keys, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
+                        F.least("whisker_lo", "q1").alias("whisker_lo"),
+                        F.greatest("whisker_hi", "q3").alias("whisker_hi"), "outliers", "count")
 
 
 def standardize_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -15,16 +15,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.operators import evaluation as ev
 from ratelens.operators.features import label_indexer, weight_column
 from ratelens.roles import Roles
+from ratelens.sources.tables import temporary
 
 # fixed values: search space of the tuned classifier (name, low, high, integer?)
 SEARCH_SPACE = [
@@ -33,8 +32,6 @@ SEARCH_SPACE = [
     ("max_depth", 3, 8, True),
     ("subsample", 0.6, 0.9, False),
     ("colsample_bytree", 0.6, 0.9, False),
-    ("reg_alpha", 0.1, 5.0, False),
-    ("reg_lambda", 0.1, 5.0, False),
     ("scale_pos_weight", 0.5, 2.0, False),   # multiples of the automatic class weight
     ("min_child_weight", 5, 50, True),
     ("gamma", 0.0, 0.5, False),
@@ -44,12 +41,14 @@ N_FOLDS = 7
 N_TRIALS = 80
 SEED = 42
 
-DEFAULT_PARAMS = {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8,
+PATIENCE = 20
+
+DEFAULT_PARAMS = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8,
                   "colsample_bytree": 0.8, "min_child_weight": 5, "gamma": 0.0, "scale_pos_weight": 1.0}
 
 FEATURES = "features"
 WEIGHT = "_w"
-VALIDATION = "_is_val"
+MODEL_TYPE = "gbt"
 
 
 def feature_names(roles: Roles, encoding: str = "label") -> list[str]:
@@ -57,32 +56,46 @@ def feature_names(roles: Roles, encoding: str = "label") -> list[str]:
     return [f"{c}{suffix}" for c in roles.categoricals] + list(roles.numerics)
 
 
-def gbt(params: dict, roles: Roles, validation: bool = True, seed: int = SEED) -> GBTClassifier:
-    """M6: boosted trees with the tuned parameters mapped onto Spark's names. L1/L2
-    penalties have no Spark counterpart and are only recorded."""
-    kw = dict(featuresCol=FEATURES, labelCol=roles.label, maxIter=int(params["n_estimators"]),
-              stepSize=float(params["learning_rate"]), maxDepth=int(params["max_depth"]),
-              subsamplingRate=float(params["subsample"]),
-              featureSubsetStrategy=str(float(params["colsample_bytree"])),
-              minInstancesPerNode=int(params["min_child_weight"]), minInfoGain=float(params["gamma"]),
-              weightCol=WEIGHT, seed=seed, cacheNodeIds=True)
-    if validation:
-        kw["validationIndicatorCol"] = VALIDATION
-    return GBTClassifier(**kw)
+def gbt(params: dict, roles: Roles, seed: int = SEED) -> GBTClassifier:
+    """M6: boosted trees with the tuned parameters mapped onto Spark's names (L1/L2
+    penalties have no Spark counterpart and are not searched)."""
+    return GBTClassifier(featuresCol=FEATURES, labelCol=roles.label, maxIter=int(params["n_estimators"]),
+                         stepSize=float(params["learning_rate"]), maxDepth=int(params["max_depth"]),
+                         subsamplingRate=float(params["subsample"]),
+                         featureSubsetStrategy=str(float(params["colsample_bytree"])),
+                         minInstancesPerNode=int(params["min_child_weight"]), minInfoGain=float(params["gamma"]),
+                         weightCol=WEIGHT, seed=seed, cacheNodeIds=True)
 
 
-def pipeline(roles: Roles, params: dict, encoding: str = "label", validation: bool = True) -> Pipeline:
+def pipeline(roles: Roles, params: dict, encoding: str = "label") -> Pipeline:
     cats = list(roles.categoricals)
     stages = [label_indexer(cats)]
     if encoding == "target":
         stages.append(TargetEncoder(inputCols=[f"{c}_code" for c in cats], outputCols=[f"{c}_te" for c in cats],
-                                    labelCol=roles.label, smoothing=1.0, handleInvalid="keep"))
+                                    labelCol=roles.label, smoothing=float(params.get("smoothing", 1.0)),
+                                    handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=feature_names(roles, encoding), outputCol=FEATURES,
                                   handleInvalid="keep"))
-    stages.append(gbt(params, roles, validation))
+    stages.append(gbt(params, roles))
     return Pipeline(stages=stages)
 
 
+def fill_missing(df: DataFrame, roles: Roles) -> DataFrame:
+    """Missing numeric features count as 0, in training and in scoring alike."""
+    return df.fillna(0, [c for c in roles.numerics if c in df.columns])
+
+
+def kept_rounds(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """Rounds to keep: up to the least validation loss seen before ``patience`` rounds passed without a lower one."""
+    best, at = float("inf"), 0
+    for i, loss in enumerate(losses):
+        if loss < best:
+            best, at = loss, i
+        elif i - at >= patience:
+            break
+    return at + 1
+
+
 def with_weights(df: DataFrame, roles: Roles, positive_weight: float) -> DataFrame:
     return df.withColumn(WEIGHT, weight_column(roles.label, positive_weight))
 
@@ -108,18 +121,44 @@ class TrainedModel:
     threshold: float = 0.5
     features: list[str] = field(default_factory=list)
     positive_weight: float = 1.0
+    rounds_tried: int = 0
+    rounds_kept: int = 0
+    cv_score: float | None = None
+    trials: list[dict] = field(default_factory=list)
 
     def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """M8: batch scoring: encode, assemble, predict; ``score >= threshold`` -> 1."""
-        out = positive_prob(self.model.transform(df))
-        return out.select(*keep, "score", (F.col("score") >= F.lit(self.threshold)).cast("int").alias("prediction"))
+        """M8: batch scoring of full records: missing numbers 0, encode, assemble, predict;
+        ``score >= threshold`` -> 1. ``keep`` columns are returned as given."""
+        held = {c: f"_keep_{i}" for i, c in enumerate(keep)}
+        own = fill_missing(df.withColumns({n: F.col(c) for c, n in held.items()}), self.roles)
+        out = positive_prob(self.model.transform(own))
+        return out.select(*[F.col(n).alias(c) for c, n in held.items()], "score",
+                          (F.col("score") >= F.lit(self.threshold)).cast("int").alias("prediction"))
+
+    def score_records(self, records: Sequence[dict]) -> list[dict]:
+        """Score a few records given as dictionaries (missing numbers 0, missing categories unseen)."""
+        from pyspark.sql import SparkSession
+        cats, nums = self.roles.categoricals, self.roles.numerics
+        rows = [tuple([r.get(c) for c in cats] + [None if r.get(c) is None else float(r[c]) for c in nums] + [i])
+                for i, r in enumerate(records)]
+        schema = ", ".join([*[f"`{c}` string" for c in cats], *[f"`{c}` double" for c in nums], "_n int"])
+        df = SparkSession.getActiveSession().createDataFrame(rows, schema)
+        return [{"score": r.score, "prediction": r.prediction}
+                for r in self.score(df, keep=["_n"]).orderBy("_n").collect()]
+
+    def importance(self) -> list[tuple[str, float]]:
+        return sorted(zip(self.features, self.model.stages[-1].featureImportances.toArray().tolist()),
+                      key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
-        """The pipeline in Spark ML format plus a small JSON of everything else
-        (threshold, feature order, parameters, encoding)."""
+        """The pipeline in Spark ML format plus a small JSON of everything else: model type,
+        threshold, feature order, parameters, encoding, rounds, importance, best cross-validation
+        score and the log of every trial with its fold scores."""
         self.model.write().overwrite().save(os.path.join(path, "model"))
-        meta = {"encoding": self.encoding, "params": self.params, "threshold": self.threshold,
-                "features": self.features, "positive_weight": self.positive_weight}
+        meta = {"model_type": MODEL_TYPE, "encoding": self.encoding, "params": self.params, "threshold": self.threshold,
+                "features": self.features, "positive_weight": self.positive_weight, "rounds_tried": self.rounds_tried,
+                "rounds_kept": self.rounds_kept, "importance": self.importance(), "cv_score": self.cv_score,
+                "trials": self.trials}
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -127,42 +166,54 @@ class TrainedModel:
 
 
 def load_model(paths: Sequence[str], roles: Roles) -> TrainedModel:
-    """Load the first bundle that exists among ``paths``."""
+    """Load the first bundle that exists among ``paths``. Only a location without a bundle is
+    passed over; one that can't be read raises."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    errors = []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        try:
-            model = PipelineModel.load(os.path.join(p, "model"))
-            meta = json.loads(spark.read.text(os.path.join(p, "meta")).first()[0])
-            return TrainedModel(model, roles, meta["encoding"], meta["params"], meta["threshold"],
-                                meta["features"], meta.get("positive_weight", 1.0))
-        except Exception as e:  # noqa: BLE001 - try the next location
-            errors.append(f"{p}: {type(e).__name__}")
-    raise FileNotFoundError("no model bundle found: " + "; ".join(errors))
+        meta_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(p, "meta"))
+        if not meta_path.getFileSystem(conf).exists(meta_path):
+            continue
+        model = PipelineModel.load(os.path.join(p, "model"))
+        meta = json.loads(spark.read.text(os.path.join(p, "meta")).first()[0])
+        if meta.get("model_type", MODEL_TYPE) != MODEL_TYPE:
+            raise ValueError(f"{p}: a bundle of type {meta['model_type']}")
+        return TrainedModel(model, roles, meta["encoding"], meta["params"], meta["threshold"], meta["features"],
+                            meta["positive_weight"], meta["rounds_tried"], meta["rounds_kept"], meta["cv_score"],
+                            meta["trials"])
+    raise FileNotFoundError("no model bundle found: " + "; ".join(paths))
 
 
 def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: str = "label",
           split: str = "split", train_name: str = "train", val_name: str = "test") -> TrainedModel:
-    """M6: fit on the train split with the test split as early-stopping validation,
-    positives weighted by ``scale_pos_weight`` x n_neg/n_pos; then choose the F1-best
-    grid threshold on the test split (E2)."""
+    """M6: fit every round on the train split, positives weighted by ``scale_pos_weight`` x n_neg/n_pos;
+    measure the loss of each round on the test split and keep the rounds up to the best one before
+    ``PATIENCE`` rounds without improvement (the same seeded fit, stopped there); then choose the
+    F1-best grid threshold on the test split (E2)."""
     params = dict(DEFAULT_PARAMS if params is None else params)
+    data = fill_missing(data, roles)
     train_rows = data.where(F.col(split) == train_name)
-    fit_rows = data.where(F.col(split).isin(train_name, val_name))
+    val_rows = data.where(F.col(split) == val_name)
     w = auto_weight(train_rows, roles) * float(params.get("scale_pos_weight", 1.0))
     # encoders and assembler are fitted on the train split only (no validation labels leak
-    # into a target encoding); the trees then see train rows, with test rows as validation
+    # into a target encoding)
     stages = pipeline(roles, params, encoding).getStages()
     features_model = Pipeline(stages=stages[:-1]).fit(train_rows)
-    fit_rows = with_weights(features_model.transform(fit_rows), roles, w) \
-        .withColumn(VALIDATION, F.col(split) == val_name)
+    own = [FEATURES, roles.label, WEIGHT]
+    fit_rows = temporary(with_weights(features_model.transform(train_rows), roles, w).select(*own), "fit_rows")
+    check_rows = temporary(with_weights(features_model.transform(val_rows), roles, w).select(*own), "check_rows")
     trees = stages[-1].fit(fit_rows)
+    tried = kept = trees.getNumTrees
+    if not check_rows.isEmpty():
+        kept = kept_rounds(trees.evaluateEachIteration(check_rows))
+        if kept < tried:
+            trees = gbt({**params, "n_estimators": kept}, roles).fit(fit_rows)
     model = PipelineModel(stages=[*features_model.stages, trees])
-    tm = TrainedModel(model, roles, encoding, params, 0.5, feature_names(roles, encoding), w)
-    scored = tm.score(data.where(F.col(split) == val_name), keep=[roles.label])
+    tm = TrainedModel(model, roles, encoding, params, 0.5, feature_names(roles, encoding), w, tried, kept)
+    scored = tm.score(val_rows, keep=[roles.label])
     best = ev.best_threshold(scored, y=roles.label).first()
-    tm.threshold = float(best.threshold) if best is not None else 0.5
+    tm.threshold = float(best.threshold) if best is not None and best.threshold is not None else 0.5
     return tm
 
 
@@ -171,11 +222,12 @@ def fold_f1(data: DataFrame, roles: Roles, params: dict, fold_col: str = "fold",
     """F1 (threshold 0.5) of each held-out fold: (fold, f1, rows). The k fits are
     independent Spark jobs submitted from a few driver threads, as CrossValidator does."""
     from concurrent.futures import ThreadPoolExecutor
+    data = fill_missing(data, roles)
 
     def one(k: int) -> DataFrame:
         tr = data.where(F.col(fold_col) != k)
         w = auto_weight(tr, roles) * float(params.get("scale_pos_weight", 1.0))
-        model = pipeline(roles, params, encoding, validation=False).fit(with_weights(tr, roles, w))
+        model = pipeline(roles, params, encoding).fit(with_weights(tr, roles, w))
         held = positive_prob(model.transform(data.where(F.col(fold_col) == k)))
         c = ev.with_metrics(ev.threshold_counts(held, [0.5], roles.label, "score"))
         return c.select(F.lit(k).alias("fold"), "f1", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
@@ -204,31 +256,34 @@ def sample_params(n: int, seed: int = SEED) -> list[dict]:
 def search(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, folds: int = N_FOLDS,
            fold_col: str = "fold", encoding: str = "label", seed: int = SEED, parallelism: int = 4,
            space_overrides: dict | None = None) -> tuple[DataFrame, dict | None]:
-    """M7: cross-validated search. Each trial is a ``CrossValidator`` over the fixed
-    folds (``foldCol``) scored by F1 of the positive class; the trial score is
-    mean - 0.1 * std; the best is the first strict improvement over 0.
-    Returns the trial log (one row per trial, running best) and the best parameters."""
-    base_w = auto_weight(data, roles)
-    evaluator = MulticlassClassificationEvaluator(labelCol=roles.label, metricName="fMeasureByLabel",
-                                                  metricLabel=1.0)
+    """M7: cross-validated search. Each trial draws its parameters, fits the fixed folds (``fold_f1``, in
+    parallel) and scores mean F1 - 0.1 * std; the best is the first strict improvement over 0.
+    Returns the trial log (one row per trial with its fold scores and the ``budget`` of trials the
+    caller gave) and the best parameters. Running best: ``ranks.running_max``."""
     rows, best, best_score = [], None, 0.0
     for t, p in enumerate(sample_params(n_trials, seed)):
         p.update(space_overrides or {})
-        est = pipeline(roles, p, encoding, validation=False)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
-                            foldCol=fold_col, numFolds=folds, parallelism=parallelism, seed=seed)
-        weighted = with_weights(data, roles, base_w * p["scale_pos_weight"])
-        m = cv.fit(weighted)
-        mean, std = float(m.avgMetrics[0]), float(m.stdMetrics[0])
+        scores = [r.f1 for r in fold_f1(data, roles, p, fold_col, encoding, folds, parallelism).orderBy("fold").collect()]
+        mean, std = float(np.mean(scores)), float(np.std(scores))
         adjusted = mean - STABILITY_PENALTY * std
         if adjusted > best_score:
             best_score, best = adjusted, dict(p)
-        rows.append((t, json.dumps(p, sort_keys=True), mean, std, adjusted))
-    spark = data.sparkSession
-    log = spark.createDataFrame(rows, "trial int, params string, mean_f1 double, std_f1 double, score double")
+        rows.append((t, n_trials, json.dumps(p, sort_keys=True), [float(x) for x in scores], mean, std, adjusted))
+    log = data.sparkSession.createDataFrame(
+        rows, "trial int, budget int, params string, fold_f1 array<double>, mean_f1 double, std_f1 double, score double")
     return log, best
 
 
+def tune(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, split: str = "split", train_name: str = "train",
+         **kwargs) -> TrainedModel:
+    """Search on the train split, then train with the best parameters; the bundle carries the log."""
+    log, best = search(data.where(F.col(split) == train_name), roles, n_trials, **kwargs)
+    tm = train(data, roles, best, kwargs.get("encoding", "label"), split, train_name)
+    tm.trials = [r.asDict() for r in log.orderBy("trial").collect()]
+    tm.cv_score = max((t["score"] for t in tm.trials), default=None)
+    return tm
+
+
 def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_name: str = "eval",
                  train_name: str = "train", sample: int = 100, seed: int = SEED,
                  parts: Sequence[str] | None = None) -> dict[str, DataFrame]:
@@ -236,10 +291,8 @@ def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_n
     scored table is written once (shared checkpoint folder) and all tables derive from it."""
     from ratelens.operators import explain
     from ratelens.operators.ranks import seeded_sample
-    from ratelens.sources.tables import materialize
-    import uuid
     spark = data.sparkSession
-    scored = materialize(spark, tm.score(data, keep=["row_id", tm.roles.label, split]), "scored", uuid.uuid4().hex)
+    scored = temporary(tm.score(data, keep=["row_id", tm.roles.label, split]), "scored")
     ev_rows = scored.where(F.col(split) == eval_name)
     curves = ev.curve_summary(ev_rows, tm.roles.label)
     gap = ev.f1_gap(scored, split, tm.threshold, train_name, eval_name, tm.roles.label)
@@ -251,8 +304,10 @@ def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_n
          ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))],
         "metric string, value double, verdict string")
     info = spark.createDataFrame([(k, json.dumps(val)) for k, val in
-                                  {"encoding": tm.encoding, "params": tm.params, "threshold": tm.threshold,
-                                   "features": tm.features}.items()], "key string, value string")
+                                  {"model_type": MODEL_TYPE, "encoding": tm.encoding, "params": tm.params,
+                                   "threshold": tm.threshold, "features": tm.features,
+                                   "rounds_tried": tm.rounds_tried, "rounds_kept": tm.rounds_kept,
+                                   "cv_score": tm.cv_score}.items()], "key string, value string")
     rows = seeded_sample(data.where(F.col(split) == eval_name), "row_id", sample, seed)
     bg = seeded_sample(data.where(F.col(split) == train_name), "row_id", max(1, sample // 2), seed + 1)
     builders = {

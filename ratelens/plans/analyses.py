@@ -10,6 +10,7 @@ from ratelens.operators import binning, rates, stats
 from ratelens.operators.ranks import value_ranks
 from ratelens.operators.scans import exact_quantiles
 from ratelens.roles import Roles
+from ratelens.sources.tables import temporary
 
 # fixed values: band edges and labels (right-closed bins)
 AGE_EDGES, AGE_LABELS = [0, 30, 40, 50, 100], ["18-30", "31-40", "41-50", "51+"]
@@ -34,10 +35,10 @@ def _y(r: Roles):
 
 def rate_by_dept(df: DataFrame, r: Roles) -> DataFrame:
     """Q1: outcome count / positives / rate and the % split of the outcome by department."""
-    out = rates.outcome_rate(df, [r.dept], r.label)
-    pct = rates.crosstab_pct(df, r.dept, r.outcome, [r.negative, r.positive]) \
-        .withColumnRenamed(r.negative, "no_pct").withColumnRenamed(r.positive, "yes_pct")
-    return out.join(pct, r.dept)
+    n = F.count(F.col(r.outcome))
+    pct = [(F.count_if(F.col(r.outcome) == v) * 100.0 / n).alias(name)
+           for v, name in ((r.negative, "no_pct"), (r.positive, "yes_pct"))]
+    return df.where(F.col(r.dept).isNotNull()).groupBy(r.dept).agg(*rates.rate_aggs(r.label), *pct)
 
 
 def dept_role(df: DataFrame, r: Roles, k: int = 15) -> DataFrame:
@@ -115,8 +116,8 @@ def equity_within_level(df: DataFrame, r: Roles, min_level_rows: int = 5, min_co
     """Q12: within each job level with more than 4 rows, bottom income quartile vs rest.
     Per-level quartiles are one small table (a row per level) joined back by level."""
     sizes = df.groupBy(r.level).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_level_rows)
-    q = exact_quantiles(df.join(sizes.select(r.level), r.level), r.income, [0.25], [r.level]) \
-        .select(r.level, F.col("value").alias("_q1"))
+    q = exact_quantiles(df, r.income, [0.25], [r.level]).select(r.level, F.col("value").alias("_q1"))
+    q = temporary(q.join(sizes.select(r.level), r.level), "level_quartiles")
     lab = F.when(F.col(r.income) <= F.col("_q1"), EQUITY_LOW).otherwise(EQUITY_REST)
     g = df.join(q, r.level).select(r.level, lab.alias("income_group"), r.label)
     return rates.outcome_rate(g, [r.level, "income_group"], r.label, with_sum=False, min_count=min_count)
@@ -133,7 +134,7 @@ def percentile_groups(df: DataFrame, r: Roles) -> DataFrame:
     frame = spark.createDataFrame(list(enumerate(PERCENTILE_LABELS)), "bin int, band string")
     return (F.broadcast(frame).join(g, "band", "left")
             .select("bin", "band", F.coalesce("_cnt", F.lit(0)).cast("bigint").alias("total"),
-                    F.round(F.col("_pos") / F.col("_cnt"), rates.RATE_DIGITS).alias("rate")))
+                    (F.col("_pos") / F.col("_cnt")).alias("rate")))
 
 
 def _low_sat(r: Roles):
@@ -185,13 +186,14 @@ def top_combos(df: DataFrame, r: Roles, min_count: int = 5, k: int = 10) -> Data
 
 
 def category_detail(df: DataFrame, r: Roles, var: str) -> DataFrame:
-    """Q21: one variable: counts, outcome % and outcome counts per category (one aggregate)."""
-    n = F.count(F.lit(1))
+    """Q21: one variable: counts, outcome % (of the rows with an outcome) and outcome counts per
+    category (one aggregate)."""
+    n = F.nullif(F.count(F.col(r.outcome)), F.lit(0))
     yes = F.count_if(F.col(r.outcome) == r.positive)
     no = F.count_if(F.col(r.outcome) == r.negative)
     return (df.where(F.col(var).isNotNull()).groupBy(var)
-            .agg(n.alias("count"), F.round(no * 100.0 / n, rates.RATE_DIGITS).alias("no_pct"),
-                 F.round(yes * 100.0 / n, rates.RATE_DIGITS).alias("yes_pct"),
+            .agg(F.count(F.lit(1)).alias("count"), (no * 100.0 / n).alias("no_pct"),
+                 (yes * 100.0 / n).alias("yes_pct"),
                  no.alias("no_count"), yes.alias("yes_count")))
 
 
@@ -212,17 +214,19 @@ def final_summary(df: DataFrame, r: Roles) -> DataFrame:
     def row(metric, value, text=None):
         return [F.lit(metric).alias("metric"), value.cast("double").alias("value"),
                 (text if text is not None else F.lit(None)).cast("string").alias("text")]
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.sum(r.label).alias("p"), F.avg(r.label).alias("m"))
-    parts = [
-        tot.select(*row("total", F.col("n"))),
-        tot.select(*row("positives", F.col("p"))),
-        tot.select(*row("rate_pct", F.round(F.col("m") * 100, 6))),
-    ]
-    for metric, key in (("top_dept", r.dept), ("top_role", r.role)):
-        best = rates.top_k(rates.mean_by(df, key, r.label, "m"), 1, [F.desc_nulls_last("m"), F.asc(key)])
-        parts.append(best.select(*row(metric, F.col("m"), F.col(key))))
-    ot = rates.mean_by(df, r.overtime, r.label, "m")
-    parts.append(ot.select(*row("overtime_rate", F.col("m"), F.col(r.overtime))))
+    tot = df.agg(F.array(*[F.struct(*row(metric, value)) for metric, value in (
+        ("total", F.count(F.lit(1))), ("positives", F.sum(r.label)), ("rate_pct", F.avg(r.label) * 100))]).alias("s"))
+    parts = [tot.select(F.inline("s"))]
+    # the rates of all three columns from one pass over the rows, a row a category
+    keys = {"top_dept": r.dept, "top_role": r.role, "overtime_rate": r.overtime}
+    long = df.select(r.label, *[F.col(c).alias(m) for m, c in keys.items()]).unpivot(
+        [r.label], list(keys), "metric", "category").where(F.col("category").isNotNull())
+    rated = temporary(long.groupBy("metric", "category").agg(F.avg(r.label).alias("m")), "summary_rates")
+    for metric in ("top_dept", "top_role"):
+        best = rates.top_k(rated.where(F.col("metric") == metric), 1, [F.desc_nulls_last("m"), F.asc("category")])
+        parts.append(best.select(*row(metric, F.col("m"), F.col("category"))))
+    parts.append(rated.where(F.col("metric") == "overtime_rate").select(
+        *row("overtime_rate", F.col("m"), F.col("category"))))
     nums = [c for c in r.numerics if c != r.label]
     top = stats.outcome_corr(df, r.label, nums, k=5)
     parts.append(top.select(*row("top_correlate", F.col("abs_r"), F.col("variable"))))

@@ -66,7 +66,7 @@ def corr_sql(columns) -> str:
     for i, j in pairs:
         a, b = f"{columns[i]}::DOUBLE", f"{columns[j]}::DOUBLE"
         den = f"(stddev_samp({a}) * stddev_samp({b}))"
-        aggs.append(f"round(CASE WHEN {den} > 0 THEN covar_samp({a}, {b}) / {den} END, 6) AS _{i}_{j}")
+        aggs.append(f"CASE WHEN {den} > 0 THEN covar_samp({a}, {b}) / {den} END AS _{i}_{j}")
     rows = []
     for i, j in pairs:
         rows.append(f"SELECT '{columns[i]}' AS c1, '{columns[j]}' AS c2, {i} AS i, {j} AS j, _{i}_{j} AS r FROM m")
@@ -80,7 +80,7 @@ def corr_with_sql(y: str, columns) -> str:
     for c in columns:
         a, b = f"{c}::DOUBLE", f"{y}::DOUBLE"
         den = f"(stddev_samp({a}) * stddev_samp({b}))"
-        rows.append(f"SELECT '{c}' AS variable, round(CASE WHEN {den} > 0 THEN covar_samp({a}, {b}) / {den} END, 6) "
+        rows.append(f"SELECT '{c}' AS variable, CASE WHEN {den} > 0 THEN covar_samp({a}, {b}) / {den} END "
                     f"AS r FROM fact")
     return " UNION ALL ".join(rows)
 
@@ -109,8 +109,8 @@ def box_sql(columns, by=()) -> str:
              f"quantile_cont(value, 0.75) AS q3 FROM long GROUP BY {keys}) "
              f"SELECT {bys}variable, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
              f"round(q3 - q1, 6) AS iqr, "
-             f"min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END) AS whisker_lo, "
-             f"max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END) AS whisker_hi, "
+             f"least(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), q1) AS whisker_lo, "
+             f"greatest(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), q3) AS whisker_hi, "
              f"count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers, "
              f"count(value)::BIGINT AS count "
              f"FROM long JOIN qs USING ({keys}) GROUP BY {keys}, q1, median, q3")

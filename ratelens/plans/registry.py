@@ -36,6 +36,17 @@ TOP_CORR_FOR = ["age", "income", "experience", "tenure"]
 SEED = 42
 
 
+
+# band edges, labels and grids as documented, written out here so that the oracles don't share the operators' lists
+_AGE = ([0, 30, 40, 50, 100], ["18-30", "31-40", "41-50", "51+"])
+_TENURE = ([0, 1, 2, 3, 5, 10, 50], ["0-1", "1-2", "2-3", "3-5", "5-10", "10+"])
+_STAGNATION = ([0, 0.4, 0.7, 1.0], ["Bajo (<0.4)", "Medio (0.4-0.7)", "Alto (≥0.7)"])
+_PERCENTILE = ([0, 0.25, 0.5, 0.75, 1.0], ["P0-25", "P25-50", "P50-75", "P75-100"])
+_SWEEP = ["0.1", "0.15", "0.2", "0.25", "0.3", "0.35", "0.4", "0.45", "0.5", "0.55", "0.6", "0.65", "0.7", "0.75", "0.8",
+          "0.85", "0.9", "0.95"]
+_F1_GRID = [f"0.{i:02d}" for i in range(10, 90, 2)]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -49,6 +60,14 @@ def _f(spark, sf):
     return fact(spark, sf)
 
 
+def _rounded(fn):
+    """``fn`` with its double columns (but those of _RAW) rounded to 6 digits."""
+    def run(s, d):
+        df = fn(s, d)
+        return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in _RAW else c for c, t in df.dtypes])
+    return run
+
+
 # ---------------------------------------------------------------- sources, projections, filters
 register("scan_fact", q("SELECT * FROM fact"))(lambda s, d: _f(s, d))
 
@@ -144,9 +163,10 @@ register("all_variables", q(
 
 register("top_categories", q(
     f", long AS ({_ALLVARS_SQL}), av AS (SELECT variable, category, "
-    f"round(coalesce(count_if(outcome = 'Yes') * 100.0 / count(outcome), 0.0), 6) AS rate_pct, "
+    f"coalesce(count_if(outcome = 'Yes') * 100.0 / count(outcome), 0.0) AS raw_pct, "
     f"count(*)::BIGINT AS count FROM long GROUP BY variable, category HAVING count(*) >= 5) "
-    f"SELECT * FROM av ORDER BY rate_pct DESC NULLS LAST, variable, category LIMIT 10"))(
+    f"SELECT variable, category, round(raw_pct, 6) AS rate_pct, count FROM av "
+    f"ORDER BY raw_pct DESC NULLS LAST, variable, category LIMIT 10"))(
     lambda s, d: A.top_categories(_f(s, d), R))
 
 register("profile", q(" UNION ALL ".join(
@@ -167,19 +187,19 @@ register("describe_where", O.describe_sql(O.NUMS, where="dept = 'F'"))(
 register("describe_by", O.describe_sql(O.NUMS, by=["outcome"]))(
     lambda s, d: stats.describe(_f(s, d), O.NUMS, by=["outcome"]))
 
-register("corr_matrix", q(O.corr_sql(CORR_COLS) + "SELECT * FROM corr"))(
+register("corr_matrix", q(O.corr_sql(CORR_COLS) + "SELECT c1, c2, i, j, round(r, 6) AS r FROM corr"))(
     lambda s, d: stats.corr_long(_f(s, d), CORR_COLS))
-register("corr_lower", q(O.corr_sql(CORR_COLS) + "SELECT * FROM corr WHERE i > j"))(
+register("corr_lower", q(O.corr_sql(CORR_COLS) + "SELECT c1, c2, i, j, round(r, 6) AS r FROM corr WHERE i > j"))(
     lambda s, d: stats.corr_lower(stats.corr_long(_f(s, d), CORR_COLS)))
 register("top_corr", q(
     O.corr_sql(CORR_COLS) + ", t AS (SELECT c1, c2, r, abs(r) AS abs_r, row_number() OVER "
     "(PARTITION BY c1 ORDER BY abs(r) DESC NULLS LAST, c2) AS rank FROM corr WHERE c1 IN ("
-    + ", ".join(f"'{c}'" for c in TOP_CORR_FOR) + ") AND c1 <> c2) SELECT * FROM t WHERE rank <= 5"))(
+    + ", ".join(f"'{c}'" for c in TOP_CORR_FOR) + ") AND c1 <> c2) SELECT c1, c2, round(r, 6) AS r, round(abs_r, 6) AS abs_r, rank FROM t WHERE rank <= 5"))(
     lambda s, d: stats.top_corr(stats.corr_long(_f(s, d), CORR_COLS), TOP_CORR_FOR)
     .withColumn("rank", F.col("rank").cast("bigint")))
 register("outcome_corr", q(
-    f", c AS ({O.corr_with_sql('y', O.NUMS)}) SELECT variable, r, abs(r) AS abs_r FROM c "
-    f"ORDER BY abs_r DESC NULLS LAST, variable LIMIT 15"))(
+    f", c AS ({O.corr_with_sql('y', O.NUMS)}) SELECT variable, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM c "
+    f"ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 15"))(
     lambda s, d: stats.outcome_corr(_f(s, d), "y", O.NUMS, k=15))
 
 register("quantile_exact", q(
@@ -211,13 +231,13 @@ register("standardize", q(
     lambda s, d: stats.standardize(_f(s, d).select("row_id", *STD_COLS), STD_COLS, digits=6))
 
 # ---------------------------------------------------------------- binning
-_AGE_SQL = O.dense_cut_sql("age", A.AGE_EDGES, A.AGE_LABELS, "band")
+_AGE_SQL = O.dense_cut_sql("age", *_AGE, "band")
 register("cut_fixed", q(_AGE_SQL))(lambda s, d: A.age_bands(_f(s, d), R))
 register("age_bands", q(_AGE_SQL))(lambda s, d: A.age_bands(_f(s, d), R))
-register("tenure_bands", q(O.dense_cut_sql("tenure", A.TENURE_EDGES, A.TENURE_LABELS, "band")))(
+register("tenure_bands", q(O.dense_cut_sql("tenure", *_TENURE, "band")))(
     lambda s, d: A.tenure_bands(_f(s, d), R))
-register("stagnation", q(O.dense_cut_sql("(role_years / (tenure + 0.1::DOUBLE))", A.STAGNATION_EDGES, A.STAGNATION_LABELS,
-                                         "band", with_sum=False)))(lambda s, d: A.stagnation(_f(s, d), R))
+register("stagnation", q(O.dense_cut_sql("(role_years / (tenure + 0.1::DOUBLE))", *_STAGNATION, "band",
+                                         with_sum=False)))(lambda s, d: A.stagnation(_f(s, d), R))
 
 # equal-width edges as numpy linspace: lo + i * ((hi - lo) / k), last = hi, first lowered by 0.1 % of the range
 _EDGES_SQL = (", mm AS (SELECT min(income)::DOUBLE AS lo, max(income)::DOUBLE AS hi FROM fact), "
@@ -255,7 +275,7 @@ register("rank_pct", q(
 register("percentile_groups", q(
     ", r AS (SELECT y, (rank() OVER (ORDER BY income) + (count(*) OVER (PARTITION BY income) - 1) / 2.0) "
     "/ count(*) OVER () AS pct FROM fact) "
-    + O.dense_cut_sql("pct", A.PERCENTILE_EDGES, A.PERCENTILE_LABELS, "band", with_sum=False, src="r")))(
+    + O.dense_cut_sql("pct", *_PERCENTILE, "band", with_sum=False, src="r")))(
     lambda s, d: A.percentile_groups(_f(s, d), R))
 
 register("running_best", q(
@@ -283,10 +303,11 @@ register("stratified_folds", q(_CLASS_RANK + "SELECT row_id, y, CAST((class_rank
 _SCORED = ", g AS (SELECT score AS s, sum(y)::BIGINT AS pos, (count(*) - sum(y))::BIGINT AS neg FROM fact GROUP BY score), " \
     "c AS (SELECT s, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS np_, " \
     "sum(neg) OVER () AS nn FROM g WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) "
-register("roc_points", q(_SCORED + "SELECT s AS threshold, round(fp / nn, 6) AS fpr, round(tp / np_, 6) AS tpr FROM c"))(
+register("roc_points", q(_SCORED + "SELECT s AS threshold, round(fp / nn, 6) AS fpr, round(tp / np_, 6) AS tpr FROM c "
+                         "UNION ALL SELECT NULL, 0.0, 0.0"))(
     lambda s, d: ev.roc_points(_f(s, d)))
 register("pr_points", q(_SCORED + "SELECT s AS threshold, round(tp / (tp + fp), 6) AS precision, "
-                        "round(tp / np_, 6) AS recall FROM c"))(lambda s, d: ev.pr_points(_f(s, d)))
+                        "round(tp / np_, 6) AS recall FROM c UNION ALL SELECT NULL, 1.0, 0.0"))(lambda s, d: ev.pr_points(_f(s, d)))
 register("roc_auc", q(_SCORED + "SELECT round(sum((neg * (tp + tp - pos))::DOUBLE) / (2.0 * max(np_) * max(nn)), 6) "
                       "AS roc_auc FROM c"))(lambda s, d: ev.curve_summary(_f(s, d)).select("roc_auc"))
 register("avg_precision", q(_SCORED + "SELECT round(sum(pos / np_ * tp / (tp + fp)), 6) AS avg_precision, "
@@ -305,11 +326,11 @@ def _grid_sql(grid) -> str:
             f"mm AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END AS f FROM m) ")
 
 
-register("threshold_sweep", q(_grid_sql(ev.SWEEP_GRID) + (
+register("threshold_sweep", q(_grid_sql(_SWEEP) + (
     "SELECT threshold, tp, fp, tn, fn, round(p, 6) AS precision, round(rc, 6) AS recall, round(f, 6) AS f1, "
     "round(sp, 6) AS specificity FROM mm")))(lambda s, d: ev.threshold_sweep(_f(s, d)))
-register("best_threshold", q(_grid_sql(ev.F1_GRID) + (
-    "SELECT threshold, round(f, 6) AS f1 FROM mm ORDER BY round(f, 6) DESC, threshold LIMIT 1")))(
+register("best_threshold", q(_grid_sql(_F1_GRID) + (
+    "SELECT threshold, round(f, 6) AS f1 FROM mm ORDER BY f DESC, threshold LIMIT 1")))(
     lambda s, d: ev.best_threshold(_f(s, d)))
 _CONF = ", k AS (SELECT count_if(score >= 0.5 AND y = 1) AS tp, count_if(score >= 0.5 AND y = 0) AS fp, " \
     "count_if(score < 0.5 AND y = 0) AS tn, count_if(score < 0.5 AND y = 1) AS fn FROM fact) "
@@ -346,9 +367,7 @@ register("class_report", q(_CONF + " UNION ALL ".join(
 
 
 def _split_scored(s, d):
-    fct = _f(s, d)
-    sp = ranks.stratified_split(fct.select("row_id", "y"), "row_id", "y", seed=SEED).select("row_id", "split")
-    return fct.select("row_id", "y", "score").join(sp, "row_id")
+    return ranks.stratified_split(_f(s, d).select("row_id", "y", "score"), "row_id", "y", seed=SEED)
 
 
 register("f1_gap", q(_CLASS_RANK + (
@@ -357,8 +376,9 @@ register("f1_gap", q(_CLASS_RANK + (
     "k AS (SELECT split, count_if(score >= 0.5 AND y = 1) AS tp, count_if(score >= 0.5 AND y = 0) AS fp, "
     "count_if(score < 0.5 AND y = 0) AS tn, count_if(score < 0.5 AND y = 1) AS fn "
     "FROM fact JOIN sp USING (row_id) WHERE split IN ('train', 'eval') GROUP BY split), "
-    f"f AS (SELECT split, round({_F1_1}, 6) AS f1 FROM k) "
-    "SELECT max(CASE WHEN split = 'train' THEN f1 END) AS f1_train, max(CASE WHEN split = 'eval' THEN f1 END) AS f1_eval, "
+    f"f AS (SELECT split, {_F1_1} AS f1 FROM k) "
+    "SELECT round(max(CASE WHEN split = 'train' THEN f1 END), 6) AS f1_train, "
+    "round(max(CASE WHEN split = 'eval' THEN f1 END), 6) AS f1_eval, "
     "round(max(CASE WHEN split = 'train' THEN f1 END) - max(CASE WHEN split = 'eval' THEN f1 END), 6) AS f1_gap FROM f")))(
     lambda s, d: ev.f1_gap(_split_scored(s, d), "split", 0.5))
 
@@ -381,11 +401,11 @@ register("risk_factors", q(
 
 # ---------------------------------------------------------------- composed analyses
 register("rate_by_dept", q(
-    f"SELECT dept, {O.rate_cols()}, round(count_if(outcome = 'No') * 100.0 / count(*), 6) AS no_pct, "
-    f"round(count_if(outcome = 'Yes') * 100.0 / count(*), 6) AS yes_pct FROM fact GROUP BY dept"))(
+    f"SELECT dept, {O.rate_cols()}, round(count_if(outcome = 'No') * 100.0 / count(outcome), 6) AS no_pct, "
+    f"round(count_if(outcome = 'Yes') * 100.0 / count(outcome), 6) AS yes_pct FROM fact GROUP BY dept"))(
     lambda s, d: A.rate_by_dept(_f(s, d), R))
 register("dept_role", q(
-    f"SELECT dept, role, {O.rate_cols()} FROM fact GROUP BY dept, role ORDER BY rate DESC NULLS LAST, dept, role "
+    f"SELECT dept, role, {O.rate_cols()} FROM fact GROUP BY dept, role ORDER BY avg(y::DOUBLE) DESC NULLS LAST, dept, role "
     f"LIMIT 15"))(lambda s, d: A.dept_role(_f(s, d), R))
 register("satisfaction_rates", q(" UNION ALL ".join(
     f"SELECT '{c}' AS variable, {c} AS level, {O.rate_cols()} FROM fact GROUP BY {c}"
@@ -398,9 +418,10 @@ register("fatigue", q(
     f"SELECT CASE WHEN overtime = 'Yes' OR travel = '1-URGENT' THEN 'Alta Fatiga' ELSE 'Normal' END AS factor, "
     f"{O.rate_cols()} FROM fact GROUP BY 1"))(lambda s, d: A.fatigue(_f(s, d), R))
 register("high_risk_roles", q(
-    f", g AS (SELECT role, overtime, travel, {O.rate_cols(with_sum=False)} FROM fact GROUP BY role, overtime, travel "
-    f"HAVING count(y) >= 3) SELECT *, role || ' (' || travel || ')' AS detail FROM g WHERE overtime = 'Yes' AND "
-    f"travel IN ('1-URGENT', '2-HIGH') ORDER BY rate DESC NULLS LAST, role, travel LIMIT 8"))(
+    f", g AS (SELECT role, overtime, travel, {O.rate_cols(with_sum=False)}, avg(y::DOUBLE) AS raw FROM fact "
+    f"GROUP BY role, overtime, travel HAVING count(y) >= 3) SELECT role, overtime, travel, total, rate, "
+    f"role || ' (' || travel || ')' AS detail FROM g WHERE overtime = 'Yes' AND "
+    f"travel IN ('1-URGENT', '2-HIGH') ORDER BY raw DESC NULLS LAST, role, travel LIMIT 8"))(
     lambda s, d: A.high_risk_roles(_f(s, d), R))
 register("early_career", q(
     f", qq AS (SELECT quantile_cont(income, 0.25) AS q1 FROM fact) "
@@ -433,10 +454,10 @@ register("low_satisfaction", q(
 register("top_combos", q(
     f"SELECT dept, gender, overtime, {O.rate_cols(with_sum=False)}, concat_ws(' + ', dept, gender, overtime) "
     f"AS combination FROM fact GROUP BY dept, gender, overtime HAVING count(y) >= 5 "
-    f"ORDER BY rate DESC NULLS LAST, dept, gender, overtime LIMIT 10"))(lambda s, d: A.top_combos(_f(s, d), R))
+    f"ORDER BY avg(y::DOUBLE) DESC NULLS LAST, dept, gender, overtime LIMIT 10"))(lambda s, d: A.top_combos(_f(s, d), R))
 register("category_detail", q(
-    "SELECT role, count(*)::BIGINT AS count, round(count_if(outcome = 'No') * 100.0 / count(*), 6) AS no_pct, "
-    "round(count_if(outcome = 'Yes') * 100.0 / count(*), 6) AS yes_pct, count_if(outcome = 'No')::BIGINT AS no_count, "
+    "SELECT role, count(*)::BIGINT AS count, round(count_if(outcome = 'No') * 100.0 / count(outcome), 6) AS no_pct, "
+    "round(count_if(outcome = 'Yes') * 100.0 / count(outcome), 6) AS yes_pct, count_if(outcome = 'No')::BIGINT AS no_count, "
     "count_if(outcome = 'Yes')::BIGINT AS yes_count FROM fact GROUP BY role"))(
     lambda s, d: A.category_detail(_f(s, d), R, "role"))
 _SUMMARY_NUMS = list(R.numerics)
@@ -447,11 +468,11 @@ register("final_summary", q(
     "UNION ALL SELECT 'positives', p::DOUBLE, NULL FROM t "
     "UNION ALL SELECT 'rate_pct', round(m * 100, 6), NULL FROM t "
     "UNION ALL (SELECT 'top_dept', round(avg(y::DOUBLE), 6), dept FROM fact GROUP BY dept "
-    "ORDER BY round(avg(y::DOUBLE), 6) DESC, dept LIMIT 1) "
+    "ORDER BY avg(y::DOUBLE) DESC, dept LIMIT 1) "
     "UNION ALL (SELECT 'top_role', round(avg(y::DOUBLE), 6), role FROM fact GROUP BY role "
-    "ORDER BY round(avg(y::DOUBLE), 6) DESC, role LIMIT 1) "
+    "ORDER BY avg(y::DOUBLE) DESC, role LIMIT 1) "
     "UNION ALL SELECT 'overtime_rate', round(avg(y::DOUBLE), 6), overtime FROM fact GROUP BY overtime "
-    "UNION ALL (SELECT 'top_correlate', abs(r), variable FROM c ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 5)"))(
+    "UNION ALL (SELECT 'top_correlate', round(abs(r), 6), variable FROM c ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 5)"))(
     lambda s, d: A.final_summary(_f(s, d), R))
 
 # ---------------------------------------------------------------- model data operators
@@ -483,12 +504,9 @@ register("class_weight", q(
 
 
 def model_data(spark, sf):
-    """fact + split (60/20/20) + fold (7), written once per application."""
-    fct = _f(spark, sf)
-    sp = ranks.stratified_split(fct.select("row_id", "y"), "row_id", "y", seed=SEED).select("row_id", "split")
-    fo = ranks.stratified_folds(fct.select("row_id", "y"), "row_id", "y", training.N_FOLDS, SEED) \
-        .select("row_id", "fold")
-    return materialize(spark, fct.join(sp, "row_id").join(fo, "row_id"), "model_data", sf)
+    """fact + split (60/20/20) + fold (7) from one rank pass, written once per application."""
+    return materialize(spark, lambda: ranks.class_ranks(_f(spark, sf), "row_id", "y", SEED).withColumns(
+        {"split": ranks.split_label(), "fold": ranks.fold_label(training.N_FOLDS)}), "model_data", sf)
 
 
 _MODELS: dict = {}
@@ -507,30 +525,45 @@ def _train_summary(s, d):
     scored = tm.score(data, keep=["y", "split"])
     c = ev.with_metrics(ev.threshold_counts(scored, [tm.threshold], "y", "score", by=["split"]))
     return c.select("split", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("rows"),
-                    "threshold", "precision", "recall", "f1")
+                    "threshold", "precision", "recall", "f1", F.lit(tm.rounds_tried).alias("rounds_tried"),
+                    F.lit(tm.rounds_kept).alias("rounds_kept"))
 
 
 register("train_gbt")(_train_summary)
 
 
-def _score_batch(s, d):
+def _scored(s, d, records):
     tm = trained(s, d)
-    form = facets.fill_defaults(_f(s, d).select(*FORM_FIELDS), R)
-    scored = tm.score(form, keep=["row_id", *R.categoricals, *R.numerics])
+    scored = tm.score(records, keep=["row_id", *R.categoricals, *R.numerics])
     return scored.select("row_id", "score", "prediction", risk_tier("score").alias("tier"),
                          F.concat_ws("; ", risk_factors(R)).alias("factors"))
 
 
-register("score_batch")(_score_batch)
+# full records, and records of the short form's fields with its defaults
+register("score_batch")(lambda s, d: _scored(s, d, _f(s, d)))
+register("score_form")(lambda s, d: _scored(s, d, facets.fill_defaults(_f(s, d).select(*FORM_FIELDS), R)))
+# what holds for any model: every record is scored once
+register("score_counts", q("SELECT dept, count(*)::BIGINT AS records, count(*)::BIGINT AS in_unit_interval, "
+                           "count(*)::BIGINT AS tier_agrees FROM fact GROUP BY dept"))(
+    lambda s, d: trained(s, d).score(_f(s, d), keep=["dept"]).groupBy("dept").agg(
+        F.count("score").alias("records"), F.count_if(F.col("score").between(0, 1)).alias("in_unit_interval"),
+        F.count_if((F.col("score") > 0.7) == risk_tier("score").startswith("RIESGO CRÍTICO")).alias("tier_agrees")))
+register("split_counts", q(_CLASS_RANK + (
+    ", sp AS (SELECT y, CASE WHEN (class_rank - 1) * 100 < class_n * 60 THEN 'train' "
+    "WHEN (class_rank - 1) * 100 < class_n * 80 THEN 'test' ELSE 'eval' END AS split, "
+    "CAST((class_rank - 1) % 7 AS INT) AS fold FROM cr) "
+    "SELECT y, split, fold, count(*)::BIGINT AS records FROM sp GROUP BY y, split, fold")))(
+    lambda s, d: model_data(s, d).groupBy("y", "split", "fold").agg(F.count(F.lit(1)).alias("records")))
 register("feature_importance")(lambda s, d: explain.feature_importance(trained(s, d), top_n=15))
 register("cv_scores")(lambda s, d: training.fold_f1(
-    model_data(s, d).where(F.col("split") == "train"), R, {**training.DEFAULT_PARAMS, "n_estimators": 20}))
+    model_data(s, d).where(F.col("split") == "train"), R, training.DEFAULT_PARAMS))
+register("corr_numeric", q(O.corr_sql(["y", "age", "income", "level"]) + "SELECT c1, c2, i, j, round(r, 6) AS r FROM corr"))(
+    lambda s, d: stats.corr_long(_f(s, d).select("y", "dept", "age", "income", "overtime", "level")))
 
 
 def _search_log(s, d):
-    # registered example of reduced size (2 trials, 20 trees each); the library default is 80 trials
-    log, _ = training.search(model_data(s, d).where(F.col("split") == "train"), R, n_trials=2,
-                             space_overrides={"n_estimators": 20, "max_depth": 4})
+    # the caller's budget: one of the library's 80 trials (7 fits of 100 to 500 trees); the log records it
+    log, _ = training.search(model_data(s, d).where(F.col("split") == "train"), R, n_trials=1)
     return ranks.running_max(log, "score", "trial", name="best_so_far")
 
 
@@ -548,13 +581,15 @@ def _attribution(s, d):
 register("attribution")(_attribution)
 
 
-def _model_report(s, d):
-    return training.model_report(trained(s, d), model_data(s, d), parts=("summary",))["summary"]
+def _report_part(part):
+    return lambda s, d: training.model_report(trained(s, d), model_data(s, d), parts=(part,))[part]
 
 
 register("permutation_importance")(lambda s, d: explain.permutation_importance(
     trained(s, d), model_data(s, d).where(F.col("split") == "eval"), "row_id", "y", SEED))
-register("model_report")(_model_report)
+register("model_report")(_report_part("summary"))
+for _part in ("info", "importance", "attribution", "roc", "pr", "sweep", "confusion", "class_report"):
+    register(f"model_report_{_part}")(_report_part(_part))
 
 
 def _format_kpis(s, d):
@@ -570,3 +605,16 @@ register("format_kpis", q(
     f"round(avg(income), 6) AS inc, round(avg(tenure), 6) AS ten FROM fact WHERE {FACETS_SQL}) "
     "SELECT format('{:,}', total) AS total, printf('%.1f%%', rate_pct) AS rate, printf('%.1f', js) AS avg_job_sat, "
     "'$' || format('{:,.0f}', inc) AS avg_income, printf('%.1f', ten) AS avg_tenure FROM k"))(_format_kpis)
+
+
+# results are rounded here, after the order is decided on raw values; curve thresholds and scores stay raw
+_RAW = ("threshold", "score", "income")
+for _key in ("kpis outcome_rate outcome_rate_multi mean_by_level category_share crosstab_pct pivot_mean dept_overtime "
+             "all_variables top_categories describe describe_where describe_by corr_matrix corr_lower corr_numeric top_corr "
+             "outcome_corr quantile_exact histogram box_stats box_stats_by cut_fixed age_bands tenure_bands stagnation "
+             "cut_equal income_bands cut_quantile percentile_groups roc_points pr_points roc_auc avg_precision "
+             "threshold_sweep best_threshold class_report f1_gap rate_by_dept dept_role satisfaction_rates overtime_share "
+             "fatigue high_risk_roles early_career age_income_quartiles equity_within_level climate low_satisfaction "
+             "top_combos category_detail final_summary class_weight attribution permutation_importance train_gbt "
+             "cv_scores").split():
+    QUERIES[_key] = _rounded(QUERIES[_key])

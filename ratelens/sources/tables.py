@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,53 +89,53 @@ FACT_PARTITION = ("dept",)
 FACT_COLUMNS = ("row_id", "outcome", "y", "dept", "role", "gender", "marital", "education_field", "travel",
                 "overtime", "age", "income", "level", "experience", "tenure", "role_years", "job_sat", "env_sat",
                 "rel_sat", "balance", "rate1", "constant_col", "score")
-_WRITTEN: dict[tuple[str, str], str] = {}
-_LOCK = threading.Lock()
-
-
-def fact(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> DataFrame:
-    """The fact view, written once per application to the shared checkpoint folder.
-
-    ``RATELENS_FACT=lazy`` (or ``materialize=False``) returns the lazy join instead.
-    """
-    if materialize is None:
-        materialize = os.environ.get("RATELENS_FACT", "write") != "lazy"
-    if not materialize:
-        return fact_frame(spark, sf_dir)
-    app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(sf_dir))
-    with _LOCK:
-        path = _WRITTEN.get(key)
-        if path is None:
-            tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
-            path = os.path.join(checkpoint_dir(spark), "ratelens-fact", f"{app}-{tag}")
-            try:
-                # partitioned by a low-cardinality facet: department filters prune directories
-                fact_frame(spark, sf_dir).write.mode("overwrite").partitionBy(*FACT_PARTITION).parquet(path)
-            except Exception:  # noqa: BLE001 - shared folder not writable: run on the lazy view
-                return fact_frame(spark, sf_dir)
-            _WRITTEN[key] = path
-    return spark.read.parquet(path).select(*FACT_COLUMNS)
-
-
 _TABLES: dict[tuple[str, str], str] = {}
+_TEMPORARY: list[str] = []
+_LOCKS: dict[tuple[str, str], threading.Lock] = {}
+_LOCK = threading.Lock()
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write ``df`` once per application under the shared checkpoint folder and read it
-    back: later jobs start from files (lineage cut, survives executor loss)."""
-    app = spark.sparkContext.applicationId
-    k = (app, f"{name}:{key}")
+def materialize(spark: SparkSession, make: Callable[[], DataFrame], name: str, key: str,
+                partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``make()`` once per application under the shared checkpoint folder and read it
+    back: later jobs start from files (lineage cut, survives executor loss). Writers of
+    different tables don't wait for each other; a failed write raises."""
+    k = (spark.sparkContext.applicationId, f"{name}:{key}")
     with _LOCK:
-        path = _TABLES.get(k)
-        if path is None:
+        lock = _LOCKS.setdefault(k, threading.Lock())
+    with lock:
+        if k not in _TABLES:
             tag = hashlib.md5(k[1].encode()).hexdigest()[:12]
-            path = os.path.join(checkpoint_dir(spark), "ratelens-tables", f"{app}-{name}-{tag}")
-            df.write.mode("overwrite").parquet(path)
+            path = os.path.join(checkpoint_dir(spark), "ratelens-tables", f"{k[0]}-{name}-{tag}")
+            make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             _TABLES[k] = path
-    return spark.read.parquet(path)
-
-
-def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored table ``(row_id, y, score)`` with the fixture's deterministic score."""
-    return fact(spark, sf_dir).select("row_id", "y", "score")
+    return spark.read.parquet(_TABLES[k])
+
+
+def temporary(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read back; ``drop_temporary``
+    deletes all such tables."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "ratelens-temporary", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _TEMPORARY.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_temporary(spark: SparkSession) -> int:
+    """Delete the tables of ``temporary``; results that read them must have been consumed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _TEMPORARY:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TEMPORARY.pop())
+        path.getFileSystem(conf).delete(path, True)
+        dropped += 1
+    return dropped
+
+
+def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact view, written once per application and folder, partitioned by a
+    low-cardinality facet (department filters prune directories)."""
+    df = materialize(spark, lambda: fact_frame(spark, sf_dir), "fact", os.path.abspath(sf_dir) if "://" not in sf_dir
+                     else sf_dir, FACT_PARTITION)
+    return df.select(*FACT_COLUMNS)

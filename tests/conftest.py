@@ -12,5 +12,5 @@ SF_ORACLE = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ratelens.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
+    s = get_spark(f"local[{os.environ.get('TEST_CPUS', '4')}]", shuffle_partitions=4)
     yield s

@@ -214,14 +214,14 @@ def test_facet_predicate_empty_and_missing(spark):
 
 def test_hr_schema_on_sample_rows(spark, tmp_path):
     header = ",".join(f.name for f in HR_SCHEMA.fields)
-    line = "41,Yes,Travel_Rarely,1102,Sales,1,2,Life Sciences,1,1,2,Female,94,3,2,Sales Executive,4,Single,5993," \
-           "19479,8,Y,Yes,11,3,1,80,0,8,0,1,6,4,0,5"
+    line = "29,Yes,Non-Travel,515,Sales,7,2,Marketing,1,31,3,Male,44,3,1,Sales Representative,2,Single,2750,8300,1,Y," \
+           "No,12,3,3,80,0,4,2,3,3,2,0,2"
     p = tmp_path / "s.csv"
     p.write_text(header + "\n" + line + "\n")
     from ratelens.sources.files import read_csv
     df = read_csv(spark, str(p))
     r = df.first()
-    assert len(df.columns) == 35 and r.Age == 41 and r.MonthlyIncome == 5993 and r.Attrition == "Yes"
+    assert len(df.columns) == 35 and r.Age == 29 and r.MonthlyIncome == 2750 and r.Attrition == "Yes"
     assert sum(1 for f in df.schema.fields if f.dataType.simpleString() == "int") == 26
 
 
