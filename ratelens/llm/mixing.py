@@ -72,28 +72,33 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those of the four new names are replaced. No rows, no rows."""
     names = ("size", "source_size", "target", "copies")
     own = [c for c in docs.columns if c not in names]
-    d = docs.select(F.struct(*[docs[c] for c in own]).alias("doc"), docs[id_col].cast("string").alias("id"),
-                    docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    d = d.select("doc", "source", "size", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key"),
-                 size_class(F.col("size")).alias("class"), F.md5(F.coalesce("id", F.lit(""))).alias("h"))
-    d = d.withColumn("bucket", F.substring("h", 1, 3))
-    counts = written(d.groupBy("source", "source_key", "class", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-buckets")
-    targets = written(source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")),
-                                     weights, budget, most), "mix-targets")
-    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key"),
-                             "source_size", "target")
-    run = Window.partitionBy("source_key").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_key", "class", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    offsets = written(offsets.join(small(targets, 64), "source_key"), "mix-offsets")
+    text, source = docs[text_col], docs[source_col]
+    d = docs.select(*[docs[c] for c in own], source.alias("_mix_source"), word_count(text).alias("size"),
+                    F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("_mix_h"))
+    d = d.withColumns({"_mix_key": _key("_mix_source"), "_mix_class": size_class(F.col("size")),
+                       "_mix_bucket": F.substring("_mix_h", 1, 3)})
+    place = ["_mix_key", "_mix_class", "_mix_bucket"]
+    counts = written(d.groupBy("_mix_source", *place).agg(
+        F.count(F.lit(1)).alias("_mix_n"), F.sum("size").alias("_mix_words")), "mix-buckets")
+    targets = written(source_targets(counts.groupBy(F.col("_mix_source").alias("source")).agg(
+        F.sum("_mix_words").alias("source_size")), weights, budget, most), "mix-targets")
+    targets = targets.select(_key("source").alias("_mix_key"), "source_size", "target")
+    run = Window.partitionBy("_mix_key").orderBy("_mix_class", "_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*place, F.coalesce(F.sum("_mix_n").over(run), F.lit(0)).alias("_mix_before"))
+    offsets = written(offsets.join(small(targets, 64), "_mix_key"), "mix-offsets")
     u = random.Random(seed).random()
-    in_bucket = Window.partitionBy("source_key", "class", "bucket").orderBy("h", "size")
-    placed = d.join(small(offsets, 64), ["source_key", "class", "bucket"]).withColumn(
-        "place", F.row_number().over(in_bucket) + F.col("before"))
+    in_bucket = Window.partitionBy(*place).orderBy("_mix_h", "size")
+    placed = d.join(small(offsets, 64), place).withColumn(
+        "_mix_place", F.row_number().over(in_bucket) + F.col("_mix_before"))
     rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     crossed = lambda n: F.floor(n * rate + F.lit(u))
-    copies = F.coalesce(crossed(F.col("place")) - crossed(F.col("place") - 1), F.lit(0)).cast("int")
-    return placed.select("doc.*", "size", "source_size", "target", F.least(copies, F.lit(most)).alias("copies"))
+    copies = F.coalesce(crossed(F.col("_mix_place")) - crossed(F.col("_mix_place") - 1), F.lit(0)).cast("int")
+    return placed.select(*own, "size", "source_size", "target", F.least(copies, F.lit(most)).alias("copies"))
+
+
+def _key(column: str) -> Column:
+    """Sources as keys that are never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit(""))
 
 
 ORACLE_SQL = f"""

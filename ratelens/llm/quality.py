@@ -52,12 +52,14 @@ def encode(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             word_at = np.zeros(len(b), np.int64)
             word_at[first - base] = 1
             word_at = np.cumsum(word_at) - 1
-            begin = int(first[0] - base)
-            b[(b == 10) | ((b >= 9) & (b <= 13))] = 32
-            tri = (b[begin:-2] * 65599 + b[begin + 1:-1]) * 65599 + b[begin + 2:] if len(b) - begin > 2 else b[:0]
-            cell = passage[word_at[begin:len(b) - 2]] * BINS + ((tri * 40503) >> 7) % BINS if len(tri) else tri
-            x = np.sqrt(np.bincount(cell, minlength=len(owner) * BINS)[:len(owner) * BINS].reshape(-1, BINS)
-                        .astype(np.float32)) if len(tri) else x
+            b[(b >= 9) & (b <= 13)] = 32
+            # trigrams within a row, from its first word on
+            line = np.repeat(np.arange(j - i), np.diff(at[i:j + 1]))
+            start = np.flatnonzero((word_at[:-2] >= 0) & (line[:-2] == line[2:])) if len(b) > 2 else np.zeros(0, np.int64)
+            start = start[row[word_at[start]] == line[start]]
+            tri = (b[start] * 65599 + b[start + 1]) * 65599 + b[start + 2]
+            cell = passage[word_at[start]] * BINS + ((tri * 40503) >> 7) % BINS
+            x = np.sqrt(np.bincount(cell, minlength=len(owner) * BINS).reshape(-1, BINS).astype(np.float32))
             n = np.maximum(np.bincount(passage, minlength=len(owner)), 1)
             again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (passage[1:] == passage[:-1])

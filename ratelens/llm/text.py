@@ -4,7 +4,7 @@ Words are runs of bytes other than space and 0x09-0x0D; A-Z count as a-z. Hashes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,10 @@ def chunks(at: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(data: np.ndarray, at: np.ndarray, i: int, j: int, space: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
-    """Of rows i..j: the hash, row (from 0), first byte and end byte (in ``data``) of every word, in order."""
+def words(data: np.ndarray, at: np.ndarray, i: int, j: int, space: np.ndarray = _SPACE,
+          cut: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Of rows i..j: the hash, row (from 0), first byte and end byte (in ``data``) of every word, in order.
+    ``cut`` tells from the bytes where words begin without white space before."""
     base = int(at[i])
     b = data[base:int(at[j])]
     if not len(b):
@@ -79,6 +81,8 @@ def words(data: np.ndarray, at: np.ndarray, i: int, j: int, space: np.ndarray =
     before[0], before[1:] = False, solid[:-1]
     after[-1], after[:-1] = False, solid[1:]
     inner = edge[(edge > 0) & (edge < len(b))]
+    if cut is not None:
+        inner = np.concatenate([inner, np.flatnonzero(cut(b))])
     before[inner] = False
     after[inner - 1] = False
     first = np.flatnonzero(solid & ~before)

@@ -25,10 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers; the memory starts anew beyond that.
-REMEMBERED = 400_000
-#: Characters of text encoded at once.
-PIECE = 1 << 20
+from ratelens.llm import text
+
+#: Words whose ids a worker remembers; the memory starts anew beyond that.
+REMEMBERED = 2_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Punctuation that no contraction and no special token holds: white space may be thought between it and an ASCII letter.
+_MARK = np.zeros(256, bool)
+_MARK[[*b'!"#$%&()*+,-./:;=?@[]^_`{}~']] = True
 
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -38,30 +43,97 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class Encoder:
-    """Texts to id bytes. ``by_word``: encode each distinct word between white space once, for tokenizers
-    whose ids of a text are those of its words in order (they drop white space)."""
+    """Texts to ids. ``by_word``: each distinct word is encoded once, for tokenizers that drop white space, lower-case
+    ASCII letters and end a token where letters meet punctuation, so that a text's ids are those of its words."""
 
     def __init__(self, path: str, dtype: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.by_word = Tokenizer.from_file(path), dtype, by_word
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.dtype, self.by_word = Tokenizer.from_file(path), np.dtype(dtype), by_word
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, x in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[x] = token.endswith("</w>")
+        self._forget()
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+    def _forget(self) -> None:
+        # sorted hashes and the place of each; by place, in order of learning: where its ids begin and how many they are
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, data: np.ndarray, at: np.ndarray, i: int, j: int, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in rows i..j, each with ``end`` behind, and how many each has."""
         if not self.by_word:
-            return self._raw(texts)
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(set().union(*split))
-        self.known.update(zip(new, self._raw(new)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, s)) for s in split]
+            texts = [bytes(data[x:y]).decode("utf8") for x, y in zip(at[i:j].tolist(), at[i + 1:j + 1].tolist())]
+            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self._joined(np.concatenate([np.array(x, self.dtype) for x in lists]), np.array([len(x) for x in lists]), end)
+        h, row, first, stop = text.words(data, at, i, j, cut=_cut)
+        place = self._known(h, data, first, stop)
+        size = self.size[place]
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[place] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        return self._joined(ids, np.bincount(row, size, j - i).astype(np.int64), end)
+
+    def _joined(self, ids: np.ndarray, size: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if end is None:
+            return ids, size
+        out = np.full(len(ids) + len(size), end, self.dtype)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
+        return out, size + 1
+
+    def _known(self, h: np.ndarray, data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Places of the words in the memory, after it has learned the new ones."""
+        h, example, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.hashes, h)
+        new = np.ones(len(h), bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != h[at < len(self.hashes)]
+        if new.any():
+            which = np.flatnonzero(new)
+            a, b = first[example[which]].tolist(), stop[example[which]].tolist()
+            order, size, ids = self._encoded([bytes(data[x:y]).decode("utf8") for x, y in zip(a, b)])
+            own = np.empty(len(which), np.int64)
+            own[order] = len(self.size) + np.arange(len(which))
+            self.hashes = np.insert(self.hashes, at[which], h[which])
+            self.place = np.insert(self.place, at[which], own)
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.hashes, h)
+        return self.place[at][back] if len(h) else back
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words one after the other: the words' order in them, their numbers of ids, the ids. Words of letters
+        go as one text, whose ids are told apart by the tokens that end a word."""
+        plain = [k for k, w in enumerate(new) if w.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join([new[k] for k in plain]), add_special_tokens=False).ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain) or len(ids) and ends[-1] != len(ids):  # a letter that is not one word's part
+            plain, ids, ends = [], ids[:0], ends[:0]
+        chosen = set(plain)
+        rest = [k for k in range(len(new)) if k not in chosen]
+        lists = [e.ids for e in self.tokenizer.encode_batch([new[k] for k in rest], add_special_tokens=False)]
+        size = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in lists], np.int64)])
+        return np.array(plain + rest), size, np.concatenate([ids, np.array([y for x in lists for y in x], self.dtype)])
+
+
+def _cut(b: np.ndarray) -> np.ndarray:
+    """Where an ASCII letter and punctuation meet."""
+    letter, mark = _LETTER[b], _MARK[b]
+    out = np.zeros(len(b), bool)
+    out[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    return out
+
+
+#: Encoders of this worker, kept between tasks.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, dtype: str, by_word: bool) -> Encoder:
+    key = (path, dtype, by_word)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def vocabulary_dtype(path: str, end_id: int | None) -> str:
@@ -77,14 +149,12 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
     executors share, and return the manifest, also kept there: ``(part, name, dtype, docs, nulls, ids, base)``.
 
     Null ids come first; rows that repeat an id are ordered by a hash of the text, then the text, and all
-    kept. Null or empty text is ``end_id`` alone. A task holds about 1 MB of text at a time (or one longer text).
+    kept. Null or empty text is ``end_id`` alone. A task holds about half a MB of text at a time (or one longer text).
     Other columns are ignored. No rows: an empty manifest."""
     dtype = vocabulary_dtype(tokenizer_path, end_id)
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, dtype, by_word)
+        encode = encoder(tokenizer_path, dtype, by_word)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
         fs, folder = filesystem(out_dir)
@@ -96,15 +166,13 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
             for batch in batches:
                 own.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 nulls += batch.column(0).null_count
-                length = np.concatenate([[0], np.cumsum(pa.compute.utf8_length(batch.column(1)).to_numpy())])
-                i = 0
-                while i < len(batch.column(1)):
-                    j = max(i + 1, int(np.searchsorted(length, length[i] + PIECE, "right")) - 1)
-                    got = encode(batch.column(1).slice(i, j - i).to_pylist())
-                    ends = total + np.cumsum([(len(x) + len(end)) // width for x in got])
-                    ids.write(b"".join(y for x in got for y in (x, end)))
+                data, places = text.utf8(batch.column(1))
+                for i, j in text.chunks(places):
+                    got, size = encode(data, places, i, j, end_id)
+                    ends = total + np.cumsum(size)
+                    ids.write(got.astype(dtype).tobytes())
                     at.write(ends.astype("<u8").tobytes())
-                    total, rows, i = int(ends[-1]), rows + len(got), j
+                    total, rows = int(ends[-1]), rows + j - i
         if rows:
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "dtype": dtype, "docs": rows, "nulls": nulls,
                                                "ids": total}])
@@ -112,8 +180,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
             for kind in ("ids", "offsets", "docs"):
                 fs.delete_file(f"{folder}/{name}.{kind}")
 
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ordered = (docs.select(F.col(id_col).cast("long").alias("id"), text)
+    clean = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    ordered = (docs.select(F.col(id_col).cast("long").alias("id"), clean)
                    .repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text"))
                    .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"))
     parts = ordered.mapInArrow(write, "part long, name string, dtype string, docs long, nulls long, ids long")
