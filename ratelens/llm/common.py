@@ -68,7 +68,8 @@ def components(edges: DataFrame) -> DataFrame:
         if live.isEmpty():
             break
         order = F.xxhash64("b")
-        to = live.union(live.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min_by("b", order).alias("to"))
+        known = live if parents else both  # nodes of loops alone, too
+        to = known.union(known.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min_by("b", order).alias("to"))
         to = written(to, "parents")
         parents.append(to)
         moved = (live.join(to, "a").select(F.col("to").alias("x"), F.col("b").alias("y"))

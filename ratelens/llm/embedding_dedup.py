@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import components, small, written
 
-RECALL = 0.998
+RECALL = 0.9995
 #: Filters of one code that a vector passes, and vectors in a filter, on average; vectors in one block at most.
 PASSED, HELD, BLOCK = 6, 64, 1024
 #: Random pairs that measure the recall, and the most codes.

@@ -12,6 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratelens.llm import common as common_settings
 from ratelens.llm.common import small, written
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,8 +34,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null or empty text is one empty line; a text that loses all its lines is empty. Rows that repeat an id count
     as one document, and each loses its own lines; all rows with a null id count as one document. Other columns pass
     through whatever their names; those of the three new names are replaced. No rows, no rows."""
-    clean = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(clean).alias("text_hash"),
+    clean = F.coalesce(docs[text_col], F.lit(""))
+    lines = docs.select(docs[id_col].alias("id"), F.xxhash64(clean).alias("text_hash"),
                         F.posexplode(F.split(clean, "\n", -1)).alias("pos", "line"))
     keyed = lines.select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(
         F.length("key") >= min_chars)
@@ -47,17 +48,17 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                  .agg(F.collect_set("pos").alias("gone_at")))
     gone = written(gone.select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone_at",
                                F.size("gone_at").cast("long").alias("gone_n")), "gone-lines")
-    held = gone.agg(F.coalesce(F.sum("gone_n"), F.lit(0)).alias("n")).first()["n"]
-    side = F.broadcast(gone) if 8 * held + 48 * gone.count() <= 16 << 20 else gone
+    size = gone.agg(F.coalesce(F.sum(8 * F.col("gone_n") + 48), F.lit(0)).alias("bytes")).first()["bytes"]
+    side = F.broadcast(gone) if size <= common_settings.BROADCAST_BYTES else gone
     kept_cols = [c for c in docs.columns if c not in ("line_text", "n_lines", "n_dropped")]
     out = docs.join(side, docs[id_col].eqNullSafe(side["gone_id"]) & (F.xxhash64(clean) == side["gone_hash"]), "left")
     split = F.split(clean, "\n", -1)
-    here = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_at"))
+    here = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), side["gone_at"])
     rest = F.array_join(F.transform(here, lambda i: F.element_at(split, i + 1)), "\n")
     return out.select(*[docs[c] for c in kept_cols],
-                      F.when(F.col("gone_at").isNull(), clean).otherwise(rest).alias("line_text"),
+                      F.when(side["gone_at"].isNull(), clean).otherwise(rest).alias("line_text"),
                       F.size(split).cast("long").alias("n_lines"),
-                      F.coalesce("gone_n", F.lit(0)).cast("long").alias("n_dropped"))
+                      F.coalesce(side["gone_n"], F.lit(0)).cast("long").alias("n_dropped"))
 
 
 ORACLE_SQL = """

@@ -42,10 +42,10 @@ PIVOT_ROUNDS = 2
 
 
 def local_classes(a: int, t: float) -> list[int]:
-    """Numbers of differing features that a part of ``a`` features can have against a similar part (of another size, too):
-    a signature class for each."""
+    """Most differing features of a part of ``a`` or fewer features, as few as a similar part has, and a similar one that
+    is larger: a signature class for each. Of two similar parts both have the smaller one's class."""
     worst = lambda n: int((1 - t) / (1 + t) * (n + int(n / t + 1e-9)) + 1e-9)
-    return sorted({worst(ceil(t * a - 1e-9)), worst(a)})
+    return sorted({worst(n) for n in range(ceil(t * a - 1e-9), a + 1)})
 
 
 def signatures(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:

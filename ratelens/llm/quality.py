@@ -25,6 +25,8 @@ PASSAGE_WORDS, BINS = 64, 508
 WIDTH = BINS + 4
 #: Bounds of the training sample: documents of each label, and passages in all.
 DOCUMENTS, PASSAGES = 3000, 60000
+#: Least steps of training, for small samples.
+STEPS = 600
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 0, size: int
     v = {k: np.zeros_like(a) for k, a in w.items()}
     begin = np.searchsorted(row, np.arange(len(y) + 1))
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(y)))):
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
             bags = order[i:i + batch]
@@ -177,11 +179,14 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     place = own.index(text_col)
 
+    weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, j, x, row in encode(batch.column(place)):
-                out[i:j] = _forward(model.weights, x, row, np.searchsorted(row, np.arange(j - i)))["p"]
+                p = _forward(weights, x.astype(np.float64), row, np.searchsorted(row, np.arange(j - i)))["p"]
+                out[i:j] = np.round(p, 12)  # whatever the rows of the batch are
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*own, "score"])
 
     frame = docs.select(own)
