@@ -1,5 +1,6 @@
 """Model operators: shape and invariants (quality near chance is expected on this data)."""
 
+import json
 import os
 import tempfile
 
@@ -29,6 +30,54 @@ def test_scores_in_unit_interval_and_threshold_on_grid(model):
     assert round(tm.threshold * 100) in range(10, 90, 2)
 
 
+def learnable(spark, n=3000):
+    """Rows whose outcome depends on age, overtime and tenure."""
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for i in range(n):
+        age, tenure, over = rnd.randint(18, 60), rnd.randint(0, 30), rnd.choice(["Yes", "No"])
+        z = 0.12 * (38 - age) + (1.6 if over == "Yes" else -0.8) - 0.08 * (tenure - 10)
+        y = int(rnd.random() < 1 / (1 + 2.718 ** -z))
+        rows.append((f"r{i}", y, age, tenure, over, rnd.choice(["train", "train", "train", "test", "eval"])))
+    df = spark.createDataFrame(rows, "row_id string, y int, age int, tenure int, overtime string, split string")
+    return df.withColumns({**{c: F.lit("x") for c in R.categoricals if c != "overtime"},
+                           **{c: F.lit(1.0) for c in R.numerics if c not in ("age", "tenure")}})
+
+
+def test_rounds_are_chosen_on_the_test_split(spark):
+    from ratelens.operators import evaluation as ev
+    data = learnable(spark)
+    params = {**SMALL, "n_estimators": 25, "subsample": 1.0, "colsample_bytree": 1.0}
+    tm = training.train(data, R, params)
+    one = training.train(data, R, {**params, "n_estimators": 1})
+    held = data.where("split = 'eval'")
+    auc = [ev.curve_summary(m.score(held, keep=["y"])).first().roc_auc for m in (tm, one)]
+    assert 1 < tm.rounds_kept <= tm.rounds_tried == 25 and auc[0] > auc[1] and auc[0] > 0.75
+    assert tm.model.stages[-1].getNumTrees == tm.rounds_kept
+    assert tm.score(data).select("score").distinct().count() > 100
+    # a missing number counts as 0, for a table and for records
+    blank, zero = held.limit(5).withColumn("age", F.lit(None).cast("int")), held.limit(5).withColumn("age", F.lit(0))
+    a, b = ([r.score for r in tm.score(x, keep=["row_id"]).orderBy("row_id").collect()] for x in (blank, zero))
+    assert a == b
+    first = held.orderBy("row_id").first().asDict()
+    assert tm.score_records([first])[0]["score"] == pytest.approx(
+        tm.score(held, keep=["row_id"]).orderBy("row_id").first().score)
+
+
+def test_a_broken_bundle_is_reported(spark, model, tmp_path):
+    tm, _ = model
+    tm.save(str(tmp_path / "b"))
+    (tmp_path / "b" / "meta").joinpath("part-x.txt").write_text("not json")
+    for f in (tmp_path / "b" / "meta").glob("part-0*"):
+        f.write_text("not json")
+    with pytest.raises(Exception) as e:
+        training.load_model([str(tmp_path / "b")], R)
+    assert not isinstance(e.value, FileNotFoundError)
+    with pytest.raises(FileNotFoundError):
+        training.load_model([str(tmp_path / "missing")], R)
+
+
 def test_importance_sums_to_one(model):
     tm, _ = model
     imp = explain.feature_importance(tm).collect()
@@ -42,6 +91,8 @@ def test_save_load_roundtrip(spark, model):
     tm.save(os.path.join(d, "b"))
     back = training.load_model([os.path.join(d, "missing"), os.path.join(d, "b")], R)
     assert back.threshold == tm.threshold and back.features == tm.features
+    assert (back.rounds_tried, back.rounds_kept) == (tm.rounds_tried, tm.rounds_kept)
+    assert [tuple(x) for x in json.loads(spark.read.text(os.path.join(d, "b", "meta")).first()[0])["importance"]] == tm.importance()
     a = tm.score(data, keep=["row_id"]).orderBy("row_id").limit(20).collect()
     b = back.score(data, keep=["row_id"]).orderBy("row_id").limit(20).collect()
     assert [x.score for x in a] == [x.score for x in b]
@@ -74,7 +125,8 @@ def test_fold_f1_and_search_log(spark):
     log, best = training.search(data, R, n_trials=1, space_overrides={"n_estimators": 3, "max_depth": 2})
     rows = log.collect()
     assert len(rows) == 1 and rows[0].score == pytest.approx(rows[0].mean_f1 - 0.1 * rows[0].std_f1)
-    assert (best is None) == (rows[0].score <= 0)
+    assert (best is None) == (rows[0].score <= 0) and len(rows[0].fold_f1) == 7 and rows[0].budget == 1
+    assert set(json.loads(rows[0].params)) == set(training.DEFAULT_PARAMS)
 
 
 def test_permutation_importance_and_report(spark, model):
