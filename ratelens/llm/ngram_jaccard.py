@@ -151,10 +151,13 @@ def _sets(k: int):
         for batch in batches:
             for i, j, s, row, size in text.text_sets(batch.column(1), k):
                 v, w = _prints(s, row, size)
-                head = s < np.uint64(1 << 62)
+                # a quarter of the hash space by 32 bits: images of sets don't differ by more than the sets
+                head = np.unique(row[s < np.uint64(1 << 62)].astype(np.uint64) << np.uint64(32)
+                                 | s[s < np.uint64(1 << 62)] & np.uint64(0xFFFFFFFF))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w),
-                     _lists(s[head].view(np.int64), row[head], j - i), _lists(s.view(np.int64), row, j - i)],
+                     _lists(head.astype(np.uint32).view(np.int32), (head >> np.uint64(32)).astype(np.int64), j - i),
+                     _lists(s.view(np.int64), row, j - i)],
                     ["rep", "n", "v", "w", "head", "s"])
     return run
 
@@ -212,7 +215,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = written(full.join(chosen, "v", "left_semi").groupBy("v", "w").agg(F.min("id").alias("id"))
                          .groupBy("id").agg(F.collect_set(F.struct("v", "w")).alias("is")), "wanted")
     texts = docs.join(small(wanted.select("id"), 8), "id", "left_semi").select("id", "text")
-    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, head array<long>, s array<long>")
+    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, head array<int>, s array<long>")
     sets = written(sets.join(small(wanted, 64).withColumnRenamed("id", "rep"), "rep")
                        .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "head", "s")
                        .dropDuplicates(["rep", "v", "w"]), "sets")
