@@ -203,3 +203,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     alone = d.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id",
                                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node)
+SELECT v.vec_id, CAST((SELECT count(*) FROM links WHERE links.a = v.vec_id) AS BIGINT) AS n_links, r.component_id,
+       r.component_id = v.vec_id AS kept
+FROM v JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = v.vec_id
+"""

@@ -78,6 +78,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op6_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
 }
