@@ -106,8 +106,9 @@ def permutation_importance(tm: TrainedModel, rows: DataFrame, row_id: str, y: st
     scored = gbt.transform(hyb.select("_j", "_y", FEATURES)).select("_j", loss.alias("_loss"))
     # the mean increase is the difference of the mean losses; j = -1 is the rows' own
     means = temporary(scored.groupBy("_j").agg(F.avg("_loss").alias("_mean")), "permutation_losses")
-    own = means.where("_j = -1").select(F.col("_mean").alias("_own"))
+    own = means.where("_j = -1").first()  # one number
     names = F.array(*[F.lit(f) for f in tm.features])
-    return (means.where("_j >= 0").join(F.broadcast(own))
-            .select(names[F.col("_j")].alias("feature"), (F.col("_mean") - F.col("_own")).alias("importance"))
+    return (means.where("_j >= 0")
+            .select(names[F.col("_j")].alias("feature"),
+                    (F.col("_mean") - F.lit(own._mean if own else None)).alias("importance"))
             .orderBy(F.desc("importance"), "feature"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,8 +55,8 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     one bucket (one task). ``extra`` group aggregates come from the same pass.
 
     The sketch is ten times finer than the cuts asked of it. The edges are fixed once per
-    call in a written table (shared checkpoint folder, one row a group, whatever their
-    number), so a recomputed plan (e.g. after an executor loss) assigns exactly the same
+    call (in a written table of one row a group, whatever their number; without groups as
+    literals), so a recomputed plan (e.g. after an executor loss) assigns exactly the same
     buckets; exactness of the results never depends on the edges, only the balance of the
     work does."""
     from ratelens.sources.tables import temporary
@@ -66,10 +67,16 @@ def range_buckets(df: DataFrame, order_col: str, by: Sequence[str] = (),
     while buckets < wanted:
         buckets *= 2                  # a power of two: the search below takes log2 steps
     probs = [i / buckets for i in range(1, buckets)]
-    edges = d.groupBy(*keys).agg(F.percentile_approx(v, probs, 10 * buckets).alias("_edges"), *extra)
-    edges = temporary(edges, "bucket_edges")
-    # without groups the table has one row by definition; otherwise Spark decides from its size
-    d = join_keys(d, edges if by else F.broadcast(edges), keys)
+    aggs = [F.percentile_approx(v, probs, 10 * buckets).alias("_edges"), *extra]
+    if by:
+        d = join_keys(d, temporary(d.groupBy(*keys).agg(*aggs), "bucket_edges"), keys)
+    else:
+        # one row by definition, of as many numbers as buckets: literals of the plan
+        one = d.agg(*aggs)
+        row = one.first().asDict()
+        cuts = row.pop("_edges") or [float("inf")] * (buckets - 1)
+        d = d.withColumns({k: F.lit(x).cast(one.schema[k].dataType) for k, x in row.items()})
+        d = d.withColumn("_edges", F.lit(np.array(cuts, float)))
     # bucket = number of edges < value, by an unrolled binary search over the sorted
     # edges (log2(buckets) element_at + compare steps, all code-generated)
     d = d.withColumn("_bucket", F.lit(0))
