@@ -143,6 +143,26 @@ def test_compact_windows_hold_every_long_subsequence_once():
                 assert len(held) == 1 and h[held[0][1]] == h[i:j + 1].min()
 
 
+def test_touching_passages_keep_their_own_holders(spark):
+    rng = random.Random(21)
+    p1, p2 = made(rng, 50), made(rng, 50)
+    rows = [(5, " ".join(p1 + p2)), (1, " ".join(p1)), (3, " ".join(p2)), (10, " ".join(p2))]
+    got = {(r.doc_id, r.first_word, r.n_words, r.same_as, r.exact) for r in passages(spark, rows)}
+    assert got == {(5, 0, 50, 1, True), (5, 50, 50, 3, True), (1, 0, 50, 5, True), (3, 0, 50, 10, True), (10, 0, 50, 3, True)}
+
+
+def test_same_as_holds_every_passage_of_an_exact_range(spark):
+    rng = random.Random(22)
+    p, q = made(rng, 60), made(rng, 100)
+    texts = {1: p, 2: p + q, 3: [*q[:45], "changed", *q[46:]], 4: q[20:80] + p[:55], 5: p[5:] + q[:60]}
+    got = passages(spark, [(i, " ".join(w)) for i, w in texts.items()])
+    assert any(not r.exact for r in got)
+    for r in got:
+        held = {tuple(texts[r.same_as][k:k + 50]) for k in range(len(texts[r.same_as]) - 49)}
+        own = texts[r.doc_id][r.first_word:r.first_word + r.n_words]
+        assert not r.exact or all(tuple(own[k:k + 50]) in held for k in range(len(own) - 49))
+
+
 # ------------------------------------------------------------------ secrets
 def secret_docs(n=120):
     rng = random.Random(8)
