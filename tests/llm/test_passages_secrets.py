@@ -163,6 +163,23 @@ def test_same_as_holds_every_passage_of_an_exact_range(spark):
         assert not r.exact or all(tuple(own[k:k + 50]) in held for k in range(len(own) - 49))
 
 
+def test_all_edited_passages_of_a_pair_and_diagonal_are_found(spark):
+    rng = random.Random(23)
+    rows, parts = [], [(20, 120), (440, 80)]
+    for i in range(10):
+        base = made(rng, 540)
+        other = made(rng, 540)
+        for at, n in parts:
+            other[at:at + n] = base[at:at + n]
+            for k in range(at + 35, at + n, 45):
+                other[k] = "changed"
+        rows += [(i, " ".join(base)), (100 + i, " ".join(other))]
+    out = passages(spark, rows)
+    assert all(abs(r.doc_id - r.same_as) == 100 for r in out)
+    got = places(out)
+    assert all(set(range(at + 10, at + n - 10)) <= got[i] for i, _ in rows for at, n in parts)
+
+
 # ------------------------------------------------------------------ secrets
 def secret_docs(n=120):
     rng = random.Random(8)
