@@ -180,6 +180,18 @@ def test_all_edited_passages_of_a_pair_and_diagonal_are_found(spark):
     assert all(set(range(at + 10, at + n - 10)) <= got[i] for i, _ in rows for at, n in parts)
 
 
+def test_edited_copies_link_two_groups_of_exact_copies(spark):
+    rng = random.Random(24)
+    rows = []
+    for i in range(6):
+        p = made(rng, 300)
+        changed = [f"e{i}x{k}" if k % 48 == 47 else x for k, x in enumerate(p)]
+        rows += [(10 * i + k, " ".join(made(rng, 80) + w + made(rng, 80))) for k, w in enumerate((p, p, changed, changed))]
+    out = passages(spark, rows)
+    root = brute.roots([i for i, _ in rows], [(r.doc_id, r.same_as) for r in out])
+    assert root == {i: i // 10 * 10 for i, _ in rows}
+
+
 # ------------------------------------------------------------------ secrets
 def secret_docs(n=120):
     rng = random.Random(8)
