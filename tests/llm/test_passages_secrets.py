@@ -192,6 +192,21 @@ def test_edited_copies_link_two_groups_of_exact_copies(spark):
     assert root == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_edited_copies_in_groups_of_hundreds_match_brute_force(spark):
+    rng = random.Random(25)
+    common = made(rng, 30)  # in every document, too short for a passage
+    rows = []
+    for i in range(150):
+        w = made(rng, 15) + common + made(rng, 15)
+        changed = list(w)
+        changed[rng.choice([14, 45])] = f"e{i}"
+        rows += [(k, " ".join(made(rng, 40) + x + made(rng, 40))) for k, x in ((i, w), (1000 + i, changed))]
+    sets = {i: brute.shingles(" ".join(t.split()[40:100])) for i, t in rows}
+    want = {(i, 1000 + i) for i in range(150) if len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i])}
+    got = {tuple(sorted((r.doc_id, r.same_as))) for r in passages(spark, rows)}
+    assert len(want) == 150 and got == want
+
+
 # ------------------------------------------------------------------ secrets
 def secret_docs(n=120):
     rng = random.Random(8)
