@@ -1,6 +1,7 @@
 """Operator 8: secret scanning with a random forest that removes false findings.
 
-Candidates are runs of 16 or more token characters. A finding's features are its length and character classes, the mean
+Candidates are runs of 16 or more token characters, whole values of any length that are assigned to a secret's name, and
+passwords of user:password@host. A finding's features are its length and character classes, the mean
 log-probability of its character transitions and the share that dictionary words cover (transitions and dictionary are counted
 over the whole corpus), marks of paths, and its neighbouring words. A random forest learns from labelled findings and
 scores all others.
@@ -34,7 +35,12 @@ SIZES = range(3, 7)
 CONTEXT = 48
 FEATURES = ("n", "digits", "uppers", "lowers", "others", "distinct", "entropy", "transitions", "worst", "covered", "slashes",
             "dots_before", "scheme", "uuid", "service", "named", "assigned", "quoted", "name_before", "words_before",
-            "words_after")
+            "words_after", "login")
+#: The value, quoted or up to white space, that = or : assigns to a name.
+ASSIGNED = re.compile(rb"(?i)(?<![a-z])(?:" + "|".join(NAMES).encode() + rb""")(?=["'`]?[ \t]*(?::=|=+>?|:)[ \t]*(?:"""
+                      rb""""((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|["'`]?([^\s"'`]\S*)))""")
+#: What may hold user:password@host.
+PART = re.compile(rb"[^\s\"'`<>/]+")
 _TOKEN = np.ones(256, bool)
 _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"]] = False
 _LETTER = np.zeros(256, bool)
@@ -105,7 +111,20 @@ def _covered(token: bytes, known: np.ndarray) -> float:
     return covered / len(token)
 
 
-def _described(token: bytes, before: bytes, after: bytes, steps: np.ndarray, known: np.ndarray) -> list[float]:
+def _values(data: bytes) -> Iterator[tuple[int, int, bool]]:
+    """Begin and end of the values assigned to a secret's name, and (True) of the passwords of addresses."""
+    for m in ASSIGNED.finditer(data):
+        yield *m.span(m.lastindex), False
+    if b"@" in data:
+        for m in PART.finditer(data):
+            part = m.group()
+            colon, end = part.find(b":"), part.rfind(b"@")
+            user = colon > 0 or colon == 0 and data[max(m.start() - 3, 0):m.start()] == b"://"
+            if user and colon + 1 < end < len(part) - 1:
+                yield m.start() + colon + 1, m.start() + end, True
+
+
+def _described(token: bytes, before: bytes, after: bytes, login: bool, steps: np.ndarray, known: np.ndarray) -> list[float]:
     n = len(token)
     c = np.bincount(np.frombuffer(token, np.uint8), minlength=256)
     p = c[c > 0] / n
@@ -114,12 +133,12 @@ def _described(token: bytes, before: bytes, after: bytes, steps: np.ndarray, kno
     words = re.findall(rb"[a-z]+", before.lower())
     named = bool(words) and words[-1].decode() in NAMES
     return [n, c[48:58].sum() / n, c[65:91].sum() / n, c[97:123].sum() / n, 1 - (c[48:58].sum() + c[65:91].sum() + c[97:123].sum()) / n,
-            (c > 0).sum() / n, float(-(p * np.log2(p)).sum()), float(moves.mean()), float(moves.min()), _covered(token, known),
+            (c > 0).sum() / n, float(-(p * np.log2(p)).sum()), float(moves.mean()) if n > 1 else 0.0, float(moves.min()) if n > 1 else 0.0, _covered(token, known),
             token.count(b"/"), before[-8:].count(b"."), float(b"://" in before[-24:]), float(bool(UUID.match(token))),
             float(bool(SERVICE.match(token))), float(named), float(bool(re.search(rb"[=:]\s*[\"']?$", before))),
             float(before[-1:] in (b'"', b"'", b"`") and after[:1] == before[-1:]),
             float(any(w.decode() in NAMES for w in words[-4:])), len(words),
-            len(re.findall(rb"[a-z]+", after.lower()))]
+            len(re.findall(rb"[a-z]+", after.lower())), float(login)]
 
 
 def _found(steps: np.ndarray, known: np.ndarray):
@@ -130,8 +149,13 @@ def _found(steps: np.ndarray, known: np.ndarray):
                 _, row, first, end = text.words(data, at, i, j, _TOKEN)
                 long = end - first >= LEAST_CHARS
                 rows, tokens, starts, described = [], [], [], []
+                spans = {(r, a, z): False for r, a, z in zip(row[long].tolist(), first[long].tolist(), end[long].tolist())}
+                for r in range(j - i):
+                    begin = int(at[i + r])
+                    for a, z, login in _values(bytes(data[begin:int(at[i + r + 1])])):
+                        spans[r, begin + a, begin + z] = spans.get((r, begin + a, begin + z), False) or login
                 last, chars = int(at[i]), 0  # the place so far, and its code points from its row's start
-                for r, a, z in zip(row[long].tolist(), first[long].tolist(), end[long].tolist()):
+                for (r, a, z), login in sorted(spans.items()):
                     token = bytes(data[a:z])
                     if last <= int(at[i + r]):
                         last, chars = int(at[i + r]), 0
@@ -139,10 +163,10 @@ def _found(steps: np.ndarray, known: np.ndarray):
                     last = a
                     lead = bytes(data[max(int(at[i + r]), a - CONTEXT):a])
                     rows.append(i + r)
-                    tokens.append(token.decode("ascii"))
+                    tokens.append(token.decode("utf8"))
                     starts.append(chars)
                     described.append(_described(token, lead, bytes(data[z:min(z + CONTEXT, int(at[i + r + 1]))]),
-                                                steps, known))
+                                                login, steps, known))
                 columns = np.array(described, float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(tokens, pa.string()),
@@ -160,13 +184,15 @@ def findings(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray], id_col:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Findings whose label is beyond doubt, with ``label``: 1 for quoted values assigned to a secret's name, and keys of
-    known services; 0 for plain words, numbers, UUIDs and parts of addresses."""
+    """Findings whose label is beyond doubt, with ``label``: 1 for quoted values assigned to a secret's name, keys of
+    known services and passwords of addresses; 0 for plain words, numbers, UUIDs and other parts of addresses."""
     secret = ((F.col("assigned") == 1) & (F.col("named") == 1) & (F.col("entropy") >= 3) & (F.col("digits") > 0)
               & (F.col("covered") < 0.5)) | (F.col("service") == 1) & (F.col("entropy") >= 3.5)
-    plain = (F.col("digits") == 0) & (F.col("uppers") + F.col("lowers") == 1) & (F.col("named") == 0)
+    secret = secret | (F.col("login") == 1) & (F.col("scheme") == 1)
+    letters = (F.col("digits") == 0) & (F.col("uppers") + F.col("lowers") == 1)
     other = (F.col("digits") == 1) | (F.col("uuid") == 1) | (F.col("scheme") == 1)
-    return found.withColumn("label", F.when(secret, 1).when((plain | other) & (F.col("named") == 0), 0)).where("label is not null")
+    false = (letters | other) & (F.col("named") == 0) & (F.col("login") == 0) | letters & (F.col("covered") == 1)
+    return found.withColumn("label", F.when(secret, 1).when(false, 0)).where("label is not null")
 
 
 def train(labelled: DataFrame, bound: int = FINDINGS, trees: int = TREES) -> PipelineModel | float:

@@ -246,3 +246,18 @@ def test_secret_edge_cases(spark):
     d = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("token", "start", "label", "key")})
     out = S.scan(d).collect()
     assert sorted((str(r.doc_id), r.start) for r in out) == [("3", 0), ("3", 0), ("4", 40000), ("None", 7)]
+
+
+def test_short_and_split_values_are_candidates(spark):
+    rng = random.Random(26)
+    rows = [(i, f'{t} password: string thing token = "{rng.getrandbits(160):040x}"') for i, (_, t) in enumerate(secret_docs(90))]
+    values = {500: ('password = "hunter2secret"', "hunter2secret"), 501: ("pwd: 'P@ssw0rd!2024#Prod'", "P@ssw0rd!2024#Prod"),
+              502: ("postgres://bob:s3cr3t!pw@db.local/x", "s3cr3t!pw"), 503: ('{"api": {"db_password":"é7!x"}}', "é7!x"),
+              504: ("use bob:q9#Zk@host now", "q9#Zk"), 505: ("key: password: a7", "a7"), 506: ("redis://:p4ss@h", "p4ss")}
+    rows += [(i, "é thing " + t) for i, (t, _) in values.items()]
+    out = S.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(dict(rows)[r.doc_id][r.start:r.start + len(r.token)] == r.token for r in out)
+    found = {(r.doc_id, r.token): r.secret for r in out}
+    assert {(i, v) for i, (_, v) in values.items()} <= set(found)
+    assert found[500, "hunter2secret"] and found[501, "P@ssw0rd!2024#Prod"] and found[502, "s3cr3t!pw"]
+    assert not any(s for (_, t), s in found.items() if t == "string")
