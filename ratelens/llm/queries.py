@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import (decontamination, embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, secrets,
-                          substring_dedup, token_output, toxicity)
+from ratelens.llm import (centroids, decontamination, embedding_dedup, exact_dedup, importance, line_dedup, mixing,
+                          ngram_jaccard, quality, secrets, substring_dedup, token_output, toxicity)
 from ratelens.llm.common import read_table, scratch
 
 
@@ -64,6 +64,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -75,6 +87,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 LLM_ORACLE: dict[str, str] = {
@@ -82,4 +97,7 @@ LLM_ORACLE: dict[str, str] = {
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op6_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.ORACLE_SQL,
+    "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
