@@ -145,46 +145,114 @@ def value_counts_cum(df: DataFrame, x: str, by: Sequence[str] = (), weights: dic
     return cumulative(distinct, [x], ["cnt", *(weights or {})], by, descending=descending, buckets=buckets)
 
 
+#: Size parameter of the quantile sketches, ranks asked of each, and most values a bracket may hold before they are ranked.
+SKETCH_K = 4096
+SKETCH_RANKS = 2048
+BRACKET_ROWS = 200_000
+
+
+def _rank_margin(k: int) -> float:
+    """One and a half times the rank error (99 %) of a sketch of size ``k``, as a share of its values."""
+    return 1.5 * 2.296 / k ** 0.9021
+
+
 def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
-    """Linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``).
+                    buckets: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``): ``(by..., pi, p, value)``.
 
-    Returns ``(by..., pi, p, value)``. No group's values are gathered in one place:
-    distinct values get counts, range buckets get totals and running offsets (a few
-    rows per group), the offsets tell which buckets hold the ranks around ``(n-1)p``,
-    and only the rows of those buckets are ranked with a window.
-    """
+    Values are bracketed, not shuffled. A mergeable KLL sketch per group gives two bounds around each wanted rank; a second pass
+    counts what lies below and between the bounds and keeps single values only inside them (a few thousandths). Where that
+    is still more than ``BRACKET_ROWS``, the inside is sketched again first. The counts prove that a rank is inside its
+    bracket; if a sketch was off, the call is repeated with wider bounds, so the result is exact. NaN is the largest value.
+    ``buckets`` sets the sketch's size (default ``SKETCH_K``)."""
     d, keys = _keys(df, by)
-    distinct = d.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("cnt"))
-    bucketed = range_buckets(distinct, x, keys, buckets, extra=[F.sum("cnt").alias("_n")])
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"),
-                 ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
-        for i, p in enumerate(probs)])
-
-    def covers(lo, hi):
-        # does [lo, hi) contain floor(h) or ceil(h) of target t
-        return lambda t: (((F.floor(t["h"]) >= lo) & (F.floor(t["h"]) < hi))
-                          | ((F.ceil(t["h"]) >= lo) & (F.ceil(t["h"]) < hi)))
-
-    totals = bucketed.groupBy(*keys, "_bucket", "_n").agg(F.sum("cnt").alias("_t"))
-    wb = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", "_n", "_t", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_o"))
-    needed = (offsets.withColumn("_targets", targets)
-              .where(F.exists("_targets", covers(F.col("_o"), F.col("_o") + F.col("_t"))))
-              .select(*keys, "_bucket", "_o"))
-    # a few buckets per group
-    sub = join_keys(bucketed, needed, [*keys, "_bucket"])
-    wr = W.partitionBy(*keys, "_bucket").orderBy(x).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = sub.select(*keys, x, "cnt", "_n", (F.col("_o") + F.sum("cnt").over(wr)).alias("cum_cnt"))
-    hits = (ranked.withColumn("_targets", targets)
-            .select(*keys, F.col(x).cast("double").alias("_v"),
-                    F.explode(F.filter("_targets", covers(F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt"))))
-                    .alias("_t")))
-    res = (hits.select(*keys, F.col("_t.pi").alias("pi"), F.col("_t.p").alias("p"), F.col("_t.h").alias("h"), "_v")
-           .groupBy(*keys, "pi", "p", "h")
-           .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    frac = F.col("h") - F.floor(F.col("h"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
-    out_keys = [c for c in keys if c != _G]
-    return res.select(*out_keys, "pi", "p", value.alias("value"))
+    d = d.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_v"))
+    k = max(8, min(buckets or SKETCH_K, 65535))
+    margin = _rank_margin(k)
+    while True:
+        res = _ranked_inside(d, keys, probs, _brackets(d, keys, probs, k, margin))
+        if res.where("_missing").isEmpty():
+            break
+        margin *= 4
+    return res.select(*[c for c in keys if c != _G], "pi", "p", "value")
+
+
+def _brackets(d: DataFrame, keys: list[str], probs: Sequence[float], k: int, margin: float) -> DataFrame:
+    """One row a group: bounds ``_lo<i>`` and ``_hi<i>`` (-inf and NaN: none) of the ranks around ``(n-1)p``."""
+    from ratelens.sources.tables import temporary
+
+    def rank(i: int, up: bool, n: str) -> Column:
+        h = (F.col(n) - 1) * F.lit(float(probs[i]))
+        return (F.ceil(h) if up else F.floor(h)).cast("double")
+
+    grid = F.lit(np.arange(SKETCH_RANKS + 1) / SKETCH_RANKS)  # ranks must be literals
+
+    def at(grid_col: str, share: Column, up: bool) -> Column:
+        place = (F.ceil if up else F.floor)(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * SKETCH_RANKS)
+        return F.element_at(F.col(grid_col), (place + 1).cast("int"))
+
+    first = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("_s"))
+    first = first.withColumn("_m", F.kll_sketch_get_n_double("_s"))  # without NaN
+    first = first.withColumn("_g", F.when(F.col("_m") > 0, F.kll_sketch_get_quantile_double("_s", grid)))
+    bounds = []
+    for i in range(len(probs)):
+        low = (rank(i, False, "_n") - 1) / F.col("_m") - margin
+        high = (rank(i, True, "_n") + 2) / F.col("_m") + margin
+        bounds += [F.when((F.col("_m") == 0) | (low <= 0), F.lit(float("-inf"))).otherwise(at("_g", low, False)).alias(f"_lo{i}"),
+                   F.when((F.col("_m") == 0) | (high >= 1), F.lit(float("nan"))).otherwise(at("_g", high, True)).alias(f"_hi{i}")]
+    now = temporary(first.select(*keys, "_n", *bounds, (F.col("_n") * F.lit(2 * margin)).alias("_inside")), "brackets")
+    while margin < 0.1 and (now.agg(F.max("_inside")).first()[0] or 0) > BRACKET_ROWS:
+        own = [f"_{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]
+        v, aggs = F.col("_v"), []
+        for i in range(len(probs)):
+            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            between = (v > lo) & (v < hi)
+            aggs += [F.count_if(v < lo).alias(f"_b{i}"), F.count_if(v == lo).alias(f"_a{i}"), F.count_if(between).alias(f"_c{i}"),
+                     F.kll_sketch_agg_double(F.when(between, v), F.lit(k)).alias(f"_s{i}")]
+        seen = _with_brackets(d, keys, now).groupBy(*keys, "_n", *own).agg(*aggs)
+        seen = seen.withColumns({f"_g{i}": F.when(F.col(f"_c{i}") > 0, F.kll_sketch_get_quantile_double(f"_s{i}", grid)) for i in range(len(probs))})
+        bounds, inside = [], F.lit(0.0)
+        for i in range(len(probs)):
+            lo, hi, n = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_c{i}")
+            r, r2, under = rank(i, False, "_n"), rank(i, True, "_n"), F.col(f"_b{i}") + F.col(f"_a{i}")
+            low, high = (r - under - 1) / n - margin, (r2 - under + 2) / n + margin
+            bounds += [F.when(r < under, lo).when(r >= under + n, hi).when(low <= 0, lo).otherwise(at(f"_g{i}", low, False)).alias(f"_lo{i}"),
+                       F.when(r2 < under, lo).when(r2 >= under + n, hi).when(high >= 1, hi).otherwise(at(f"_g{i}", high, True)).alias(f"_hi{i}")]
+            inside = F.greatest(inside, F.when((r2 < under) | (r >= under + n), F.lit(0.0)).otherwise(n * F.lit(2 * margin)))
+        now = temporary(seen.select(*keys, "_n", *bounds, inside.alias("_inside")), "brackets")
+    return now
+
+
+def _with_brackets(d: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """Every row with its group's bounds: literals without groups, else a join with the written table, whose size is known."""
+    if keys != [_G]:
+        return join_keys(d, brackets, keys)
+    row = brackets.first()
+    bounds = {c: row[c] if row else float("nan") for c in brackets.columns if c != _G}
+    return d.withColumns({c: F.lit(b) for c, b in bounds.items()})
+
+
+def _ranked_inside(d: DataFrame, keys: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``(keys, pi, p, value, _missing)``: rows are counted by region (the bounds passed), single values only where a region
+    lies in a bracket; the running counts tell the values at the wanted ranks."""
+    from ratelens.sources.tables import temporary
+
+    v = F.col("_v")
+    passed = sum((v >= F.col(f"_lo{i}")).cast("int") for i in range(len(probs)))
+    left = sum((v > F.col(f"_hi{i}")).cast("int") for i in range(len(probs)))
+    counted = (_with_brackets(d, keys, brackets)
+               .select(*keys, (passed + left).alias("_region"), F.when(passed > left, v).alias("_v"))
+               .groupBy(*keys, "_region", "_v").agg(F.count(F.lit(1)).alias("cnt")))
+    whole = W.partitionBy(*keys)
+    upto = whole.orderBy("_region", "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = counted.select(*keys, "_v", "cnt", F.sum("cnt").over(upto).alias("_cum"), F.sum("cnt").over(whole).alias("_n"))
+    targets = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"), ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
+                        for i, p in enumerate(probs)])
+    here = lambda t: (((F.floor(t["h"]) >= F.col("_cum") - F.col("cnt")) & (F.floor(t["h"]) < F.col("_cum")))
+                      | ((F.ceil(t["h"]) >= F.col("_cum") - F.col("cnt")) & (F.ceil(t["h"]) < F.col("_cum"))))
+    hits = counted.select(*keys, "_v", F.explode(F.filter(targets, here)).alias("_t"))
+    low, high, frac = F.col("_low"), F.col("_high"), F.col("h") - F.floor("h")
+    res = (hits.select(*keys, "_v", "_t.pi", "_t.p", "_t.h").groupBy(*keys, "pi", "p", "h")
+               .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.bool_or(F.col("_v").isNull()).alias("_missing")))
+    value = F.when((low == high) | (frac == 0), low).otherwise(low + (high - low) * frac)
+    return temporary(res.select(*keys, "pi", "p", value.alias("value"), "_missing"), "quantiles")
