@@ -1,8 +1,7 @@
 """Training, validation, search and scoring.
 
-The model is a Spark ML pipeline: StringIndexer (or target encoding) -> VectorAssembler
--> GBTClassifier. Trees are invariant to per-feature scaling, so no scaler stage is
-fitted (``stats.standardize`` provides C8 where scaled values themselves are wanted).
+The model is a Spark ML pipeline: StringIndexer (or smoothed target encoding) -> population scaler of the
+numbers -> VectorAssembler -> GBTClassifier; a saved bundle holds every fitted stage.
 """
 
 from __future__ import annotations
@@ -14,14 +13,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import TargetEncoder, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.operators import evaluation as ev
 from ratelens.operators.features import label_indexer, weight_column
+from ratelens.operators.stages import PopulationScaler, SmoothedTargetEncoder
 from ratelens.roles import Roles
 from ratelens.sources.tables import temporary
 
@@ -39,6 +39,7 @@ SEARCH_SPACE = [
 STABILITY_PENALTY = 0.1      # score = mean F1 - 0.1 * std F1
 N_FOLDS = 7
 N_TRIALS = 80
+FIRST_RUNG = 8               # rounds of every trial in the search's first rung
 SEED = 42
 
 PATIENCE = 20
@@ -67,17 +68,38 @@ def gbt(params: dict, roles: Roles, seed: int = SEED) -> GBTClassifier:
                          weightCol=WEIGHT, seed=seed, cacheNodeIds=True)
 
 
-def pipeline(roles: Roles, params: dict, encoding: str = "label") -> Pipeline:
-    cats = list(roles.categoricals)
-    stages = [label_indexer(cats)]
+def feature_stages(roles: Roles, params: dict, encoding: str = "label") -> list:
+    """Encoder, scaler and assembler; numbers enter the vector scaled, under their own names in ``feature_names``."""
+    cats, nums = list(roles.categoricals), list(roles.numerics)
     if encoding == "target":
-        stages.append(TargetEncoder(inputCols=[f"{c}_code" for c in cats], outputCols=[f"{c}_te" for c in cats],
-                                    labelCol=roles.label, smoothing=float(params.get("smoothing", 1.0)),
-                                    handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=feature_names(roles, encoding), outputCol=FEATURES,
-                                  handleInvalid="keep"))
-    stages.append(gbt(params, roles))
-    return Pipeline(stages=stages)
+        first = SmoothedTargetEncoder(inputCols=cats, outputCols=[f"{c}_te" for c in cats], labelCol=roles.label,
+                                      smoothing=float(params.get("smoothing", 1.0)),
+                                      minSamplesLeaf=int(params.get("min_samples_leaf", 1)))
+    else:
+        first = label_indexer(cats)
+    own = [f"{c}_z" if c in nums else c for c in feature_names(roles, encoding)]
+    return [first, PopulationScaler(inputCols=nums, outputCols=[f"{c}_z" for c in nums]),
+            VectorAssembler(inputCols=own, outputCol=FEATURES, handleInvalid="keep")]
+
+
+def pipeline(roles: Roles, params: dict, encoding: str = "label") -> Pipeline:
+    return Pipeline(stages=[*feature_stages(roles, params, encoding), gbt(params, roles)])
+
+
+def first_rounds(trees: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first ``rounds`` trees and weights of a fitted one: what the same seeded fit gives when it stops
+    there, without a second fit."""
+    if rounds >= trees.getNumTrees:
+        return trees
+    from pyspark.sql import SparkSession
+    java, jvm = trees._java_obj, SparkSession.getActiveSession().sparkContext._jvm
+    gateway = SparkSession.getActiveSession().sparkContext._gateway
+    own = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:rounds], trees.treeWeights[:rounds])):
+        own[i], weights[i] = tree, float(weight)
+    some = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), own, weights, java.numFeatures(), java.numClasses())
+    return GBTClassificationModel(java.copyValues(some, jvm.org.apache.spark.ml.param.ParamMap.empty()))
 
 
 def fill_missing(df: DataFrame, roles: Roles) -> DataFrame:
@@ -189,7 +211,7 @@ def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: s
           split: str = "split", train_name: str = "train", val_name: str = "test") -> TrainedModel:
     """M6: fit every round on the train split, positives weighted by ``scale_pos_weight`` x n_neg/n_pos;
     measure the loss of each round on the test split and keep the rounds up to the best one before
-    ``PATIENCE`` rounds without improvement (the same seeded fit, stopped there); then choose the
+    ``PATIENCE`` rounds without improvement (the first trees of the one fit); then choose the
     F1-best grid threshold on the test split (E2)."""
     params = dict(DEFAULT_PARAMS if params is None else params)
     data = fill_missing(data, roles)
@@ -207,8 +229,7 @@ def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: s
     tried = kept = trees.getNumTrees
     if not check_rows.isEmpty():
         kept = kept_rounds(trees.evaluateEachIteration(check_rows))
-        if kept < tried:
-            trees = gbt({**params, "n_estimators": kept}, roles).fit(fit_rows)
+        trees = first_rounds(trees, kept)
     model = PipelineModel(stages=[*features_model.stages, trees])
     tm = TrainedModel(model, roles, encoding, params, 0.5, feature_names(roles, encoding), w, tried, kept)
     scored = tm.score(val_rows, keep=[roles.label])
@@ -217,17 +238,38 @@ def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: s
     return tm
 
 
+def shared_folds(data: DataFrame, roles: Roles, fold_col: str = "fold") -> DataFrame | None:
+    """``(features, label, fold)`` with label codes, written once for all folds; None if some category occurs in one fold
+    only, where that fold's encoder would not know it. Otherwise every fold's encoder has the same labels. Numbers stay unscaled:
+    trees don't change with a feature's scale."""
+    cats = list(roles.categoricals)
+    data = fill_missing(data, roles)
+    seen = (data.select(fold_col, *[F.col(c).cast("string").alias(c) for c in cats])
+                .unpivot([fold_col], cats, "variable", "category").where(F.col("category").isNotNull())
+                .groupBy("variable", "category").agg(F.min(fold_col).alias("a"), F.max(fold_col).alias("b")))
+    if not seen.where("a = b").isEmpty():
+        return None
+    stages = [label_indexer(cats), VectorAssembler(inputCols=feature_names(roles), outputCol=FEATURES, handleInvalid="keep")]
+    coded = Pipeline(stages=stages).fit(data).transform(data)
+    return temporary(coded.select(FEATURES, roles.label, fold_col), "fold_features")
+
+
 def fold_f1(data: DataFrame, roles: Roles, params: dict, fold_col: str = "fold", encoding: str = "label",
-            folds: int = N_FOLDS, parallelism: int = 4) -> DataFrame:
+            folds: int = N_FOLDS, parallelism: int = 4, shared: DataFrame | None = None) -> DataFrame:
     """F1 (threshold 0.5) of each held-out fold: (fold, f1, rows). The k fits are
-    independent Spark jobs submitted from a few driver threads, as CrossValidator does."""
+    independent Spark jobs submitted from a few driver threads, as CrossValidator does. With label codes they read the
+    features of ``shared_folds`` (handed in as ``shared``, or made here); other encodings are fitted for each fold."""
     from concurrent.futures import ThreadPoolExecutor
-    data = fill_missing(data, roles)
+    if shared is None and encoding == "label":
+        shared = shared_folds(data, roles, fold_col)
+    data = fill_missing(data, roles) if shared is None else shared
+    stages = pipeline(roles, params, encoding) if shared is None else Pipeline(stages=[gbt(params, roles)])
+    classes = {(r[0], r[1]): r["n"] for r in data.groupBy(fold_col, roles.label).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def one(k: int) -> DataFrame:
-        tr = data.where(F.col(fold_col) != k)
-        w = auto_weight(tr, roles) * float(params.get("scale_pos_weight", 1.0))
-        model = pipeline(roles, params, encoding).fit(with_weights(tr, roles, w))
+        neg, pos = (sum(n for (f, y), n in classes.items() if f is not None and f != k and y == c) for c in (0, 1))
+        w = (float(neg) / pos if pos else 1.0) * float(params.get("scale_pos_weight", 1.0))
+        model = stages.fit(with_weights(data.where(F.col(fold_col) != k), roles, w))
         held = positive_prob(model.transform(data.where(F.col(fold_col) == k)))
         c = ev.with_metrics(ev.threshold_counts(held, [0.5], roles.label, "score"))
         return c.select(F.lit(k).alias("fold"), "f1", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
@@ -255,22 +297,41 @@ def sample_params(n: int, seed: int = SEED) -> list[dict]:
 
 def search(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, folds: int = N_FOLDS,
            fold_col: str = "fold", encoding: str = "label", seed: int = SEED, parallelism: int = 4,
-           space_overrides: dict | None = None) -> tuple[DataFrame, dict | None]:
-    """M7: cross-validated search. Each trial draws its parameters, fits the fixed folds (``fold_f1``, in
-    parallel) and scores mean F1 - 0.1 * std; the best is the first strict improvement over 0.
-    Returns the trial log (one row per trial with its fold scores and the ``budget`` of trials the
-    caller gave) and the best parameters. Running best: ``ranks.running_max``."""
-    rows, best, best_score = [], None, 0.0
-    for t, p in enumerate(sample_params(n_trials, seed)):
+           space_overrides: dict | None = None, first_rung: int = FIRST_RUNG) -> tuple[DataFrame, dict | None]:
+    """M7: cross-validated search by successive halving. Every trial draws its parameters and is fitted on the fixed folds
+    (``fold_f1``, features prepared once) for ``first_rung`` rounds; the better half of a rung goes on with twice the rounds, and the
+    last one with all of its own. A score is mean F1 - 0.1 * std; the best is the last rung's first strict improvement over 0.
+
+    Returns the log (a row for each rung and trial: its rounds, fold scores, whether it went on, and the ``budget`` of trials
+    the caller gave) and the best parameters. Running best: ``ranks.running_max`` by ``step``."""
+    trials = sample_params(n_trials, seed)
+    for p in trials:
         p.update(space_overrides or {})
-        scores = [r.f1 for r in fold_f1(data, roles, p, fold_col, encoding, folds, parallelism).orderBy("fold").collect()]
-        mean, std = float(np.mean(scores)), float(np.std(scores))
-        adjusted = mean - STABILITY_PENALTY * std
-        if adjusted > best_score:
-            best_score, best = adjusted, dict(p)
-        rows.append((t, n_trials, json.dumps(p, sort_keys=True), [float(x) for x in scores], mean, std, adjusted))
+    shared = shared_folds(data, roles, fold_col) if encoding == "label" else None
+    rows, alive, rung, rounds = [], list(range(n_trials)), 0, first_rung
+    known: dict[tuple[int, int], tuple[list[float], float, float, float]] = {}
+    best, best_score = None, 0.0
+    while alive:
+        last = len(alive) == 1
+        for t in alive:
+            n = trials[t]["n_estimators"] if last else min(rounds, trials[t]["n_estimators"])
+            if (t, n) not in known:
+                got = fold_f1(data, roles, {**trials[t], "n_estimators": n}, fold_col, encoding, folds, parallelism, shared)
+                f1 = [float(r.f1) for r in got.orderBy("fold").collect()]
+                mean, std = float(np.mean(f1)), float(np.std(f1))
+                known[t, n] = f1, mean, std, mean - STABILITY_PENALTY * std
+            rows.append([len(rows), rung, t, n_trials, n, json.dumps(trials[t], sort_keys=True), *known[t, n]])
+            if last and known[t, n][3] > best_score:
+                best_score, best = known[t, n][3], dict(trials[t])
+        of_rung = {r[2]: r[-1] for r in rows if r[1] == rung}
+        kept = sorted(alive, key=lambda t: (-of_rung[t], t))[:len(alive) // 2]
+        for r in rows:
+            if r[1] == rung:
+                r.append(r[2] in kept)
+        alive, rung, rounds = kept, rung + 1, rounds * 2
     log = data.sparkSession.createDataFrame(
-        rows, "trial int, budget int, params string, fold_f1 array<double>, mean_f1 double, std_f1 double, score double")
+        rows, "step int, rung int, trial int, budget int, rounds int, params string, fold_f1 array<double>, mean_f1 double, "
+              "std_f1 double, score double, went_on boolean")
     return log, best
 
 
@@ -279,7 +340,7 @@ def tune(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, split: str = "
     """Search on the train split, then train with the best parameters; the bundle carries the log."""
     log, best = search(data.where(F.col(split) == train_name), roles, n_trials, **kwargs)
     tm = train(data, roles, best, kwargs.get("encoding", "label"), split, train_name)
-    tm.trials = [r.asDict() for r in log.orderBy("trial").collect()]
+    tm.trials = [r.asDict() for r in log.orderBy("step").collect()]
     tm.cv_score = max((t["score"] for t in tm.trials), default=None)
     return tm
 
