@@ -43,6 +43,7 @@ FIRST_RUNG = 8               # rounds of every trial in the search's first rung
 SEED = 42
 
 PATIENCE = 20
+FIRST_SLICE = 25             # rounds of the first fit; later ones double until validation stops improving
 
 DEFAULT_PARAMS = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8,
                   "colsample_bytree": 0.8, "min_child_weight": 5, "gamma": 0.0, "scale_pos_weight": 1.0}
@@ -209,7 +210,7 @@ def load_model(paths: Sequence[str], roles: Roles) -> TrainedModel:
 
 def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: str = "label",
           split: str = "split", train_name: str = "train", val_name: str = "test") -> TrainedModel:
-    """M6: fit every round on the train split, positives weighted by ``scale_pos_weight`` x n_neg/n_pos;
+    """M6: fit rounds on the train split in slices, positives weighted by ``scale_pos_weight`` x n_neg/n_pos;
     measure the loss of each round on the test split and keep the rounds up to the best one before
     ``PATIENCE`` rounds without improvement (the first trees of the one fit); then choose the
     F1-best grid threshold on the test split (E2)."""
@@ -225,11 +226,7 @@ def train(data: DataFrame, roles: Roles, params: dict | None = None, encoding: s
     own = [FEATURES, roles.label, WEIGHT]
     fit_rows = temporary(with_weights(features_model.transform(train_rows), roles, w).select(*own), "fit_rows")
     check_rows = temporary(with_weights(features_model.transform(val_rows), roles, w).select(*own), "check_rows")
-    trees = stages[-1].fit(fit_rows)
-    tried = kept = trees.getNumTrees
-    if not check_rows.isEmpty():
-        kept = kept_rounds(trees.evaluateEachIteration(check_rows))
-        trees = first_rounds(trees, kept)
+    trees, tried, kept = _fitted_rounds(fit_rows, check_rows, params, roles)
     model = PipelineModel(stages=[*features_model.stages, trees])
     tm = TrainedModel(model, roles, encoding, params, 0.5, feature_names(roles, encoding), w, tried, kept)
     scored = tm.score(val_rows, keep=[roles.label])
@@ -254,8 +251,23 @@ def shared_folds(data: DataFrame, roles: Roles, fold_col: str = "fold") -> DataF
     return temporary(coded.select(FEATURES, roles.label, fold_col), "fold_features")
 
 
+def _fitted_rounds(fit_rows: DataFrame, check_rows: DataFrame, params: dict, roles: Roles) -> tuple[GBTClassificationModel, int, int]:
+    """The kept ensemble, the rounds fitted and the rounds kept. Rounds are fitted in slices of ``FIRST_SLICE``, twice that and so on
+    (a longer seeded fit begins with the shorter one's trees) until validation has stopped improving."""
+    most = int(params["n_estimators"])
+    checked = not check_rows.isEmpty()
+    tried = min(FIRST_SLICE, most) if checked else most
+    while True:
+        trees = gbt({**params, "n_estimators": tried}, roles).fit(fit_rows)
+        tried = trees.getNumTrees
+        kept = kept_rounds(trees.evaluateEachIteration(check_rows)) if checked else tried
+        if tried >= most or tried - kept >= PATIENCE:
+            return first_rounds(trees, kept), tried, kept
+        tried = min(2 * tried, most)
+
+
 def fold_f1(data: DataFrame, roles: Roles, params: dict, fold_col: str = "fold", encoding: str = "label",
-            folds: int = N_FOLDS, parallelism: int = 4, shared: DataFrame | None = None) -> DataFrame:
+            folds: int = N_FOLDS, parallelism: int = N_FOLDS, shared: DataFrame | None = None) -> DataFrame:
     """F1 (threshold 0.5) of each held-out fold: (fold, f1, rows). The k fits are
     independent Spark jobs submitted from a few driver threads, as CrossValidator does. With label codes they read the
     features of ``shared_folds`` (handed in as ``shared``, or made here); other encodings are fitted for each fold."""
@@ -296,7 +308,7 @@ def sample_params(n: int, seed: int = SEED) -> list[dict]:
 
 
 def search(data: DataFrame, roles: Roles, n_trials: int = N_TRIALS, folds: int = N_FOLDS,
-           fold_col: str = "fold", encoding: str = "label", seed: int = SEED, parallelism: int = 4,
+           fold_col: str = "fold", encoding: str = "label", seed: int = SEED, parallelism: int = N_FOLDS,
            space_overrides: dict | None = None, first_rung: int = FIRST_RUNG) -> tuple[DataFrame, dict | None]:
     """M7: cross-validated search by successive halving. Every trial draws its parameters and is fitted on the fixed folds
     (``fold_f1``, features prepared once) for ``first_rung`` rounds; the better half of a rung goes on with twice the rounds, and the

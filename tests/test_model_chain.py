@@ -27,6 +27,17 @@ def test_first_rounds_equal_a_shorter_fit(spark):
     assert a == b and training.first_rounds(trees, 9) is trees
 
 
+def test_slices_keep_what_one_long_fit_keeps(spark, monkeypatch):
+    data = RG.model_data(spark, SF_SMALL)
+    monkeypatch.setattr(training, "FIRST_SLICE", 2)
+    a = training.train(data, R, {**SMALL, "n_estimators": 7})
+    monkeypatch.setattr(training, "FIRST_SLICE", 7)
+    b = training.train(data, R, {**SMALL, "n_estimators": 7})
+    assert (a.rounds_tried, a.rounds_kept, a.threshold) == (b.rounds_tried, b.rounds_kept, b.threshold)
+    x, y = ([r.score for r in m.score(data, keep=["row_id"]).orderBy("row_id").limit(50).collect()] for m in (a, b))
+    assert x == y
+
+
 def test_search_halves_and_the_last_rung_has_all_rounds(spark):
     data = RG.model_data(spark, SF_SMALL).where("split = 'train'")
     log, best = training.search(data, R, n_trials=4, folds=2, space_overrides={"n_estimators": 5, "max_depth": 2}, first_rung=2)
