@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from ratelens.llm import text
 
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: New words handed to the tokenizer at once: its own records of them take far more memory than their ids.
+AT_ONCE = 2000
+#: Bytes of whole texts in an Arrow batch while files are written.
+BATCH_BYTES = 4 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Punctuation that no contraction and no special token holds: white space may be thought between it and an ASCII letter.
@@ -103,8 +107,13 @@ class Encoder:
         return self.place[at][back] if len(h) else back
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of words one after the other: the words' order in them, their numbers of ids, the ids. Words of letters
-        go as one text, whose ids are told apart by the tokens that end a word."""
+        """Ids of words one after the other: the words' order in them, their numbers of ids, the ids."""
+        parts = [(i, *self._some(new[i:i + AT_ONCE])) for i in range(0, len(new), AT_ONCE)]
+        return (np.concatenate([order + i for i, order, _, _ in parts]), np.concatenate([size for _, _, size, _ in parts]),
+                np.concatenate([ids for _, _, _, ids in parts]))
+
+    def _some(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of letters go as one text, whose ids are told apart by the tokens that end a word."""
         plain = [k for k, w in enumerate(new) if w.isalpha()]
         ids = np.array(self.tokenizer.encode(" ".join([new[k] for k in plain]), add_special_tokens=False).ids, self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -114,7 +123,7 @@ class Encoder:
         rest = [k for k in range(len(new)) if k not in chosen]
         lists = [e.ids for e in self.tokenizer.encode_batch([new[k] for k in rest], add_special_tokens=False)]
         size = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in lists], np.int64)])
-        return np.array(plain + rest), size, np.concatenate([ids, np.array([y for x in lists for y in x], self.dtype)])
+        return np.array(plain + rest, np.int64), size, np.concatenate([ids, np.array([y for x in lists for y in x], self.dtype)])
 
 
 def _cut(b: np.ndarray) -> np.ndarray:
