@@ -13,6 +13,7 @@ of the ids before it.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 import zlib
@@ -46,6 +47,17 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri else (pa.fs.LocalFileSystem(), uri)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` set for the jobs inside, and put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Encoder:
     """Texts to ids. ``by_word``: each distinct word is encoded once, for tokenizers that drop white space, lower-case
     ASCII letters and end a token where letters meet punctuation, so that a text's ids are those of its words."""
@@ -194,7 +206,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
                    .repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text"))
                    .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"))
     parts = ordered.mapInArrow(write, "part long, name string, dtype string, docs long, nulls long, ids long")
-    parts.write.parquet(f"{out_dir}/parts")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        parts.write.parquet(f"{out_dir}/parts")
     parts = docs.sparkSession.read.schema(parts.schema).parquet(f"{out_dir}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     manifest = parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
