@@ -24,7 +24,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm import text
@@ -32,9 +32,11 @@ from ratelens.llm.common import components, drop_written, small, written
 
 #: Mean features of a part at a band's lower end; bands and numbers of parts grow by 4.
 MEAN = 3
-#: Least features of a set's sample (of all features by chance). Two sets of Jaccard 0.8 share four fifths of
-#: either at least; that they share under a quarter of a sample has a chance under 1e-8.
-SAMPLE = 24
+#: Mean features of a set's sample at least (sets of fewer than twice as many show all). Two sets of Jaccard 0.8 share four
+#: fifths of either at least; that they share under a quarter of a sample has a chance of 6.5e-9 a set at a mean of 32.
+SAMPLE = 32
+#: Least bits of a set's bitmap.
+LEAST_BITS = 512
 #: Sets in a bucket whose pairs are verified at once (each set meets at most so many others there).
 FEW = 32
 #: Pivots tried for each crowded bucket before the remaining pairs are verified.
@@ -133,6 +135,19 @@ def _lists(value: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(value))
 
 
+def _bitmaps(s: np.ndarray, row: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity bitmaps of the sets, of a power of two of bits (LEAST_BITS, or as many as features): bit p tells whether an odd
+    number of features falls on p. Two sets' bitmaps differ in no more bits than the sets in features; halves of a larger
+    bitmap give the smaller one by exclusive or."""
+    bits = 1 << np.ceil(np.log2(np.maximum(size, LEAST_BITS))).astype(np.int64)
+    first = np.cumsum(bits) - bits
+    at = first[row] + (s & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view("<i8")
+    edges = np.concatenate([[0], np.cumsum(bits // 64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(longs))
+
+
 def _classes(k: int, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,14 +166,10 @@ def _sets(k: int):
         for batch in batches:
             for i, j, s, row, size in text.text_sets(batch.column(1), k):
                 v, w = _prints(s, row, size)
-                # a quarter of the hash space by 32 bits: images of sets don't differ by more than the sets
-                head = np.unique(row[s < np.uint64(1 << 62)].astype(np.uint64) << np.uint64(32)
-                                 | s[s < np.uint64(1 << 62)] & np.uint64(0xFFFFFFFF))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(size), pa.array(v), pa.array(w),
-                     _lists(head.astype(np.uint32).view(np.int32), (head >> np.uint64(32)).astype(np.int64), j - i),
-                     _lists(s.view(np.int64), row, j - i)],
-                    ["rep", "n", "v", "w", "head", "s"])
+                     _bitmaps(s, row, size), _lists(s.view(np.int64), row, j - i)],
+                    ["rep", "n", "v", "w", "bits", "s"])
     return run
 
 
@@ -177,24 +188,46 @@ def _signed(t: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Of ``pairs(a, b)`` of set representatives, those whose sets have Jaccard >= t (exactly, in integers). Sizes and the
-    features in a quarter of the hash space, where the sets may not differ by more than in all, go first."""
+    """Of ``pairs(a, b)`` of set representatives, those whose sets have Jaccard >= t (exactly, in integers). Sizes and bitmaps, which
+    may not differ by more than the sets, go first; whole sets are shipped only for the pairs then left."""
     per_mille = round(t * 1000)
 
-    def sided(column: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(sets.select(F.col("rep").alias(x), F.col("v").alias("v" + x), F.col("n").alias("n" + x),
-                                 F.col(column).alias("s" + x)) for x in "ab")
+    def sided(table: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(table.select(F.col("rep").alias(x), F.col("v").alias("v" + x), F.col("n").alias("n" + x),
+                                  F.col(column).alias("s" + x)) for x in "ab")
+
+    def folded(x: str, y: str) -> Column:
+        half = F.size(y)
+        larger = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > half, larger).otherwise(F.col(x))
 
-    left, right = sided("head")
+    differ = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
+                         lambda total, n: total + n)
+    left, right = sided(sets, "bits")
     fit = (pairs.join(left, "a").join(right, "b").where(f"1000 * least(na, nb) >= {per_mille} * greatest(na, nb)")
-                .where(f"{1000 + per_mille} * (size(sa) + size(sb) - 2 * size(array_intersect(sa, sb)))"
-                       f" <= {1000 - per_mille} * (na + nb)").select("a", "b", "va", "vb"))
-    left, right = sided("s")
-    both = fit.join(left.drop("na"), ["a", "va"]).join(right.drop("nb"), ["b", "vb"])
+                .where((1000 + per_mille) * differ <= (1000 - per_mille) * (F.col("na") + F.col("nb")))
+                .select("a", "b", "va", "vb"))
+    fit = written(fit, "fit")
+    left, right = sided(sets, "s")
+    left = left.drop("na").join(small(written(fit.select("a", "va").distinct(), "fit"), 16), ["a", "va"], "left_semi")
+    right = right.drop("nb").join(small(written(fit.select("b", "vb").distinct(), "fit"), 16), ["b", "vb"], "left_semi")
+    both = fit.join(left, ["a", "va"]).join(right, ["b", "vb"])
     return both.where(f"{1000 + per_mille} * size(array_intersect(sa, sb)) >= {per_mille} * (size(sa) + size(sb))").select(
         "a", "b").distinct()
 
 
+def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root(node, root)`` after more links: these run between the roots known, so only they are contracted."""
+    at = [root.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab"]
+    between = links.join(at[0], "a", "left").join(at[1], "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(between.where("a <> b"))
+    old = root.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root"))
+    fresh = more.join(root.select("node"), "node", "left_anti").select("node", "root")
+    return written(old.union(fresh), "roots")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        threshold: float = 0.8) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``: its number of distinct ``words``-word
@@ -215,9 +248,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = written(full.join(chosen, "v", "left_semi").groupBy("v", "w").agg(F.min("id").alias("id"))
                          .groupBy("id").agg(F.collect_set(F.struct("v", "w")).alias("is")), "wanted")
     texts = docs.join(small(wanted.select("id"), 8), "id", "left_semi").select("id", "text")
-    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, head array<int>, s array<long>")
+    sets = texts.mapInArrow(_sets(words), "rep long, n long, v long, w long, bits array<long>, s array<long>")
     sets = written(sets.join(small(wanted, 64).withColumnRenamed("id", "rep"), "rep")
-                       .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "head", "s")
+                       .where("array_contains(is, struct(v, w))").select("rep", "n", "v", "w", "bits", "s")
                        .dropDuplicates(["rep", "v", "w"]), "sets")
     # buckets: signatures of at least two different sets
     signed = sets.select("rep", "n", "s").mapInArrow(_signed(threshold), "sig long, rep long")
@@ -227,29 +260,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_written(wanted, shared)
     star = member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(_verified(star, sets, threshold), "links")
-    ties = written(_ties(rows), "ties")
-    root = components(links.union(ties))
+    root = components(links.union(_ties(rows)))
     # buckets that still hold several components: of a few sets, their other pairs; of many, the refined buckets
     left = written(_open(member.select("sig", "rep"), root, 3), "left")
+    drop_written(links, member)
     many = left.where(f"members > {FEW}").select("rep").distinct()
     again = written(_rare(sets.join(small(written(many, "many"), 8), "rep", "left_semi"), threshold), "again")
     pairs = _cross(left.where(f"members <= {FEW}"), sets, threshold)
     for turn in range(PIVOT_ROUNDS):
-        hot = _open(again, root, 2)
+        hot = written(_open(again, root, 2), "hot")
         pivots = hot.groupBy("sig").agg(
             F.min_by(F.struct("rep", "root"), F.xxhash64(F.lit(turn), "rep")).alias("p"))
         pairs = pairs.union(hot.join(pivots, "sig").where("root <> p.root")
                                .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")))
-        found = written(_verified(written(pairs.distinct(), "pairs"), sets, threshold), "links")
+        pairs = written(pairs.distinct(), "pairs")
+        found = written(_verified(pairs, sets, threshold), "links")
+        drop_written(hot, pairs)
         if found.isEmpty():
             break
-        links = links.union(found)
-        root = components(links.union(ties))
-        pairs = pairs.limit(0)
+        root = _merged(root, found)
+        pairs = star.sparkSession.createDataFrame([], "a long, b long")
     rest = written(_cross(_open(again, root, 3), sets, threshold), "pairs")
-    found = written(_verified(rest, sets, threshold), "links")
-    if not found.isEmpty():
-        root = components(links.union(found).union(ties))
+    if not rest.isEmpty():
+        found = written(_verified(rest, sets, threshold), "links")
+        if not found.isEmpty():
+            root = _merged(root, found)
+    drop_written(sets, left, again, rest)
     return _named(rows, root)
 
 
