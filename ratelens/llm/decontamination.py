@@ -1,8 +1,9 @@
 """Operator 2: find benchmark passages in training documents, exact, edited or paraphrased.
 
-Words are runs without white space and ASCII punctuation, A-Z as a-z. The seeds of a test item are the rarest of its
-3-word sequences by the number of documents of the whole corpus that hold them: a share of each item's own sequences, so an item
-that leaked into every third document keeps its seeds. Documents that hold a seed are joined to the item, and the
+Words are runs without white space and ASCII punctuation, A-Z as a-z. Sequences are 3 words in a row, and 3 words of which the
+third is left out before the last (so that a copy with every third word replaced still holds some). The seeds of a test item are the
+rarest of its sequences by the number of documents of the whole corpus that hold them: a share of each item's own sequences, so an
+item that leaked into every third document keeps its seeds. Documents that hold a seed are joined to the item, and the
 Smith-Waterman alignment of the item with the text around its seeds scores the copy. The benchmark is the stated query set: it
 goes through the corpus in blocks of bounded size, whatever its length.
 """
@@ -28,6 +29,16 @@ THRESHOLD = 0.5
 BLOCK_CHARS = 4 << 20
 
 
+def sequences(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, rows and first words of all sequences, those in a row before the spaced ones. Rows of fewer words than GRAM have
+    their whole sequence."""
+    g, r, start = text.shingles(h, row, rows, GRAM)
+    at = np.arange(max(len(h) - GRAM, 0))
+    at = at[row[at] == row[at + GRAM]]
+    spaced = text.mix(text.mix(h[at], 21) + text.mix(h[at + 1], 22) + text.mix(h[at + GRAM], 23), 24)
+    return np.concatenate([g, spaced]), np.concatenate([r, row[at]]), np.concatenate([start, at])
+
+
 @dataclass(frozen=True)
 class Items:
     ids: list
@@ -41,7 +52,7 @@ class Items:
     def of(rows: list) -> Items:
         data, at = text.utf8(pa.array([r["text"] for r in rows], pa.string()))
         h, row, _, _ = text.words(data, at, 0, len(rows), text.LOOSE)
-        g, item, start = text.shingles(h, row, len(rows), GRAM)
+        g, item, start = sequences(h, row, len(rows))
         size = np.bincount(row, minlength=len(rows))
         whole = size[item] >= GRAM  # items of fewer words can't be told from chance
         g, item, start = g[whole], item[whole], start[whole]
@@ -82,7 +93,7 @@ def _counted(items: Items):
             data, at = text.utf8(batch.column(0))
             for i, j in text.chunks(at):
                 h, row, _, _ = text.words(data, at, i, j, text.LOOSE)
-                g, r, _ = text.shingles(h, row, j - i, GRAM)
+                g, r, _ = sequences(h, row, j - i)
                 place, x = find(g)
                 both = np.unique(r[place] * len(total) + x)
                 total += np.bincount(both % len(total), minlength=len(total))
@@ -121,7 +132,7 @@ def _scored(items: Items, id_type: pa.DataType, threshold: float):
             out = []
             for i, j in text.chunks(at):
                 h, row, first, end = text.words(data, at, i, j, text.LOOSE)
-                g, r, start = text.shingles(h, row, j - i, GRAM)
+                g, r, start = sequences(h, row, j - i)
                 place, x = find(g)
                 count = first_place[x + 1] - first_place[x]
                 hit = np.repeat(np.arange(len(place)), count)  # every item a sequence stands in
@@ -179,26 +190,38 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
     queries = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    block, size, blocks = [], 0, []
-    for r in queries.toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_CHARS:
-            blocks, block, size = [*blocks, Items.of(block)], [], 0
-        block, size = [*block, r], size + len(r["text"])
-    for items in [*blocks, *([Items.of(block)] if block else [])]:
+    for items in _blocks(queries):  # one at a time: its matches are written before the next is read
         if not len(items.grams):
             continue
         held = texts.select("text").mapInArrow(_counted(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         documents = np.zeros(len(items.grams), np.int64)
         for r in held.collect():  # a row a sequence of the block at most
             documents[r["gram"]] = r["n"]
-        found = found.union(texts.mapInArrow(_scored(items.rarest(documents), to_arrow_type(kind), threshold), schema))
+        matches = texts.mapInArrow(_scored(items.rarest(documents), to_arrow_type(kind), threshold), schema)
+        found = found.union(written(matches, "matches"))
     return found
 
 
+def _blocks(queries: DataFrame) -> Iterator[Items]:
+    """The items in blocks of at most BLOCK_CHARS (or one longer item)."""
+    block, size = [], 0
+    for r in queries.toLocalIterator():
+        if block and size + len(r["text"]) > BLOCK_CHARS:
+            yield Items.of(block)
+            block, size = [], 0
+        block, size = [*block, r], size + len(r["text"])
+    if block:
+        yield Items.of(block)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose id a test item matches. Rows with a null id stay."""
-    leaked = benchmark_matches(docs, benchmark, id_col, text_col, threshold=threshold).select(
-        F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    leaked = written(leaked, "leaked")
-    return docs.join(small(leaked, 16), id_col, "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a test item. A row is told by its id and text, so a null id that holds an item goes, and
+    other texts under the id of a row that holds one stay."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    leaked = benchmark_matches(keyed, benchmark, "key", "text", threshold=threshold)
+    leaked = written(leaked.select(F.col("doc_id.id").alias("_leaked_id"), F.col("doc_id.hash").alias("_leaked_hash")).distinct(), "leaked")
+    leaked = small(leaked, 24)
+    same = docs[id_col].eqNullSafe(leaked["_leaked_id"]) & (F.xxhash64(docs[text_col]) == leaked["_leaked_hash"])
+    return docs.join(leaked, same, "left_anti").select(docs.columns)

@@ -65,7 +65,27 @@ def test_decontamination_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 40)  # each item a block of its own
     out = sorted(((r.doc_id, r.item_id, r.score, r.first_word) for r in D.benchmark_matches(d, b).collect()), key=str)
     assert out == sorted([(i, x, 1.0, 50000 if i == 6 else 0) for i in (None, 4, 4, 6) for x in "ab"], key=str)
-    assert sorted([r.doc_id for r in D.drop_contaminated(d, b).collect()], key=str) == sorted([1, 2, None, 5], key=str)
+    assert sorted([r.doc_id for r in D.drop_contaminated(d, b).collect()], key=str) == [1, 2, 5]
+    more = d.unionByName(spark.createDataFrame([(None, "clean words here"), (4, "clean words, too")], "doc_id long, text string"), allowMissingColumns=True)
+    assert sorted([str(r.text) for r in D.drop_contaminated(more, b).collect()]) == sorted(["None", "", "alpha beta", "clean words here", "clean words, too"])
+
+
+@pytest.mark.parametrize("share, least", [("third", 1.0), (0.1, 1.0), (0.2, 1.0), (0.25, 0.9)])
+def test_recall_of_replaced_words_against_alignment(spark, share, least):
+    """Of the edited copies whose brute-force alignment reaches the threshold, at least ``least`` are found."""
+    rng = random.Random(12)
+    items = [made(rng, 60) for _ in range(20)]
+    docs, due = [], set()
+    for k, item in enumerate(items):
+        copy = [f"new{k}x{x}" if (x % 3 == 2 if share == "third" else rng.random() < share) else w for x, w in enumerate(item)]
+        docs.append((k, " ".join(made(rng, 80) + copy + made(rng, 80))))
+        if brute.align(item, copy) >= 0.5 * 2 * 60:
+            due.add(k)
+    assert len(due) >= 15
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id for r in D.benchmark_matches(d, b).collect() if r.doc_id == r.item_id}
+    assert len(got & due) >= least * len(due)
     empty = spark.createDataFrame([], SCHEMA)
     assert D.benchmark_matches(empty, b).count() == 0
     assert D.benchmark_matches(d, b.limit(0)).count() == 0
