@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each of which calls one operator of ``ratelens.llm``.
 
-Rows with a null id pass the filters on their own text's account: they have a quality score, but no near-duplicate
-group and no leak can be told by id, so these stages keep them. Empty tables give empty results.
+Rows with a null id pass the filters on their own text's account: they have a quality score and go when they hold a benchmark
+passage, but no near-duplicate group can be told by id, so that stage keeps them. Empty tables give empty results.
 """
 
 from __future__ import annotations
