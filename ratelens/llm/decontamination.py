@@ -2,7 +2,7 @@
 
 Words are runs without white space and ASCII punctuation, A-Z as a-z. Sequences are 3 words in a row, and 3 words of which the
 third is left out before the last (so that a copy with every third word replaced still holds some). The seeds of a test item are the
-rarest of its sequences by the number of documents of the whole corpus that hold them: a share of each item's own sequences, so an
+rarest of its sequences that the corpus holds, by the number of documents that hold them: a share of each item's own sequences, so an
 item that leaked into every third document keeps its seeds. Documents that hold a seed are joined to the item, and the
 Smith-Waterman alignment of the item with the text around its seeds scores the copy. The benchmark is the stated query set: it
 goes through the corpus in blocks of bounded size, whatever its length.
@@ -63,9 +63,11 @@ class Items:
                      (start - first[item])[order])
 
     def rarest(self, documents: np.ndarray) -> Items:
-        """With the places of each item's rarest sequences only (``documents``: how many hold each of ``grams``)."""
-        order = np.lexsort((self.grams[self.gram], documents[self.gram], self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
+        """With the places of each item's rarest sequences only, of those that some document holds (``documents``: how many hold
+        each of ``grams``)."""
+        held = np.flatnonzero(documents[self.gram] > 0)
+        order = held[np.lexsort((self.grams[self.gram[held]], documents[self.gram[held]], self.item[held]))]
+        size = np.bincount(self.item[held], minlength=len(self.ids))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
         kept = np.sort(order[rank < np.ceil(RARE_SHARE * size)[self.item[order]]])
         return Items(self.ids, self.words, self.grams, self.gram[kept], self.item[kept], self.offset[kept])
