@@ -80,23 +80,32 @@ class Filters:
 
     @staticmethod
     def of(dim: int, vectors: int, threshold: float) -> Filters:
-        """Codes for ``vectors`` unit vectors, as many as random pairs at the threshold need."""
-        share = min(0.2, HELD / max(vectors, 1))
+        """Codes for ``vectors`` unit vectors, as many as random pairs at the threshold need. Caps are low enough that such a pair
+        can lie in one (in few dimensions filters then hold more than HELD vectors, as there are more links, too), and are lowered
+        further while MOST_CODES don't reach RECALL."""
+        share, widest = min(0.2, HELD / max(vectors, 1)), math.sqrt((1 + threshold) / 2)
+        while cap_height(dim, share) > 0.99 * widest and share < 0.5:
+            share = min(0.5, 1.5 * share)
         rng = np.random.default_rng([3, dim])
         v, z = rng.standard_normal((2, TRIALS, dim))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         z -= (z * v).sum(1, keepdims=True) * v
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
         w = threshold * v + math.sqrt(max(0.0, 1 - threshold ** 2)) * z
-        codes, found = [], np.zeros(TRIALS, bool)
-        while found.mean() < RECALL and len(codes) < MOST_CODES:
-            codes.append(Code.of(dim, share, len(codes)))
-            for i in range(0, TRIALS, 200):
-                row, word = codes[-1].decode(np.concatenate([v[i:i + 200], w[i:i + 200]]))
-                first = row < 200
-                shared = np.intersect1d(row[first] << _CODE_BITS | word[first], row[~first] - 200 << _CODE_BITS | word[~first])
-                found[i + np.unique(shared >> _CODE_BITS)] = True
-        return Filters(tuple(codes), float(found.mean()))
+        while True:
+            codes, found = [], np.zeros(TRIALS, bool)
+            while found.mean() < RECALL and len(codes) < MOST_CODES:
+                codes.append(Code.of(dim, share, len(codes)))
+                for i in range(0, TRIALS, 200):
+                    row, word = codes[-1].decode(np.concatenate([v[i:i + 200], w[i:i + 200]]))
+                    first = row < 200
+                    shared = np.intersect1d(row[first] << _CODE_BITS | word[first], row[~first] - 200 << _CODE_BITS | word[~first])
+                    found[i + np.unique(shared >> _CODE_BITS)] = True
+            if found.mean() >= RECALL:
+                return Filters(tuple(codes), float(found.mean()))
+            if share >= 0.5:
+                raise ValueError(f"{MOST_CODES} codes reach a recall of {found.mean():.4f} in {dim} dimensions")
+            share = min(0.5, 2 * share)
 
     def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = [(row, word | k << _CODE_BITS) for k, c in enumerate(self.codes) for row, word in [c.decode(v)]]

@@ -68,6 +68,19 @@ def test_recall_of_random_pairs_at_the_threshold(dim, vectors):
     assert np.mean([not set(a.tolist()).isdisjoint(b.tolist()) for a, b in zip(*lists)]) > 0.98
 
 
+@pytest.mark.parametrize("dim, vectors", [(1, 1000), (2, 10_000), (3, 1000), (4, 100_000), (8, 10_000_000)])
+def test_recall_is_reached_in_few_dimensions(dim, vectors):
+    assert E.Filters.of(dim, vectors, 0.9).recall >= E.RECALL
+
+
+@pytest.mark.parametrize("dim", [2, 4])
+def test_few_dimensions_against_brute_force(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((400, dim)))]
+    got, want = found(spark, rows), expected(rows)
+    assert sum(r[1] for r in got) >= 0.999 * sum(r[1] for r in want) and [r[2] for r in got] == [r[2] for r in want]
+
+
 def test_table(spark):
     d = spark.read.parquet(f"{brute.SF_SMALL}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in d.collect()]
