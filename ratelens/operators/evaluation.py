@@ -42,6 +42,27 @@ def roc_points(scored: DataFrame, y: str = "y", score: str = "score") -> DataFra
                     safe_ratio("cum_pos", "P").alias("tpr")))
 
 
+def roc_corners(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """E5 points without those that lie on the line between their neighbours with equal steps on both sides: after the start
+    (0, 0), the first and the last score and every one whose positives or negatives differ from the next lower score's.
+
+    The next score is found inside range buckets; a bucket's last score looks at the first of the next bucket that has any."""
+    g = scored.where(F.col(score).isNotNull()).groupBy(score).agg(
+        F.sum(F.col(y)).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg"))
+    bucketed = range_buckets(g, score, extra=[F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max(score).alias("_top")])
+    step = F.struct("pos", "neg")
+    heads = bucketed.groupBy("_bucket").agg(F.max_by(step, score).alias("_head"))
+    heads = heads.select("_bucket", F.lag("_head").over(W.orderBy("_bucket")).alias("_after"))  # a row a bucket
+    inside = W.partitionBy("_bucket").orderBy(F.desc(score))
+    own = bucketed.withColumn("_next", F.lead(step).over(inside)).join(F.broadcast(heads), "_bucket")
+    follows = F.coalesce("_next", "_after")
+    own = own.withColumn("_corner", (F.col(score) == F.col("_top")) | follows.isNull() | (follows != step)).drop("_next", "_after")
+    c = cumulative(own, [score], ["pos", "neg"], descending=True, bucketed=own).where("_corner")
+    start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return start.unionByName(c.select(F.col(score).alias("threshold"), safe_ratio("cum_neg", "N").alias("fpr"),
+                                      safe_ratio("cum_pos", "P").alias("tpr")))
+
+
 def pr_points(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """E6 points: precision and recall at each distinct score threshold, and the end (recall 0, precision 1)
     with a null threshold."""

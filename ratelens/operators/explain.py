@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ratelens.operators.ranks import seeded_hash, seeded_sample
-from ratelens.operators.training import FEATURES, TrainedModel
+from ratelens.operators.training import FEATURES, TrainedModel, fill_missing
 from ratelens.sources.tables import temporary
 
 def feature_importance(tm: TrainedModel, top_n: int | None = None) -> DataFrame:
@@ -36,22 +36,31 @@ def shapley(tm: TrainedModel, rows: DataFrame, background: DataFrame, row_id: st
     are scored in one ``transform``; a feature's contribution is the score change when
     it is switched. The values of a row sum to its score minus the mean background
     score of its draws."""
-    fm = _feature_model(tm)
-    gbt = tm.model.stages[-1]
-    d = len(tm.features)
-    x = fm.transform(rows).select(F.col(row_id).alias("_rid"), vector_to_array(FEATURES).alias("_x"))
-    bg = fm.transform(background).select(vector_to_array(FEATURES).alias("_b"), seeded_hash(row_id, seed).alias("_h"))
+    steps = _steps(tm, rows, background, row_id, range(n_perm), seed, paired=False)
+    names = F.array(*[F.lit(f) for f in tm.features])
+    phi = steps.where("_j >= 0").groupBy("_rid", "_j").agg(F.avg("_delta").alias("phi"))
+    return phi.select(F.col("_rid").alias(row_id), names[F.col("_j")].alias("feature"), "phi")
+
+
+def _steps(tm: TrainedModel, rows: DataFrame, background: DataFrame, row_id: str, perms: range, seed: int, paired: bool) -> DataFrame:
+    """``(_rid, _perm, _j, _delta)``: the score change when feature ``_j`` is switched in the order of draw ``_perm``, and for ``_j``
+    -1 the background row's score. ``paired``: draws 2k and 2k + 1 have one background row and opposite orders. No background,
+    no rows."""
+    fm, gbt, d = _feature_model(tm), tm.model.stages[-1], len(tm.features)
+    x = fm.transform(fill_missing(rows, tm.roles)).select(F.col(row_id).alias("_rid"), vector_to_array(FEATURES).alias("_x"))
+    bg = fm.transform(fill_missing(background, tm.roles)).select(vector_to_array(FEATURES).alias("_b"), seeded_hash(row_id, seed).alias("_h"))
     nb = bg.count()
     # numbering the (small, already sampled) background frame
     bg = bg.select("_b", (F.row_number().over(W.orderBy("_h")) - 1).alias("_bi"))
-    draws = x.select("_rid", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
+    draws = x.select("_rid", "_x", F.explode(F.sequence(F.lit(perms.start), F.lit(perms.stop - 1))).alias("_perm"))
+    draws = draws.withColumn("_draw", F.expr("_perm div 2").cast("int") if paired else F.col("_perm"))
     draws = draws.withColumn(
-        "_bi", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_rid", "_perm")), 1, 8), 16, 10)
-                      .cast("long"), F.lit(nb)).cast("int"))
+        "_bi", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_rid", "_draw")), 1, 8), 16, 10)
+                      .cast("long"), F.lit(max(nb, 1))).cast("int"))
     draws = draws.join(bg, "_bi")
     order = F.expr(f"transform(array_sort(transform(sequence(0, {d - 1}), j -> named_struct('h', "
-                   f"md5(concat_ws('|', '{seed}', _rid, CAST(_perm AS STRING), CAST(j AS STRING))), 'j', j))), s -> s.j)")
-    draws = draws.withColumn("_order", order)
+                   f"md5(concat_ws('|', '{seed}', _rid, CAST(_draw AS STRING), CAST(j AS STRING))), 'j', j))), s -> s.j)")
+    draws = draws.withColumn("_order", F.when(F.lit(paired) & (F.col("_perm") % 2 == 1), F.reverse(order)).otherwise(order))
     # position of feature j in the order, then hybrids for p = 0..d (p features switched)
     draws = draws.withColumn("_pos", F.expr(f"transform(sequence(0, {d - 1}), j -> array_position(_order, j) - 1)"))
     hyb = draws.select("_rid", "_perm", "_order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_p"), "_x", "_b",
@@ -61,11 +70,37 @@ def shapley(tm: TrainedModel, rows: DataFrame, background: DataFrame, row_id: st
     scored = gbt.transform(hyb.select("_rid", "_perm", "_order", "_p", FEATURES)) \
         .select("_rid", "_perm", "_order", "_p", vector_to_array("probability")[1].alias("_s"))
     w = W.partitionBy("_rid", "_perm").orderBy("_p")
-    steps = scored.select("_rid", "_perm", "_p", (F.col("_s") - F.lag("_s").over(w)).alias("_delta"),
-                          F.get(F.col("_order"), F.col("_p") - 1).alias("_j")).where(F.col("_p") > 0)
+    return scored.select("_rid", "_perm", F.when(F.col("_p") == 0, F.lit(-1)).otherwise(F.get(F.col("_order"), F.col("_p") - 1)).alias("_j"),
+                         (F.col("_s") - F.coalesce(F.lag("_s").over(w), F.lit(0.0))).alias("_delta"))
+
+
+def attribution_rows(tm: TrainedModel, rows: DataFrame, background: DataFrame, row_id: str, pairs: int = 4, tolerance: float = 0.01,
+                     most_pairs: int = 16, seed: int = 42) -> DataFrame:
+    """M10 by row: ``(row_id, feature, phi, error, pairs, base)``. Orders come in pairs, forward and reversed, whose mean is one draw; ``error``
+    is the standard error over a row's draws. Rows with a feature whose error exceeds ``tolerance`` get as many pairs again, up to
+    ``most_pairs``; the others don't. A row's values sum to its score less ``base``, the mean score of its background rows. No
+    background, no rows."""
+    gathered, wanted, done = None, rows, 0
+    while done < most_pairs:
+        more = min(pairs if not done else done, most_pairs - done)
+        steps = _steps(tm, wanted, background, row_id, range(2 * done, 2 * (done + more)), seed, paired=True)
+        each = steps.groupBy("_rid", "_j", F.expr("_perm div 2").alias("_pair")).agg(F.avg("_delta").alias("_draw"))
+        sums = each.groupBy("_rid", "_j").agg(F.count(F.lit(1)).alias("n"), F.sum("_draw").alias("s"), F.sum(F.col("_draw") ** 2).alias("q"))
+        if gathered is not None:
+            sums = gathered.unionByName(sums).groupBy("_rid", "_j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+        gathered = temporary(sums, "attribution_sums")
+        done += more
+        variance = F.greatest(F.col("q") - F.col("s") ** 2 / F.col("n"), F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
+        error = F.sqrt(variance / F.col("n"))
+        unsure = gathered.where((F.col("_j") >= 0) & (error > tolerance)).select(F.col("_rid").alias(row_id)).distinct()
+        if unsure.isEmpty():
+            break
+        wanted = rows.join(unsure, row_id, "left_semi")
     names = F.array(*[F.lit(f) for f in tm.features])
-    phi = steps.groupBy("_rid", "_j").agg(F.avg("_delta").alias("phi"))
-    return phi.select(F.col("_rid").alias(row_id), names[F.col("_j")].alias("feature"), "phi")
+    base = gathered.where("_j = -1").select("_rid", (F.col("s") / F.col("n")).alias("base"))
+    return gathered.where("_j >= 0").join(base, "_rid").select(
+        F.col("_rid").alias(row_id), names[F.col("_j")].alias("feature"), (F.col("s") / F.col("n")).alias("phi"), error.alias("error"),
+        F.col("n").alias("pairs"), "base")
 
 
 def mean_abs_attribution(phi: DataFrame) -> DataFrame:

@@ -387,7 +387,7 @@ def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_n
         "info": lambda: info, "summary": lambda: summary,
         "importance": lambda: explain.feature_importance(tm),
         "attribution": lambda: explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed)),
-        "roc": lambda: ev.roc_points(ev_rows, tm.roles.label), "pr": lambda: ev.pr_points(ev_rows, tm.roles.label),
+        "roc": lambda: ev.roc_corners(ev_rows, tm.roles.label), "pr": lambda: ev.pr_points(ev_rows, tm.roles.label),
         "sweep": lambda: ev.threshold_sweep(ev_rows, y=tm.roles.label),
         "confusion": lambda: ev.confusion(ev_rows, tm.threshold, tm.roles.label),
         "class_report": lambda: ev.class_report(ev_rows, tm.threshold, tm.roles.label),

@@ -306,6 +306,11 @@ _SCORED = ", g AS (SELECT score AS s, sum(y)::BIGINT AS pos, (count(*) - sum(y))
 register("roc_points", q(_SCORED + "SELECT s AS threshold, round(fp / nn, 6) AS fpr, round(tp / np_, 6) AS tpr FROM c "
                          "UNION ALL SELECT NULL, 0.0, 0.0"))(
     lambda s, d: ev.roc_points(_f(s, d)))
+register("roc_corners", q(_SCORED + (
+    ", e AS (SELECT s, fp, tp, nn, np_, pos, neg, lead(pos) OVER w AS p2, lead(neg) OVER w AS n2, lag(s) OVER w AS s0 FROM c "
+    "WINDOW w AS (ORDER BY s DESC)) SELECT s AS threshold, round(fp / nn, 6) AS fpr, round(tp / np_, 6) AS tpr FROM e "
+    "WHERE s0 IS NULL OR p2 IS NULL OR p2 <> pos OR n2 <> neg UNION ALL SELECT NULL, 0.0, 0.0")))(
+    lambda s, d: ev.roc_corners(_f(s, d)))
 register("pr_points", q(_SCORED + "SELECT s AS threshold, round(tp / (tp + fp), 6) AS precision, "
                         "round(tp / np_, 6) AS recall FROM c UNION ALL SELECT NULL, 1.0, 0.0"))(lambda s, d: ev.pr_points(_f(s, d)))
 register("roc_auc", q(_SCORED + "SELECT round(sum((neg * (tp + tp - pos))::DOUBLE) / (2.0 * max(np_) * max(nn)), 6) "
@@ -581,6 +586,16 @@ def _attribution(s, d):
 register("attribution")(_attribution)
 
 
+def _attribution_rows(s, d):
+    data = model_data(s, d)
+    rows = explain.sample_rows(data.where(F.col("split") == "eval"), "row_id", 100, SEED)
+    bg = explain.sample_rows(data.where(F.col("split") == "train"), "row_id", 50, SEED + 1)
+    return explain.attribution_rows(trained(s, d), rows, bg, "row_id", seed=SEED)
+
+
+register("attribution_rows")(_attribution_rows)
+
+
 def _report_part(part):
     return lambda s, d: training.model_report(trained(s, d), model_data(s, d), parts=(part,))[part]
 
@@ -612,9 +627,9 @@ _RAW = ("threshold", "score", "income")
 for _key in ("kpis outcome_rate outcome_rate_multi mean_by_level category_share crosstab_pct pivot_mean dept_overtime "
              "all_variables top_categories describe describe_where describe_by corr_matrix corr_lower corr_numeric top_corr "
              "outcome_corr quantile_exact histogram box_stats box_stats_by cut_fixed age_bands tenure_bands stagnation "
-             "cut_equal income_bands cut_quantile percentile_groups roc_points pr_points roc_auc avg_precision "
+             "cut_equal income_bands cut_quantile percentile_groups roc_points roc_corners pr_points roc_auc avg_precision "
              "threshold_sweep best_threshold class_report f1_gap rate_by_dept dept_role satisfaction_rates overtime_share "
              "fatigue high_risk_roles early_career age_income_quartiles equity_within_level climate low_satisfaction "
              "top_combos category_detail final_summary class_weight attribution permutation_importance train_gbt "
-             "cv_scores").split():
+             "cv_scores attribution_rows").split():
     QUERIES[_key] = _rounded(QUERIES[_key])
