@@ -48,7 +48,10 @@ def test_spilled_subtrees_are_resolved_in_later_rounds(spark, monkeypatch, limit
     for f in ("_owned", "_combined"):
         monkeypatch.setattr(X, f, limited(getattr(X, f), limit))
     monkeypatch.setattr(X, "TRIE_BYTES", limit)
+    names, real = [], X.written
+    monkeypatch.setattr(X, "written", lambda df, name: names.append(name) or real(df, name))
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == expected(rows)
+    assert "exact-spilled" in names
 
 
 def limited(f, limit):
