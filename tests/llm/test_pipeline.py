@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_secret_scan": ["doc_id", "start", "n_chars", "score", "secret"],
     "op9_substring_dedup": ["doc_id", "first_word", "n_words", "same_as", "exact"],
     "op10_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op11_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12_centroid_clustering": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op13_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
 
 
