@@ -6,9 +6,13 @@ one aggregate per statistic family instead of one job per column.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -102,18 +106,60 @@ def _pair_r(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def corr_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair (c1, c2) of the given (P2: by default all numeric)
-    columns, null where a column is constant.
-    Each unordered pair is computed once (see ``_pair_r``); ``F.corr`` is avoided
-    because it raises on zero variance under ANSI mode."""
+    columns over the rows in which both are present, null where a column is constant or no such row is left.
+
+    Two passes: one aggregate gives means, bounds and null counts (four numbers a column to the driver), then the masked Gram
+    matrix of one vector a row gives the sums of all pairs at once (``_masked_sums``). Work and state grow with the
+    squared number of columns in plain arrays, not in generated expressions, so hundreds of columns are one job. NaN
+    counts as missing. ``F.corr`` is avoided because it raises on zero variance under ANSI mode."""
     columns = list(columns if columns is not None else numeric_columns(df))
-    pairs_idx = list(itertools.combinations_with_replacement(range(len(columns)), 2))
-    row = _pair_r(df, [(columns[i], columns[j]) for i, j in pairs_idx])
-    structs = []
-    for k, (i, j) in enumerate(pairs_idx):
-        structs.append(f"named_struct('c1', '{columns[i]}', 'c2', '{columns[j]}', 'i', {i}, 'j', {j}, 'r', _{k})")
-        if i != j:
-            structs.append(f"named_struct('c1', '{columns[j]}', 'c2', '{columns[i]}', 'i', {j}, 'j', {i}, 'r', _{k})")
-    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+    k, spark = len(columns), df.sparkSession
+    schema = "c1 string, c2 string, i int, j int, r double"
+    if not k:
+        return spark.createDataFrame([], schema)
+    x = df.select(*[F.nanvl(F.col(_q(c)).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(columns)])
+    first = x.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(f"x{i}").alias(f"{n}{i}") for i in range(k)
+        for n, f in (("mean", F.avg), ("count", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    means = [first[f"mean{i}"] or 0.0 for i in range(k)]
+    gaps = [i for i in range(k) if first[f"count{i}"] < first["rows"]]
+    n, s, q, p = _masked_sums(x, means, gaps)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = p - s * s.T / n
+        var = q - s * s / n
+        den = var * var.T
+        r = np.where(den > 0, cov / np.sqrt(den), np.nan)
+    flat = np.array([first[f"lo{i}"] == first[f"hi{i}"] for i in range(k)])
+    r[flat, :] = r[:, flat] = np.nan
+    i, j = (a.ravel() for a in np.indices((k, k)))
+    names = np.array(columns, object)
+    return spark.createDataFrame(pa.table({
+        "c1": pa.array(names[i], pa.string()), "c2": pa.array(names[j], pa.string()), "i": pa.array(i, pa.int32()),
+        "j": pa.array(j, pa.int32()), "r": pa.array(r.ravel(), pa.float64(), mask=np.isnan(r.ravel()))}), schema)
+
+
+def _masked_sums(x: DataFrame, means: Sequence[float], gaps: Sequence[int]) -> tuple[np.ndarray, ...]:
+    """Over the rows in which columns a and b of ``x`` are both present, as k x k matrices at ``[a, b]``: rows, sum of a, sum of
+    a squared, and sum of a times b (values less ``means``).
+
+    With m = 1 where a value is present and x = 0 where it isn't, these are m.m, x.m, x^2.m and x.x: blocks of the Gram matrix of
+    the row vector (1, x, m, x^2), which the JVM adds up along a tree of partial sums. Columns without nulls (not in ``gaps``)
+    share the 1 as their m, and x^2 is needed only if there are gaps."""
+    k = len(means)
+    centred = [F.coalesce(F.col(f"x{i}") - F.lit(m), F.lit(0.0)) for i, m in enumerate(means)]
+    parts = [F.lit(1.0), *centred, *[F.col(f"x{i}").isNotNull().cast("double") for i in gaps]]
+    if gaps:
+        parts += [c * c for c in centred]
+    rows = MLUtils.convertVectorColumnsFromML(x.select(array_to_vector(F.array(*parts)).alias("v")), "v")
+    if rows.isEmpty():
+        return tuple(np.zeros((k, k)) for _ in range(4))
+    g = RowMatrix(rows, numCols=len(parts)).computeGramianMatrix().toArray()
+    at = np.arange(1, k + 1)
+    m = np.zeros(k, int)
+    m[list(gaps)] = 1 + k + np.arange(len(gaps))
+    square = 1 + k + len(gaps) + np.arange(k)
+    q = g[np.ix_(square, m)] if gaps else np.repeat(g[at, at][:, None], k, 1)
+    return g[np.ix_(m, m)], g[np.ix_(at, m)], q, g[np.ix_(at, at)]
 
 
 def corr_lower(corr: DataFrame) -> DataFrame:
