@@ -361,35 +361,46 @@ def model_report(tm: TrainedModel, data: DataFrame, split: str = "split", eval_n
                  train_name: str = "train", sample: int = 100, seed: int = SEED,
                  parts: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Every evaluation table of a trained model, by name (or only ``parts``). The
-    scored table is written once (shared checkpoint folder) and all tables derive from it."""
+    scored table is written at most once (shared checkpoint folder), and only what the asked parts need is computed."""
     from ratelens.operators import explain
     from ratelens.operators.ranks import seeded_sample
-    spark = data.sparkSession
-    scored = temporary(tm.score(data, keep=["row_id", tm.roles.label, split]), "scored")
-    ev_rows = scored.where(F.col(split) == eval_name)
-    curves = ev.curve_summary(ev_rows, tm.roles.label)
-    gap = ev.f1_gap(scored, split, tm.threshold, train_name, eval_name, tm.roles.label)
-    c, g = curves.first(), gap.first()
-    v = ev.verdicts(c.roc_auc, c.avg_precision, g.f1_gap)
-    summary = spark.createDataFrame(
-        [("roc_auc", c.roc_auc, v.get("roc")), ("avg_precision", c.avg_precision, v.get("pr")),
-         ("base_rate", c.base_rate, None), ("threshold", tm.threshold, None), ("f1_train", g.f1_train, None),
-         ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))],
-        "metric string, value double, verdict string")
-    info = spark.createDataFrame([(k, json.dumps(val)) for k, val in
-                                  {"model_type": MODEL_TYPE, "encoding": tm.encoding, "params": tm.params,
-                                   "threshold": tm.threshold, "features": tm.features,
-                                   "rounds_tried": tm.rounds_tried, "rounds_kept": tm.rounds_kept,
-                                   "cv_score": tm.cv_score}.items()], "key string, value string")
-    rows = seeded_sample(data.where(F.col(split) == eval_name), "row_id", sample, seed)
-    bg = seeded_sample(data.where(F.col(split) == train_name), "row_id", max(1, sample // 2), seed + 1)
+    spark, y = data.sparkSession, tm.roles.label
+    written: list[DataFrame] = []
+
+    def scored() -> DataFrame:
+        if not written:
+            written.append(temporary(tm.score(data, keep=["row_id", y, split]), "scored"))
+        return written[0]
+
+    def held_out() -> DataFrame:
+        return scored().where(F.col(split) == eval_name)
+
+    def summary() -> DataFrame:
+        c = ev.curve_summary(held_out(), y).first()
+        g = ev.f1_gap(scored(), split, tm.threshold, train_name, eval_name, y).first()
+        v = ev.verdicts(c.roc_auc, c.avg_precision, g.f1_gap)
+        return spark.createDataFrame(
+            [("roc_auc", c.roc_auc, v.get("roc")), ("avg_precision", c.avg_precision, v.get("pr")),
+             ("base_rate", c.base_rate, None), ("threshold", tm.threshold, None), ("f1_train", g.f1_train, None),
+             ("f1_eval", g.f1_eval, None), ("f1_gap", g.f1_gap, v.get("overfit"))],
+            "metric string, value double, verdict string")
+
+    def info() -> DataFrame:
+        known = {"model_type": MODEL_TYPE, "encoding": tm.encoding, "params": tm.params, "threshold": tm.threshold,
+                 "features": tm.features, "rounds_tried": tm.rounds_tried, "rounds_kept": tm.rounds_kept,
+                 "cv_score": tm.cv_score}
+        return spark.createDataFrame([(k, json.dumps(val)) for k, val in known.items()], "key string, value string")
+
+    def attribution() -> DataFrame:
+        rows = seeded_sample(data.where(F.col(split) == eval_name), "row_id", sample, seed)
+        bg = seeded_sample(data.where(F.col(split) == train_name), "row_id", max(1, sample // 2), seed + 1)
+        return explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed))
+
     builders = {
-        "info": lambda: info, "summary": lambda: summary,
-        "importance": lambda: explain.feature_importance(tm),
-        "attribution": lambda: explain.mean_abs_attribution(explain.shapley(tm, rows, bg, "row_id", seed=seed)),
-        "roc": lambda: ev.roc_corners(ev_rows, tm.roles.label), "pr": lambda: ev.pr_points(ev_rows, tm.roles.label),
-        "sweep": lambda: ev.threshold_sweep(ev_rows, y=tm.roles.label),
-        "confusion": lambda: ev.confusion(ev_rows, tm.threshold, tm.roles.label),
-        "class_report": lambda: ev.class_report(ev_rows, tm.threshold, tm.roles.label),
+        "info": info, "summary": summary, "importance": lambda: explain.feature_importance(tm), "attribution": attribution,
+        "roc": lambda: ev.roc_corners(held_out(), y), "pr": lambda: ev.pr_points(held_out(), y),
+        "sweep": lambda: ev.threshold_sweep(held_out(), y=y),
+        "confusion": lambda: ev.confusion(held_out(), tm.threshold, y),
+        "class_report": lambda: ev.class_report(held_out(), tm.threshold, y),
     }
     return {k: b() for k, b in builders.items() if parts is None or k in parts}

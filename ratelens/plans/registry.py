@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ratelens.functions.scalar import risk_factors, risk_tier, round_even
 from ratelens.operators import evaluation as ev
 from ratelens.operators import binning, facets, ranks, rates, stats
+from ratelens.operators.facet_index import FacetIndex
 from ratelens.plans import analyses as A
 from ratelens.plans import oracle_sql as O
 from ratelens.plans.oracle_sql import q
 from ratelens.roles import FACT_ROLES as R
-from ratelens.sources.tables import fact
+from ratelens.sources import files
+from ratelens.sources.tables import fact, materialize, temporary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +114,55 @@ register("kpis", q(
     f"round(avg(tenure), 6) AS avg_tenure FROM fact WHERE {FACETS_SQL}"))(
     lambda s, d: A.kpis(facets.faceted_filter(_f(s, d), FACETS_ISIN, FACETS_RANGES), R))
 
+_INDEX: dict[tuple[str, str], FacetIndex] = {}
+
+
+def facet_index(spark, sf) -> FacetIndex:
+    """The bitmap index of the fact view, built once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEX:
+        _INDEX[key] = FacetIndex.build(_f(spark, sf), [*FACET_DOMAIN_COLS, "y"], ["age", "income", "tenure"],
+                                       keep=lambda df, name: materialize(spark, lambda: df, name, sf))
+    return _INDEX[key]
+
+
+register("facet_index_share", ORACLE["filter_share"])(lambda s, d: facet_index(s, d).share(FACETS_ISIN, FACETS_RANGES))
+register("facet_index_rates", q(", sel AS (SELECT * FROM fact WHERE " + FACETS_SQL + ") " + " UNION ALL ".join(
+    f"SELECT '{c}' AS facet, CAST({c} AS VARCHAR) AS value, {O.rate_cols()} FROM sel WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in FACET_DOMAIN_COLS)))(
+    lambda s, d: facet_index(s, d).rates("y", 1, FACETS_ISIN, FACETS_RANGES))
+
+# ---------------------------------------------------------------- CSV sinks and the checked scan
+CSV_COLS = ["row_id", "dept", "role", "travel", "age", "income", "y"]
+
+
+def _csv_back(s, df):
+    path = temporary_path(s, "csv")
+    files.write_csv(df, path)
+    return files.checked_scan(s, path, df.schema)
+
+
+register("csv_rows", q(f"SELECT {', '.join(CSV_COLS)} FROM fact WHERE {FACETS_SQL}"))(
+    lambda s, d: _csv_back(s, facets.faceted_filter(_f(s, d), FACETS_ISIN, FACETS_RANGES).select(*CSV_COLS))[0])
+register("csv_summary", O.describe_sql(O.NUMS))(lambda s, d: _csv_back(s, stats.describe(_f(s, d), O.NUMS))[0])
+
+
+def _csv_rejects(s, d):
+    """Fact rows as CSV with unreadable ages (level 7) and incomes (experience 50), scanned with the declared types."""
+    df = _f(s, d).select("row_id", "level", "experience", "age", "income")
+    path = temporary_path(s, "csv-marred")
+    files.write_csv(df.withColumns({
+        "age": F.when(F.col("level") == 7, F.lit("n/a")).otherwise(F.col("age").cast("string")),
+        "income": F.when(F.col("experience") == 50, F.lit("unknown")).otherwise(F.col("income").cast("string"))}), path)
+    good, rejected = files.checked_scan(s, path, df.schema)
+    return good.select(F.lit("").alias("cells")).unionByName(
+        rejected.select(F.array_join("cells", ",").alias("cells"))).groupBy("cells").agg(F.count(F.lit(1)).alias("lines"))
+
+
+register("csv_rejects", q(
+    "SELECT concat_ws(',', CASE WHEN level = 7 THEN 'age' END, CASE WHEN experience = 50 THEN 'income' END) AS cells, "
+    "count(*)::BIGINT AS lines FROM fact GROUP BY 1"))(_csv_rejects)
+
 # ---------------------------------------------------------------- aggregations
 register("outcome_rate", q(f"SELECT role, {O.rate_cols()} FROM fact WHERE role IS NOT NULL GROUP BY role"))(
     lambda s, d: rates.outcome_rate(_f(s, d), ["role"], "y"))
@@ -631,5 +682,5 @@ for _key in ("kpis outcome_rate outcome_rate_multi mean_by_level category_share
              "threshold_sweep best_threshold class_report f1_gap rate_by_dept dept_role satisfaction_rates overtime_share "
              "fatigue high_risk_roles early_career age_income_quartiles equity_within_level climate low_satisfaction "
              "top_combos category_detail final_summary class_weight attribution permutation_importance train_gbt "
-             "cv_scores attribution_rows").split():
+             "cv_scores attribution_rows facet_index_rates csv_summary").split():
     QUERIES[_key] = _rounded(QUERIES[_key])

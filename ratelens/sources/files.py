@@ -4,8 +4,11 @@ is one pass and types do not depend on the rows sampled."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratelens.sources.tables import temporary
+
 # fixed values: the 35 columns of the employee table, in file order, with their types
 _HR_COLUMNS = [
     ("Age", "int"), ("Attrition", "string"), ("BusinessTravel", "string"), ("DailyRate", "int"),
@@ -34,6 +37,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = HR_SC
     return reader.schema(schema).csv(path)
 
 
+_LINE = "_rejected_line"
+
+
+def checked_scan(spark: SparkSession, path: str, schema: T.StructType = HR_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """S1 with nothing lost unseen: ``(rows, rejected)``. ``rows`` are the lines whose every cell has its declared type.
+    ``rejected(file, line, cells)`` holds the others as they stand in their file, with the names of the columns whose cell doesn't
+    parse (none where only the number of cells is wrong). A file whose header differs from the schema raises.
+
+    The lines are parsed once and written, as a scan of fewer columns would leave cells unparsed."""
+    whole = T.StructType([*schema.fields, T.StructField(_LINE, T.StringType())])
+    parsed = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", _LINE).schema(whole).csv(path))
+    parsed = temporary(parsed.select("*", F.col("_metadata.file_path").alias("_rejected_file")), "csv-lines")
+    text = ", ".join(f"`{f.name}` string" for f in schema.fields)
+    bad = parsed.where(F.col(_LINE).isNotNull()).withColumn("_cells", F.from_csv(_LINE, text))
+    names = [F.when(F.col("_cells")[f.name].isNotNull() & F.col("`" + f.name + "`").isNull(), F.lit(f.name)) for f in schema.fields]
+    rejected = bad.select(F.col("_rejected_file").alias("file"), F.col(_LINE).alias("line"),
+                          F.array_compact(F.array(*names)).alias("cells"))
+    return parsed.where(F.col(_LINE).isNull()).select(*["`" + f.name + "`" for f in schema.fields]), rejected
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, one file per partition (no coalesce to one task)."""
     df.write.mode(mode).option("header", True).csv(path)

@@ -116,12 +116,18 @@ def temporary(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under the shared checkpoint folder and read back; ``drop_temporary``
     deletes all such tables."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "ratelens-temporary", f"{name}-{uuid.uuid4().hex}")
+    path = temporary_path(spark, name)
     df.write.parquet(path)
-    _TEMPORARY.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder, which ``drop_temporary`` deletes."""
+    path = os.path.join(checkpoint_dir(spark), "ratelens-temporary", f"{name}-{uuid.uuid4().hex}")
+    _TEMPORARY.append(path)
+    return path
+
+
 def drop_temporary(spark: SparkSession) -> int:
     """Delete the tables of ``temporary``; results that read them must have been consumed."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
