@@ -153,14 +153,51 @@ def test_passage_edge_cases(spark):
 
 def test_compact_windows_hold_every_long_subsequence_once():
     rng = np.random.default_rng(7)
-    for _ in range(20):
-        h = rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64)
-        least = int(rng.integers(1, 10))
-        got = P.compact_windows(h, least)
+    for _ in range(60):
+        parts = [rng.integers(1, rng.choice([2, 30]), rng.integers(0, 90)).astype(np.uint64) for _ in range(3)]
+        h = np.concatenate([x for part in parts for x in (np.zeros(1, np.uint64), part)] + [np.zeros(1, np.uint64)])
+        least = int(rng.integers(1, 20))
+        got = list(zip(*P.compact_windows(h, least)))
         for i in range(len(h)):
             for j in range(i + least - 1, len(h)):
                 held = [(l, c, r) for l, c, r in got if l <= i and j <= r and i <= c <= j]
-                assert len(held) == 1 and h[held[0][1]] == h[i:j + 1].min()
+                assert len(held) == (1 if h[i:j + 1].min() else 0)
+                assert not held or h[held[0][1]] == h[i:j + 1].min()
+
+
+def test_very_long_and_repetitive_texts_with_clashing_columns(spark):
+    rng = random.Random(31)
+    shared = made(rng, 70)
+    texts = {1: made(rng, 30_000) + shared, 2: ["again"] * 30_000, 3: shared + made(rng, 200), 4: ["again"] * 55 + made(rng, 10)}
+    columns = "doc_id long, text string, v long, id long, key string, first long, words int, exact boolean"
+    df = spark.createDataFrame([(i, " ".join(w), 1, 2, "k", 3, 4, None) for i, w in texts.items()], columns)
+    got = {(r.doc_id, r.first_word, r.n_words, r.same_as) for r in P.repeated_passages(df).where("exact").collect()}
+    assert got == {(1, 30_000, 70, 3), (3, 0, 70, 1), (2, 0, 30_000, 4), (4, 0, 55, 2)}
+
+
+def test_pair_sweep_matches_the_definition():
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+    w = []
+    for _ in range(20):
+        lcr = np.sort(rng.integers(0, 60, (rng.integers(1, 40), 3)), 1)
+        w.append([{"fn": int(rng.integers(0, 6)), "key": int(rng.integers(0, 50)), "l": int(l), "c": int(c), "r": int(r),
+                   "crowded": bool(rng.random() < 0.5)} for l, c, r in lcr])
+    kind = pa.list_(pa.struct([("fn", pa.int32()), ("key", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()),
+                               ("crowded", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(w, kind)], ["v", "w"])
+    want: dict = {}
+    for v, ws in enumerate(w):
+        for a in ws:
+            for b in ws:
+                if a["crowded"] and a["fn"] != b["fn"] and max(a["l"], b["l"]) <= min(a["c"], b["c"]) and max(a["c"], b["c"]) <= min(
+                        a["r"], b["r"]) and min(a["r"], b["r"]) - max(a["l"], b["l"]) + 1 >= 10:
+                    pair = v, min(a["key"], b["key"]), max(a["key"], b["key"])
+                    want[pair] = min(want.get(pair, 99), a["c"], b["c"])
+    for most in (1, 7, 1 << 20):
+        out = pa.Table.from_batches(P._beside(10, most)(iter([batch])))
+        assert sorted(zip(out["v"].to_pylist(), out["c"].to_pylist())) == sorted((k[0], c) for k, c in want.items())
+        assert len(set(zip(out["v"].to_pylist(), out["sig"].to_pylist()))) == len(want)
 
 
 def test_touching_passages_keep_their_own_holders(spark):
