@@ -178,19 +178,20 @@ def test_very_long_and_repetitive_texts_with_clashing_columns(spark):
 def test_pair_sweep_matches_the_definition():
     import pyarrow as pa
     rng = np.random.default_rng(9)
-    w = []
+    w, keys = [], []
     for _ in range(20):
         lcr = np.sort(rng.integers(0, 60, (rng.integers(1, 40), 3)), 1)
-        w.append([{"fn": int(rng.integers(0, 6)), "key": int(rng.integers(0, 50)), "l": int(l), "c": int(c), "r": int(r),
-                   "crowded": bool(rng.random() < 0.5)} for l, c, r in lcr])
-    kind = pa.list_(pa.struct([("fn", pa.int32()), ("key", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()),
-                               ("crowded", pa.bool_())]))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(w, kind)], ["v", "w"])
+        w.append([{"fn": int(rng.integers(0, 6)), "key": int(rng.integers(0, 50)), "l": int(l), "c": int(c), "r": int(r)}
+                  for l, c, r in lcr])
+        keys.append(rng.integers(0, 50, 20).tolist())
+    kind = pa.list_(pa.struct([("fn", pa.int32()), ("key", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(w, kind), pa.array(keys, pa.list_(pa.int64()))],
+                                       ["v", "w", "crowded"])
     want: dict = {}
     for v, ws in enumerate(w):
         for a in ws:
             for b in ws:
-                if a["crowded"] and a["fn"] != b["fn"] and max(a["l"], b["l"]) <= min(a["c"], b["c"]) and max(a["c"], b["c"]) <= min(
+                if a["key"] in keys[v] and a["fn"] != b["fn"] and max(a["l"], b["l"]) <= min(a["c"], b["c"]) and max(a["c"], b["c"]) <= min(
                         a["r"], b["r"]) and min(a["r"], b["r"]) - max(a["l"], b["l"]) + 1 >= 10:
                     pair = v, min(a["key"], b["key"]), max(a["key"], b["key"])
                     want[pair] = min(want.get(pair, 99), a["c"], b["c"])
