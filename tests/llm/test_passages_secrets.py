@@ -319,3 +319,33 @@ def test_short_and_split_values_are_candidates(spark):
     assert {(i, v) for i, (_, v) in values.items()} <= set(found)
     assert found[500, "hunter2secret"] and found[501, "P@ssw0rd!2024#Prod"] and found[502, "s3cr3t!pw"]
     assert not any(s for (_, t), s in found.items() if t == "string")
+
+
+# ------------------------------------------------------------------ runs of a short period
+def test_chains_match_the_definition():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        of = np.sort(rng.integers(0, 3, rng.integers(0, 25)))
+        place = np.concatenate([np.cumsum(rng.choice([1, 1, 1, 2, 5, 9], (of == k).sum())) for k in range(3)]).astype(np.int64)
+        head, more = P._chains(of, place)
+        gap = [int(place[i + 1] - place[i]) if of[i + 1] == of[i] and place[i + 1] - place[i] <= P.SHINGLE else 0 for i in range(len(of) - 1)]
+        for i in range(len(of)):
+            after = gap[i] if i < len(gap) else 0
+            before = gap[i - 1] if i else 0
+            n = 0
+            while after and i + n < len(gap) and gap[i + n] == after:
+                n += 1
+            assert more[i] == n and head[i] == (not before or bool(after) and after != before)
+
+
+def test_edited_copies_beside_long_runs_are_found(spark):
+    rng = random.Random(33)
+    rows = []
+    for i in range(4):
+        p = made(rng, 40)
+        changed = [*p[:20], "changed", *p[21:]]
+        # the passages end in a run of 20 to 600 equal words; no 50 words are equal in two documents
+        rows += [(10 * i + k, " ".join(made(rng, 60) + w + [f"run{i}"] * n + made(rng, 60)))
+                 for k, (w, n) in enumerate(((p, 20 if i < 2 else 600), (changed, 22 if i < 2 else 28)))]
+    got = {(r.doc_id, r.same_as) for r in passages(spark, rows)}
+    assert got == {(10 * i + k, 10 * i + 1 - k) for i in range(4) for k in (0, 1)}
