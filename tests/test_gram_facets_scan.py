@@ -110,3 +110,30 @@ def test_checked_scan_refuses_another_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,other\n1,2\n")
     with pytest.raises(Exception, match="header"):
         files.checked_scan(spark, str(tmp_path), T.StructType().add("id", "integer").add("name", "string"))
+
+
+def test_facet_index_build_sorts_no_row_for_every_facet(spark):
+    """Bitmaps come from the rows as they stand: no row times facets, and bounded tasks for the single values."""
+    from ratelens.sources.tables import temporary
+    plans = {}
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return temporary(df, name)
+
+    FacetIndex.build(_people(spark, 100), ["dept", "level", "y"], ["age", "pay"], keep=keep)
+    assert "Generate explode" not in plans["facet-bitmaps"] and "bitmap_construct_agg" not in plans["facet-bitmaps"]
+    assert "bucket" in next(line for line in plans["facet-values"].splitlines() if "RepartitionByExpression" in line)
+
+
+def test_partial_bitmaps_of_scattered_buckets():
+    import pyarrow as pa
+
+    from ratelens.operators.facet_index import _partial_bitmaps
+    batch = pa.record_batch({"_bucket": pa.array([7, 7, 9, 7]), "_position": pa.array([0, 9, 1, 32767]), "dept": ["a", None, "a", "a"],
+                             "age": pa.array([1.0, 2.0, None, 5.0])})
+    got = [r for out in _partial_bitmaps(("dept",), {"age": [2.0, 4.0]})(iter([batch])) for r in out.to_pylist()]
+    bits = {(r["facet"], r["value"], r["bucket"], [i for i in range(32768) if r["bits"][i // 8] >> i % 8 & 1][0]) for r in got}
+    assert bits == {("dept", "a", 7, 0), ("dept", None, 7, 9), ("age", "0", 7, 0), ("age", "1", 7, 9),
+                    ("dept", "a", 9, 1), ("age", None, 9, 1), ("dept", "a", 7, 32767), ("age", "2", 7, 32767)}
+    assert all(len(r["bits"]) == 4096 for r in got)
