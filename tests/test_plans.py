@@ -49,3 +49,18 @@ def test_flagship_scans_once(spark):
     df = QUERIES["rate_by_dept"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2 and plan.split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_lineitem_rows_meet_two_growing_tables(spark):
+    """Orders meet their customers first: lineitem rows are shuffled for their part and for their order, not for the customer."""
+    from ratelens.sources.tables import fact_frame
+    node = fact_frame(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+
+    def joins_above_lineitem(n):
+        below = [joins_above_lineitem(n.children().apply(i)) for i in range(n.children().size())]
+        own = [b for b in below if b is not None]
+        if not below:
+            return 0 if "l_orderkey" in n.output().toString() else None
+        return own[0] + (n.nodeName() == "Join") if own else None
+
+    assert joins_above_lineitem(node) == 2
