@@ -102,3 +102,10 @@ def test_bundle_holds_encoder_and_scaler(spark, tmp_path, encoding):
     assert [type(s).__name__ for s in back.model.stages][1] == "PopulationScalerModel" and len(back.model.stages) == 4
     a, b = ([r.score for r in m.score(data, keep=["row_id"]).orderBy("row_id").limit(50).collect()] for m in (tm, back))
     assert a == b
+
+
+def test_written_features_are_split_into_bounded_files(spark):
+    from ratelens.sources.tables import temporary
+    back = temporary(spark.range(1000, numPartitions=1), "bounded", 100)
+    files = back.groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 10 and all(r["count"] == 100 for r in files) and back.count() == 1000
