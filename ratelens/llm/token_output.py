@@ -13,7 +13,6 @@ of the ids before it.
 
 from __future__ import annotations
 
-import contextlib
 import os
 import uuid
 import zlib
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm import text
+from ratelens.llm.common import setting
 
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
 REMEMBERED = 1_000_000
@@ -47,17 +47,6 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri else (pa.fs.LocalFileSystem(), uri)
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """``key`` set for the jobs inside, and put back."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 class Encoder:
     """Texts to ids. ``by_word``: each distinct word is encoded once, for tokenizers that drop white space, lower-case
     ASCII letters and end a token where letters meet punctuation, so that a text's ids are those of its words."""
@@ -184,7 +173,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str
         with fs.open_output_stream(f"{folder}/{name}.ids") as ids, fs.open_output_stream(f"{folder}/{name}.offsets") as at, \
                 fs.open_output_stream(f"{folder}/{name}.docs") as own:
             at.write(np.zeros(1, "<u8").tobytes())
-            for batch in batches:
+            for batch in text.returned(batches):
                 own.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 nulls += batch.column(0).null_count
                 data, places = text.utf8(batch.column(1))

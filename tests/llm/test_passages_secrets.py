@@ -265,6 +265,33 @@ def test_edited_copies_in_groups_of_hundreds_match_brute_force(spark):
     assert len(want) == 150 and got == want
 
 
+def test_pairs_compared_in_turns_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(77)
+    base = [made(rng, 120) for _ in range(3)]
+    rows = [(i, " ".join(made(rng, 40) + edited(rng, base[i % 3], 0.03) + made(rng, 20))) for i in range(24)]
+    once = sorted(map(tuple, passages(spark, rows)))
+    tables, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (tables.append(name), write(df, name))[1])
+    monkeypatch.setattr(P, "TURN_BYTES", 20_000)
+    monkeypatch.setattr(P, "CARRIED", 0)
+    assert sorted(map(tuple, passages(spark, rows))) == once and any(not r[4] for r in once)
+    assert tables.count("similar") > 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+    from ratelens.llm.common import written
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, was = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key, None)
+    shuffled = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before = shuffled()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 7 and spark.conf.get(key, None) == was
+
+
 # ------------------------------------------------------------------ secrets
 def secret_docs(n=120):
     rng = random.Random(8)
