@@ -95,3 +95,19 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
     assert all(r.n_tokens >= 1 for r in out)
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_tasks_give_arrow_memory_back_between_batches(monkeypatch):
+    import pyarrow as pa
+    from ratelens.llm import ngram_jaccard, text
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(1)
+
+    monkeypatch.setattr(text.pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["a b c d e f g"])], ["id", "text"]) for i in range(3)]
+    assert [b.column(0)[0].as_py() for b in text.returned(iter(batches))] == [0, 1, 2] and len(freed) == 3
+    freed.clear()
+    assert sum(b.num_rows for b in ngram_jaccard._classes(5, 0.8)(iter(batches))) == 3 and len(freed) == 3
