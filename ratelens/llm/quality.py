@@ -7,10 +7,12 @@ classified. Document labels train all of it at once, in numpy, on a bounded samp
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, row: np.ndarray, first: np
 
 def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 0, size: int = 32, epochs: int = 12, batch: int = 64,
         rate: float = 0.004, ridge: float = 1e-5) -> dict[str, np.ndarray]:
-    """Weights learned from bags: passages ``x`` of documents ``row`` (ascending from 0) labelled ``y``."""
+    """Weights learned from bags: passages ``x`` (of 16 or 32 bits) of documents ``row`` (ascending from 0) labelled ``y``."""
     rng = np.random.default_rng(seed)
     draw = lambda *n: (rng.standard_normal(n) / np.sqrt(n[0])).astype(np.float32)
     rate0 = np.clip(y.mean(), 0.01, 0.99)
@@ -104,7 +106,7 @@ def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 0, size: int
             index = np.concatenate([np.arange(begin[b], begin[b + 1]) for b in bags])
             count = (begin[bags + 1] - begin[bags])
             own, first = np.repeat(np.arange(len(bags)), count), np.cumsum(count) - count
-            xb = x[index]
+            xb = x[index].astype(np.float32)
             o = _forward(w, xb, own, first)
             df = ((o["p"] - y[bags]) / len(bags)).astype(np.float32)
             dz = df[:, None] * w["out"]
@@ -161,14 +163,29 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
                 own = batch.column(0).slice(i, j - i)
                 for k in range(j - i):
-                    yield pa.RecordBatch.from_arrays([own.slice(k, 1), pa.array([x[at[k]:at[k + 1]].astype("<f2").tobytes()])],
-                                                     ["y", "x"])
+                    packed = zlib.compress(x[at[k]:at[k + 1]].astype("<f2").tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([own.slice(k, 1), pa.array([at[k + 1] - at[k]], pa.int32()), pa.array([packed])],
+                                                     ["y", "n", "x"])
 
     got = (texts.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "text").select("y", "text")
-                .mapInArrow(vectors, "y int, x binary").toPandas())
-    x = [np.frombuffer(b, "<f2").reshape(-1, WIDTH) for b in got.x]
-    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    return QualityModel(fit(np.concatenate(x).astype(np.float32), row, got.y.to_numpy().astype(np.float32)))
+                .mapInArrow(vectors, "y int, n int, x binary").toPandas())
+    y, row, x = got.y.to_numpy().astype(np.float32), np.repeat(np.arange(len(got)), got.n), unpacked(got)
+    del got
+    text.give_back()
+    model = QualityModel(fit(x, row, y))
+    del x
+    text.give_back()
+    return model
+
+
+def unpacked(packed: pd.DataFrame) -> np.ndarray:
+    """The passages' vectors of documents with ``n`` passages and their packed vectors ``x``, in 16 bits: the driver holds no
+    second copy of them."""
+    end = np.cumsum(packed.n)
+    out = np.empty((int(end.iloc[-1]), WIDTH), "<f2")
+    for x, n, stop in zip(packed.x, packed.n, end):
+        out[stop - n:stop] = np.frombuffer(zlib.decompress(x), "<f2").reshape(n, WIDTH)
+    return out
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text",

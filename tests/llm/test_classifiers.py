@@ -110,6 +110,24 @@ def test_nnpu_risk_stays_non_negative_with_a_wrong_prior():
         assert np.isfinite(w).all() and w[0] > 0
 
 
+def test_training_holds_one_copy_of_the_passages_of_16_bits():
+    import tracemalloc
+
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    x = np.sqrt(rng.integers(0, 4, (4000, quality.WIDTH)) / 300).astype("<f2")
+    n = np.tile([1, 199, 40, 160], 10)
+    rows = pd.DataFrame({"n": n, "x": [zlib.compress(a.tobytes(), 1) for a in np.split(x, np.cumsum(n)[:-1])]})
+    tracemalloc.start()
+    got = quality.unpacked(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.dtype == np.float16 and (got == x).all() and most < 1.5 * x.nbytes
+    row, y = np.arange(4000) // 10, (np.arange(400) % 2).astype(np.float32)
+    narrow, wide = quality.fit(got, row, y, epochs=1), quality.fit(got.astype(np.float32), row, y, epochs=1)
+    assert all((narrow[k] == wide[k]).all() for k in wide)
+
+
 def test_passages_cover_whole_texts():
     import pyarrow as pa
     texts = pa.array(["a " * 200, None, "b " * 64, "c"])
