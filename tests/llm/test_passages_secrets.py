@@ -278,6 +278,44 @@ def test_pairs_compared_in_turns_give_the_same_rows(spark, monkeypatch):
     assert tables.count("similar") > 2
 
 
+def test_collisions_are_shuffled_once_and_by_pair(spark):
+    rows = [(1, 2, 1, 0, 5, 70), (1, 2, 2, 0, 6, 75), (1, 2, 4, 40, 5, 70), (1, 3, 1, 0, 5, 70), (1, 3, 1, 0, 5, 70)]
+    out = P._regions(spark.createDataFrame(rows, "x long, y long, fns int, d int, low int, high int"))
+    assert out.collect() == [(1, 2, 5, 75, 0)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("members", [1, 3, 128])
+def test_groups_meet_in_blocks_of_their_size(spark, monkeypatch, members):
+    monkeypatch.setattr(P, "BLOCK_ROWS", members)
+    at = [(7, 0, 99, True, 0)]
+    rows = [(sig, v, 3, at, 0 if v % 3 == 0 else v) for sig, n in ((1, 9), (2, 20)) for v in range(n)]
+    groups = spark.createDataFrame(rows, "sig long, v long, fns int, at array<struct<c: int, l: int, r: int, head: boolean, more: int>>, "
+                                   "label long")
+    out = P._meet(groups, "sig", "label", 46)
+    want = sorted((x, y) for n in (9, 20) for y in range(n) for x in range(y) if x % 3 or y % 3)
+    assert sorted((r.x, r.y) for r in out.collect()) == want
+    monkeypatch.setattr(P, "_placed", lambda pairs, least: pairs)
+    blocks = {r.sig: r.n for r in P._meet(groups, "sig", "label", 46).groupBy("sig").agg(F.max("block").alias("n")).collect()}
+    assert members < 128 or blocks == {1: 0, 2: 0}  # a copy of each member, not BLOCKS
+
+
+def test_longest_stretch_is_the_first_of_most_places():
+    def plain(hit, need):
+        best = (0, 0)
+        for i in range(len(hit) + 1):
+            for j in range(i + 1, len(hit) + 1):
+                if sum(hit[i:j]) >= need * (j - i) - 1e-9 and j - i > best[1] - best[0]:
+                    best = (i, j)
+        return best
+
+    rng = np.random.default_rng(8)
+    for n in [0, 1, 2, *rng.integers(3, 40, 200)]:
+        hit = rng.random(n) < rng.random()
+        i, j = P._longest(hit, 8 / 9)
+        assert (i, j) == plain(hit, 8 / 9) or i == j and plain(hit, 8 / 9) == (0, 0)
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     import time
     from ratelens.llm.common import written
