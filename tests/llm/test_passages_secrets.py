@@ -278,6 +278,25 @@ def test_pairs_compared_in_turns_give_the_same_rows(spark, monkeypatch):
     assert tables.count("similar") > 2
 
 
+def test_the_last_plan_is_as_small_however_many_turns_there_were(spark, monkeypatch):
+    rng = random.Random(78)
+    base = [made(rng, 120) for _ in range(3)]
+    df = spark.createDataFrame([(i, " ".join(made(rng, 40) + edited(rng, base[i % 3], 0.03) + made(rng, 20))) for i in range(24)], SCHEMA)
+    tables, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (tables.append(name), write(df, name))[1])
+
+    def scans():
+        tables.clear()
+        plan = P.repeated_passages(df)._jdf.queryExecution().optimizedPlan().toString()
+        return tables.count("similar"), plan.count("Relation ["), plan.count("Join ")
+
+    once = scans()
+    monkeypatch.setattr(P, "TURN_BYTES", 20_000)
+    monkeypatch.setattr(P, "CARRIED", 0)
+    turns = scans()
+    assert turns[0] > once[0] and turns[1:] == once[1:] and turns[1] <= 20
+
+
 def test_collisions_are_shuffled_once_and_by_pair(spark):
     rows = [(1, 2, 1, 0, 5, 70), (1, 2, 2, 0, 6, 75), (1, 2, 4, 40, 5, 70), (1, 3, 1, 0, 5, 70), (1, 3, 1, 0, 5, 70)]
     out = P._regions(spark.createDataFrame(rows, "x long, y long, fns int, d int, low int, high int"))
