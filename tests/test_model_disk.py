@@ -82,3 +82,12 @@ def test_a_fit_has_no_more_tasks_than_its_rows_need(spark, monkeypatch):
     assert parts(1000, 64) == cores and parts(1000, 2) == 2
     monkeypatch.setattr(training, "ROWS_PER_TASK", 10)
     assert parts(1000, 200) == 100
+
+
+def test_folds_of_many_rows_are_fitted_two_at_a_time(spark, monkeypatch):
+    assert [training.fits_at_once(n, 6, 7) for n in (0, 36_000, 360_000, 2_160_000, 10**9)] == [7, 7, 7, 2, 2]
+    assert training.fits_at_once(10**9, 6, 1) == 1
+    asked = []
+    monkeypatch.setattr(training, "fits_at_once", lambda rows, *_: asked.append(rows) or 2)
+    data = RG.model_data(spark, SF_SMALL).where("split = 'train'")
+    assert training.fold_f1(data, R, SMALL, folds=2).count() == 2 and asked == [data.count()]
